@@ -1,0 +1,63 @@
+"""The corpus operators as queries over a folder of Parquet tables, with production parameters."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import jaccard, line_dedup, mixing, packing, quality, sharding
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(_documents(spark, sf_dir), keep=["doc_id"])
+    return plan.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.shard(_documents(spark, sf_dir), keep=["doc_id"])
+    return done.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_documents(spark, sf_dir), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.deduplicate(_documents(spark, sf_dir))
+    return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizer_path(), with_ids=False)
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_documents(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "op1_mixing": op1_mixing,
+        "op3_sharding": op3_sharding,
+        "op5_quality": op5_quality,
+        "op7_line_dedup": op7_line_dedup,
+        "op8_packing": op8_packing,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
