@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize, small
 
-#: A shingle in at least this many documents of one task counts as frequent there; the most frequent MAX_FREQUENT of all go last in the order of the lists. The order never changes the result.
-FREQUENT, MAX_FREQUENT = 8, 500_000
+#: A shingle in at least FREQUENT of the documents that are hashed at once is counted; the most frequent MAX_FREQUENT of these go last in the order of the lists. The order never changes the result.
+FREQUENT, MAX_FREQUENT = 2, 500_000
+#: Short lists that a document has beyond |x| - T + 1, in percent of its shingles: so many more of them must be shared.
+MORE = 10
 #: Documents that one search compares at once.
 BLOCK = 1_000
 
@@ -93,7 +95,7 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def _chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
     """Rows of the batch in runs of about most bytes of text, as UTF-8: (first row, texts)."""
     texts, low, size, some = batch.column(column), 0, 0, []
     for i in range(batch.num_rows):
@@ -137,60 +139,74 @@ def signatures(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return found.where("n_shingles >= 0"), frequent
 
 
+def more(n):
+    """Short lists that a document of n shingles shares at least with any linked one that is not smaller."""
+    return n * MORE // 100 + 1
+
+
 def short_lists(docs: DataFrame, n: int, percent: int, frequent: DataFrame) -> DataFrame:
-    """(shingle, doc_id) for the shortest inverted lists of each document: |x| - T + 1 of them, T the least overlap of any partner. Two linked documents share one of these."""
+    """(shingle, n, doc_id) for the shortest inverted lists of each document of n shingles: n - T + more(n) of them, T being the least overlap with any partner. Two linked documents share more() of these, by the smaller of the two."""
     table = frequent.orderBy(F.desc("count"), "shingle").limit(MAX_FREQUENT).toPandas()  # bounded by MAX_FREQUENT
-    order = np.argsort(table["shingle"].to_numpy().astype(np.int64).view(np.uint64)) if len(table) else np.empty(0, int)
-    keys = table["shingle"].to_numpy().astype(np.int64).view(np.uint64)[order]
-    often = table["count"].to_numpy().astype(np.int64)[order]
-    shared = docs.sparkSession.sparkContext.broadcast((keys, often))
+    keys, often = table["shingle"].to_numpy().astype(np.int64).view(np.uint64), table["count"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], often[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, often = shared.value
         for batch in batches:
             for low, texts in _chunks(batch, 1):
-                names, lists, owners = batch.column(0).slice(low, len(texts)).to_numpy(zero_copy_only=False), [], []
+                names = batch.column(0).slice(low, len(texts)).to_numpy(zero_copy_only=False)
                 sets = shingle_sets(texts, n)
                 size = np.array([len(s) for s in sets])
-                flat = np.concatenate(sets)
-                owner = np.repeat(np.arange(len(sets)), size)
+                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
                 length = np.zeros(len(flat), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
                     length = np.where(keys[at] == flat, often[at], 0)
                 rank = np.lexsort([flat, length, owner])
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-                short = place < np.repeat(size - (-(-size * percent // 100)) + 1, size)
-                lists, owners = flat[rank][short], owner[rank][short]
-                yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(names[owners].astype(np.int64))], ["shingle", "doc_id"])
+                short = place < np.repeat(size - needed(size, percent) + more(size), size)
+                lists, owner = flat[rank][short], owner[rank][short]
+                yield pa.RecordBatch.from_arrays([pa.array(lists.view(np.int64)), pa.array(size[owner].astype(np.int64)), pa.array(names[owner].astype(np.int64))], ["shingle", "n", "doc_id"])
 
-    return docs.mapInArrow(run, "shingle long, doc_id long")
+    return docs.mapInArrow(run, "shingle long, n long, doc_id long")
 
 
-def lists_to_groups(lists: DataFrame) -> DataFrame:
-    """(doc_id, leader): the smallest document of each inverted list of two or more, with every member. The lists stream by in order; none is held."""
+def lists_to_groups(lists: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, leader) for the documents that share enough of their short lists to have a link at all.
+
+    A list in the order of size falls into runs in which each size is at least percent of the next; linked documents of a
+    list lie in one run, and the first document of the run is their leader. The lists stream by in order; none is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leader = None, None  # the leader of the list that goes on
+        last = None  # shingle, size and leader of the run that may go on, and whether it has the leader alone so far
         for batch in batches:
-            shingle, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            shingle, size, doc = (batch.column(i).to_numpy() for i in range(3))
             if not len(shingle):
                 continue
-            head = np.concatenate([[True], shingle[1:] != shingle[:-1]])
-            first = np.maximum.accumulate(np.where(head, np.arange(len(shingle)), 0))
-            leaders = doc[first]
-            if last is not None and shingle[0] == last:
-                leaders[first == 0] = leader
+            head = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (size[:-1] * 100 < percent * size[1:])])
+            extra = []
+            if last and last[0] == shingle[0] and last[1] * 100 >= percent * size[0]:
                 head[0] = False
-            last, leader = shingle[-1], leaders[-1]
-            pairs = np.unique(np.stack([doc[~head], leaders[~head]], 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["doc_id", "leader"])
-
-    ordered = lists.repartition("shingle").sortWithinPartitions("shingle", "doc_id")
-    pairs = ordered.mapInArrow(run, "doc_id long, leader long").distinct()
-    return pairs
+                if last[4]:
+                    extra = [(last[3], last[2], last[3])]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(head)), -1))
+            leader = np.where(first >= 0, doc[first], last[3] if last else 0)
+            member = ~head | np.concatenate([~head[1:], [False]])
+            last = (shingle[-1], size[-1], size[first[-1]] if first[-1] >= 0 else last[2], leader[-1], bool(head[-1]))
+            rows = np.stack([doc[member], size[member], leader[member]], 1)
+            rows = np.concatenate([rows, np.array(extra, np.int64).reshape(-1, 3)])
+            if len(rows):
+                rows, count = np.unique(rows, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i].copy()) for i in range(3)), pa.array(count)], ["doc_id", "n", "leader", "lists"])
+
+    ordered = lists.repartition("shingle").sortWithinPartitions("shingle", "n", "doc_id")
+    pairs = ordered.mapInArrow(run, "doc_id long, n long, leader long, lists long").groupBy("doc_id", "n", "leader").agg(F.sum("lists").alias("lists"))
+    pairs = materialize(pairs, "pairs")
+    least = F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100) + 1
+    able = pairs.groupBy("doc_id", "n").agg(F.sum("lists").alias("shared")).where(F.col("shared") >= least).select("doc_id").distinct()
+    return pairs.select("doc_id", "leader").distinct().join(able, "doc_id", "left_semi")
 
 
 def divide_skip(sets: list[np.ndarray], queries: list[int], percent: int) -> np.ndarray:
@@ -285,11 +301,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the smallest doc_id that links reach.
 
     Documents with 100 * |intersection| >= percent * |union| of their shingle sets link. Documents with the same set form
-    one class; the smallest stands for it. A link needs a shared shingle among each side's short lists, so the smallest
-    document of each short list gathers the members of the list, and DivideSkip searches each such group in blocks. Members
-    of one list have its leader in common, so no pair is missed. A group of more than BLOCK documents is cut into blocks
-    that each hold the leader; of those, the documents not yet in the leader's component are searched again against all
-    blocks of the group. Nothing is compared twice within a component that is known, and no pairs are written out.
+    one class; the smallest stands for it. Linked documents share several of their short inverted lists, so a document that
+    shares too few has no link, and the first document of each list (in a run of like sizes) gathers the others in a group.
+    DivideSkip searches each group in blocks; members of one list have its leader in common, so no pair is missed. A group
+    of more than BLOCK documents is cut into blocks that each hold its smallest document, the anchor; of those, the
+    documents not yet in the anchor's component are searched again against all blocks of the group. Pairs are not written
+    out, and a pair in one known component is not compared.
 
     Null or empty text: no shingles, linked with nothing. Rows with null doc_id do not take part and come back with null
     component. Rows that repeat a doc_id: one row each; the links of all rows of a doc_id are joined. Empty table: no rows.
@@ -303,28 +320,28 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = found.where("n_shingles > 0 and doc_id is not null")
     same = named.join(copies.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     same = materialize(same, "same")
-    groups = materialize(lists_to_groups(short_lists(plain, n, percent, frequent)), "groups")
     # A copy has the lists of its class, so the class is searched alone; not so where rows with other texts bear its doc_id.
     several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copied = same.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti")
-    alone = materialize(groups.join(copied, "doc_id", "left_anti"), "members")
-    blocks = alone.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    spread = alone.join(blocks, "leader").select("doc_id", F.col("leader").alias("group"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    leaders = blocks.select(F.col("leader").alias("doc_id"), F.col("leader").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    members = spread.unionByName(leaders).withColumn("side", F.lit(1))
+    copied = materialize(same.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti"), "copied")
+    single = plain.where("doc_id is not null").join(small(copied), "doc_id", "left_anti")
+    groups = materialize(lists_to_groups(short_lists(single, n, percent, frequent), percent), "groups")
+    held = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("anchor")).where("n > 1")
+    blocks = held.select(F.col("leader").alias("group"), "anchor", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks"))
+    blocks = materialize(blocks, "blocks")
+    spread = groups.withColumnRenamed("leader", "group").join(blocks, "group").select("doc_id", "group", "anchor", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
+    grid = lambda name, other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(name)
+    anchors = blocks.where("blocks > 1").select(F.col("anchor").alias("doc_id"), "group", grid("block", "blocks"))
+    members = spread.select("doc_id", "group", "block").unionByName(anchors).distinct().withColumn("side", F.lit(1))
     edges = materialize(search(members, plain, n, percent), "edges")
-    crowded = materialize(blocks.where("blocks > 1"), "crowded")
-    if crowded.limit(1).count():
+    if blocks.where("blocks > 1").limit(1).count():
         known = components(edges.unionByName(same))
-        label = alone.join(small(crowded), "leader").join(known.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(known.select(F.col("node").alias("leader"), F.col("component").alias("lc")), "leader", "left")
-        away = label.where("coalesce(c, doc_id) <> coalesce(lc, leader)").select("doc_id", "leader", "blocks")
-        away = materialize(away.withColumn("part", F.lit(0)), "away")
-        parts = away.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
+        label = spread.where("blocks > 1").join(known.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(known.select(F.col("node").alias("anchor"), F.col("component").alias("ac")), "anchor", "left")
+        away = materialize(label.where("coalesce(c, doc_id) <> coalesce(ac, anchor)").select("doc_id", "group", "blocks"), "away")
         # Each part of the documents that are away meets each block of its group.
-        grid = lambda name, other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(name)
-        ask = away.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts"))).select("doc_id", F.col("leader").alias("group"), "part", "parts", grid("at", "blocks"))
+        parts = away.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
+        ask = away.join(parts, "group").select("doc_id", "group", "parts", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")).alias("part"), grid("at", "blocks"))
         ask = ask.select("doc_id", "group", (F.col("at") * F.col("parts") + F.col("part")).alias("block"), F.lit(1).alias("side"))
-        answer = spread.join(parts.withColumnRenamed("leader", "group"), "group").select("doc_id", "group", "block", "parts", grid("part", "parts"))
+        answer = spread.join(parts, "group").select("doc_id", "group", "block", "parts", grid("part", "parts"))
         answer = answer.select("doc_id", "group", (F.col("block") * F.col("parts") + F.col("part")).alias("block"), F.lit(0).alias("side"))
         both = ask.unionByName(answer).groupBy("doc_id", "group", "block").agg(F.max("side").alias("side"))
         edges = edges.unionByName(materialize(search(both, plain, n, percent), "edges-away"))
