@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, mixing, packing, quality, sharding
+from . import chat, jaccard, line_dedup, mixing, packing, quality, sharding, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,20 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.deduplicate(_documents(spark, sf_dir), keep=["doc_id"])
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_documents(spark, sf_dir), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.deduplicate(_documents(spark, sf_dir))
     return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,14 +57,24 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(_documents(spark, sf_dir))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_events(chat.events_of(table.unionByName(more))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op3_sharding": op3_sharding,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
+        "op6_top_k": op6_top_k,
         "op7_line_dedup": op7_line_dedup,
         "op8_packing": op8_packing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_chat": op10_chat,
     }
 
 
