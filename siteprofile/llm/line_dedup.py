@@ -12,14 +12,23 @@ from .common import components, materialize, small
 
 #: Lines link if their SimHashes differ in at most MAX_BITS of 64 bits and their edit similarity is at least SIMILARITY.
 MAX_BITS, SIMILARITY = 3, 0.8
+#: Lines with fewer words link only if they are equal: one word less is too much.
+LEAST_WORDS = 5
 #: 64 bits in 5 blocks: two lines that differ in at most 3 bits agree in 2 whole blocks at least, so each pair of blocks is a key.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-SEPARATORS = r"[\s\p{Punct}]+"
+#: Words that one row of counters sums up: each of its 64 counters has 16 bits.
+CHUNK = 60_000
 
 
-def line_words(line: Column) -> Column:
-    """The words of a normalised line: lower case, punctuation as white space."""
-    return F.array_remove(F.split(F.lower(line), SEPARATORS), "")
+def normal(line: Column) -> Column:
+    """A line in lower case, without white space at its ends."""
+    return F.lower(F.trim(line))
+
+
+def word_letters(line: Column) -> Column:
+    """A normalised line as a string with a letter per word: one of 20,000 code points from U+4E00 on, by hash."""
+    codes = F.transform(F.split(line, " "), lambda w: F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00))
+    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -27,23 +36,25 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(id, rid, pos, line, sim) for each line with a word: where it stands, the hash of its words and their SimHash.
+    """(id, rid, pos, part, line, n_words, sim) for each line with a word: where it stands, the hash of the normalised line, the number of its different words and their SimHash.
 
-    Each word's 64-bit hash is split over 32 counters of two 32-bit lanes, so one aggregation sums the bits of all words of
-    a line; a bit of the SimHash is set if more than half of the words have it.
+    Each word's 64-bit hash is split over 16 counters of four 16-bit lanes, so one aggregation sums the bits of all words of
+    a line; a bit of the SimHash is set if more than half of the words have it. A line of more than CHUNK different words
+    has a row, and a SimHash, for each part of CHUNK.
     """
     lines = _documents(docs).select("_id", "_rid", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "_line"))
-    hashed = lines.select("_id", "_rid", "pos", line_words(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
-    exploded = hashed.select("_id", "_rid", "pos", F.xxhash64("_w").alias("line"), F.explode("_w").alias("_word")).select("_id", "_rid", "pos", "line", F.xxhash64("_word").alias("_x"))
-    lane = F.lit(0x0000000100000001)
-    sums = [F.sum(F.shiftrightunsigned("_x", j).bitwiseAND(lane)).alias(f"_s{j}") for j in range(32)]
-    counted = exploded.groupBy("_id", "_rid", "pos", "line").agg(*sums, F.count(F.lit(1)).alias("_n"))
+    norm = lines.select("_id", "_rid", "pos", normal(F.col("_line")).alias("_line")).where(F.length(F.translate("_line", " \t\x0b\x0c\r", "")) > 0)
+    split = norm.select("_id", "_rid", "pos", F.xxhash64("_line").alias("line"), F.posexplode(F.array_distinct(F.split("_line", " "))).alias("_i", "_word"))
+    words = split.select("_id", "_rid", "pos", "line", F.floor(F.col("_i") / CHUNK).cast("int").alias("part"), F.xxhash64("_word").alias("_x"))
+    lane = F.lit(0x0001000100010001)
+    sums = [F.sum(F.shiftrightunsigned("_x", j).bitwiseAND(lane)).alias(f"_s{j}") for j in range(16)]
+    counted = words.groupBy("_id", "_rid", "pos", "line", "part").agg(*sums, F.count(F.lit(1)).alias("_n"))
     sim = F.lit(0).cast("long")
-    for j in range(32):
-        low, high = F.col(f"_s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_s{j}", 32)
-        sim = sim.bitwiseOR(F.when(low * 2 > F.col("_n"), F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
-        sim = sim.bitwiseOR(F.when(high * 2 > F.col("_n"), F.lit((1 << (j + 32)) - ((1 << 64) if j == 31 else 0))).otherwise(F.lit(0)).cast("long"))
-    return counted.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", "line", sim.alias("sim"))
+    for j in range(16):
+        for k in range(4):
+            count, bit = F.shiftrightunsigned(f"_s{j}", 16 * k).bitwiseAND(F.lit(0xFFFF)), j + 16 * k
+            sim = sim.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+    return counted.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", "part", "line", F.col("_n").alias("n_words"), sim.alias("sim"))
 
 
 def block_keys(sim: Column) -> Column:
@@ -52,24 +63,24 @@ def block_keys(sim: Column) -> Column:
 
 
 def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for. Texts are fetched for the lines of a pair only."""
+    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for (the words being the letters). Texts are fetched for the lines of a pair only."""
     pairs = materialize(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
     places = lines.join(ends, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "rid", "pos")).alias("p"))
     wanted = places.groupBy(F.col("p.rid").alias("_rid")).agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "line")).alias("_want"))
     rows = _documents(docs).join(small(materialize(wanted, "wanted")), "_rid").select("_want", F.split("_text", "\n", -1).alias("_lines"))
-    texts = rows.select(F.explode(F.transform("_want", lambda w: F.struct(w["line"].alias("line"), F.array_join(line_words(F.get(F.col("_lines"), w["pos"])), " ").alias("t")))).alias("e")).select("e.*").dropDuplicates(["line"])
+    texts = rows.select(F.explode(F.transform("_want", lambda w: F.struct(w["line"].alias("line"), word_letters(normal(F.get(F.col("_lines"), w["pos"]))).alias("t")))).alias("e")).select("e.*").dropDuplicates(["line"])
     texts = materialize(texts, "line-texts")
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("t").alias("tb")), "b")
     longest = F.greatest(F.length("ta"), F.length("tb"))
     most = F.floor(longest * F.lit(round(1 - SIMILARITY, 9))).cast("int")
-    near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (F.levenshtein("ta", "tb") <= most)
+    near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (F.call_function("levenshtein", "ta", "tb", most) >= 0)
     return materialize(both.where(near).select("a", "b"), "line-edges")
 
 
 def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for the lines, by hash, that link to a line with another hash."""
-    distinct = lines.select("line", "sim").distinct()
+    distinct = lines.where(F.col("n_words") >= LEAST_WORDS).select("line", "sim").distinct()
     keyed = distinct.select("line", "sim", F.explode(block_keys(F.col("sim"))).alias("key"))
     by_key = Window.partitionBy("key")
     bucketed = keyed.withColumn("lead", F.min(F.struct("line", "sim")).over(by_key)).withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1")
@@ -88,17 +99,18 @@ def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """row (all columns of the input), text (without the lines that go), n_lines and n_removed of each document.
 
-    Lines with the same normalised words, and lines linked directly or over others, form a group; of each group the first
-    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines link if their
-    SimHashes over the words differ in at most MAX_BITS bits and the edit similarity of the normalised lines (1 - distance
-    / longer length) is at least SIMILARITY; all such pairs are found, as they share a block key.
+    Lines that are equal when normalised, and lines linked directly or over others, form a group; of each group the first
+    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines of LEAST_WORDS
+    different words or more link if their SimHashes over the different words differ in at most MAX_BITS bits and their edit
+    similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found, as they share
+    a block key. Different words rather than all make long lines of one language differ.
 
     Null text: stays null, no lines. Rows alike in every column count as one document and lose the same lines. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
     lines = materialize(simhashes(docs), "lines")
     known = materialize(groups(lines, docs), "line-groups")
-    labelled = lines.join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
+    labelled = lines.where("part = 0").join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = labelled.join(first, "group").where("at <> first").groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set("at.pos").alias("_gone"))
     rows = _documents(docs).join(gone, "_rid", "left").withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))

@@ -51,7 +51,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 42, ke
     numbered = number_rows(rows, ["source"], "size", ["_id", "_tie"], "_k")
     out = numbered.withColumn("_s", F.struct("source")).join(small(goal.select(F.struct("source").alias("_s"), "source_size", "target")), "_s")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 30)) / float(1 << 30)
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     copies = F.floor(each * (F.col("_k") + 1) + offset) - F.floor(each * F.col("_k") + offset)
     return out.select("row", "size", "source_size", "target", F.least(copies, F.lit(int(most))).cast("int").alias("copies"))
 
