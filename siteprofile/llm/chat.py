@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 EVENTS = "conv_id long, message long, seq long, kind string, role string, text string"
 FORMATTED = "conv_id long, seq long, message long, role string, formatted string, loss_start long, loss_end long"
 
@@ -64,6 +66,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
     messages. Events without a start (the log begins late) make a message at the first of them. Unknown kinds raise an error. Empty table: no rows. Other
     columns are not read.
     """
+    bound_batches(events.sparkSession)
     order = F.when(F.col("kind") == "message", 0).otherwise(1)
     log = events.select("conv_id", "message", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), order.alias("_o"))
     dealt = log.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "_o", "kind", "role", "text")

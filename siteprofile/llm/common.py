@@ -31,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let no Arrow batch of this session exceed about most bytes, so that a task that sends whole texts to Python holds little of them at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, columns can be pruned, retries see the same rows."""
     spark = df.sparkSession

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small
+from .common import bound_batches, components, materialize, small
 
 #: A shingle in at least FREQUENT of the documents that are hashed at once is counted; the most frequent MAX_FREQUENT of these go last in the order of the lists. The order never changes the result.
 FREQUENT, MAX_FREQUENT = 2, 500_000
@@ -312,6 +312,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     component. Rows that repeat a doc_id: one row each; the links of all rows of a doc_id are joined. Empty table: no rows.
     Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, frequent = signatures(plain, n)
     first = found.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,45 +14,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small
+from .common import bound_batches, materialize, small
 
-#: Words (split at ASCII white space) whose ids a worker remembers; then it forgets all and starts anew.
-REMEMBERED = 400_000
-#: Rows of one Arrow batch are encoded together, so that no batch holds more than a few MB of ids.
-TOKENIZED = "row long, part int, start long, n long, ids binary"
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Words, and pieces of words, whose ids a worker remembers twice over: a full table is kept as the older one until the next is full.
+REMEMBERED = 450_000
+#: Texts with other characters are left to the tokenizer: for these its lower case, white space and character classes agree with Python's.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+#: Parts the ids of texts and words in a row; no four bytes of 32-bit ids look like it, whatever the alignment.
+_BREAK = b"\xff\xff\xff\xff"
+
+
+class Memory:
+    """Ids by name, for about the names used last."""
+
+    def __init__(self, mark: str):
+        self.mark, self.old, self.now = mark, {}, {mark: _BREAK}
+
+    def missing(self, names: set[str]) -> set[str]:
+        if len(self.now) + len(names) > REMEMBERED:
+            self.old, self.now = self.now, {self.mark: _BREAK}
+        new = names - self.now.keys()
+        back = new & self.old.keys()
+        self.now.update(zip(back, map(self.old.__getitem__, back)))
+        return new - back
+
+    def join(self, names: list[str]) -> list[bytes]:
+        return b"".join(map(self.now.__getitem__, names)).split(_BREAK)
 
 
 class WordEncoder:
-    """Ids of texts, as little-endian unsigned 32-bit numbers, from a tokenizers file.
+    """Ids of texts, as little-endian unsigned 32-bit numbers, from a tokenizers file that lower-cases and drops white space.
 
-    The tokenizer drops white space and never joins what white space parts, so the ids of a text are those of its words in a
-    row. Each word is encoded once while it is remembered.
+    Such a tokenizer never joins what white space parts, so the ids of a text are those of its words in a row, and the ids
+    of a word those of its pieces (letters, single digits, other characters). Each is encoded once while it is remembered;
+    new pieces are encoded together, parted by spaces. A text with characters outside _PLAIN, or with what could be a
+    special token, is encoded as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        known, parts = self.known, text.split(" ") if text.isascii() and text.isprintable() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = [w for w in dict.fromkeys(parts) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for at in range(0, len(new), 10_000):
-                some = new[at : at + 10_000]
-                ids = [x.ids for x in self.encode(some, add_special_tokens=False)]
-                flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-                end = 0
-                for w, x in zip(some, ids, strict=True):
-                    known[w] = flat[end : (end := end + 4 * len(x))]
-            return b"".join(map(known.__getitem__, parts))
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For pieces that are cut and lower-cased already: their model alone.
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.model._resize_cache(0)
+        self.words, self.pieces = Memory("\0"), Memory("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: list[str]) -> None:
+        cut = _PIECES.findall("\n".join(new).lower())
+        names = list(self.pieces.missing(set(cut)))
+        for low in range(0, len(names), 2000):
+            some = names[low : low + 2000]
+            coded = self.bare.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4").tobytes()
+            ends = (np.searchsorted(np.array(coded.word_ids), np.arange(len(some)), side="right") * 4).tolist()
+            self.pieces.now.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        self.words.now.update(zip(new, self.pieces.join(cut), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        flat = " \0 ".join(t for t, p in zip(texts, plain, strict=True) if p).split()
+        new = self.words.missing(set(flat))
+        if new:
+            self.learn(list(new))
+        done = iter(self.words.join(flat))
+        return [next(done) if p else self.whole(t) for t, p in zip(texts, plain, strict=True)]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -61,12 +94,12 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            for low in range(0, batch.num_rows, 500):
-                ids = [encode(t or "") + end for t in texts.slice(low, 500).to_pylist()]
+            for low in range(0, batch.num_rows, 1500):
+                ids = [x + end for x in encode([t or "" for t in texts.slice(low, 1500).to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], "i8")
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([names.slice(low, 500), pa.array(np.full(len(ids), part, "i4")), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([names.slice(low, 1500), pa.array(np.full(len(ids), part, "i4")), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["doc_id", "part", "start", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, part int, start long, n long, ids binary")
 
@@ -91,6 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, w
     Null or empty text: end_id alone. Repeated rows: packed each. Null doc_id stays null. Very long texts: many pieces,
     made a few at a time. Empty table: no rows. Other columns of the input are not read.
     """
+    bound_batches(docs.sparkSession)
     tokens = materialize(tokenized(docs, tokenizer, end_id), "tokens")
     placed = tokens.join(small(materialize(part_offsets(tokens.select("part", "n")), "parts")), "part")
 
