@@ -71,3 +71,30 @@ def transcript_profile(sites: DataFrame, transcripts: DataFrame, genome: DataFra
     comp = profiles.composition(profiles.window_sequences(windows, genome, 2 * half))
     background = comp.where(F.col("kmer") == base).select((F.col("offset") - (half - 1)).alias("rel_pos"), F.col("n").alias("norm_count"))
     return profiles.anchored(pairs, F.col("center"), background)
+
+
+def transcription_states(track: DataFrame, both_strands: bool = False, shift: int = 1) -> DataFrame:
+    """Intervals of an occupancy track, moved by shift, with state: transcribed above 0; silent below 0 (both_strands) or at 0; the rest goes."""
+    silent = F.col("occupancy") < 0 if both_strands else F.col("occupancy") == 0
+    state = F.when(F.col("occupancy") > 0, "transcribed").when(silent, "silent")
+    moved = track.withColumn("state", state).where("state is not null")
+    return moved.withColumn("start", F.col("start") + shift).withColumn("end", F.col("end") + shift)
+
+
+def transcription_signature(sites: DataFrame, track: DataFrame, genome: DataFrame, k: int = 3, both_strands: bool = False) -> DataFrame:
+    """(state, context, total_norm): signatures of the sites in transcribed and silent intervals over the k-mers centred there."""
+    states = transcription_states(track, both_strands)
+    half = k // 2
+    seqs = contexts.with_sequence(states, genome, F.col("start") - half + 1, F.col("end") - F.col("start") + 2 * half, "seq")
+    background = contexts.kmer_counts(seqs, k, ["state"]).withColumnsRenamed({"kmer": "context", "n": "ref"})
+    pairs = intervals.overlap_join(intervals.site_intervals(contexts.annotate(sites, genome, (k,))), states.select("chrom", "start", "end", "state"))
+    observed = contexts.context_counts(pairs, f"context_{k}", ["state"]).where("context <> '-'")
+    norm = observed.join(background, ["state", "context"], "left").select("state", "context", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)).alias("v"))
+    total = norm.groupBy("state").agg(F.sum("v").alias("_t"))
+    return norm.join(total, "state").select("state", "context", F.try_divide("v", "_t").alias("total_norm"))
+
+
+def pipeline_schema(sites: DataFrame) -> DataFrame:
+    """Annotated detector sites in the schema that the other analyses read: mer is the pentamer, coverage and frequencies are 0, value is the p-value."""
+    zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
+    return sites.select("chrom", "pos", "base", "strand", F.col("context_5").alias("mer"), zero("min_coverage", "long"), zero("untreated_freq", "double"), zero("treated_freq", "double"), F.col("pvalue").alias("value"), "context_5", "context_3")

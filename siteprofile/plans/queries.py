@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import contexts, intervals, profiles, spectral, statistics
+from ..operators import contexts, intervals, profiles, reads, spectral, statistics
+from ..sources import readers
 from . import pipelines, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,3 +479,61 @@ def dirichlet_null(spark, d):
 @query("random_subset")
 def random_subset(spark, d):
     return statistics.random_subset(tables.sites(spark, d), 500, ["site_id"])
+
+
+_TRACK = ", tr AS (SELECT id, chrom, center - 10 AS \"start\", center + 10 AS \"end\", CAST(id % 3 - 1 AS DOUBLE) AS occupancy FROM regions WHERE center > 20), st AS (SELECT chrom, \"start\" + 1 AS \"start\", \"end\" + 1 AS \"end\", CASE WHEN occupancy > 0 THEN 'transcribed' ELSE 'silent' END AS state FROM tr WHERE occupancy >= 0)"
+
+
+@query("transcription_signature", _TRACK + ", w AS (SELECT state, seq[\"start\":\"end\" + 1] AS s FROM st JOIN genome USING (chrom) WHERE \"start\" <= length(seq)), b AS (SELECT state, s[i:i + 2] AS context, count(*) AS ref FROM (SELECT state, s, unnest(range(1, length(s) - 1)) AS i FROM w) GROUP BY 1, 2), o AS (SELECT st.state, c3 AS context, count(*) AS n FROM contexts s JOIN st ON s.chrom = st.chrom AND s.pos - 1 < st.\"end\" AND st.\"start\" < s.pos WHERE c3 <> '-' GROUP BY 1, 2), v AS (SELECT o.state, o.context, coalesce(n / CAST(ref AS DOUBLE), 0) AS v FROM o LEFT JOIN b USING (state, context)) SELECT state, context, round(v / sum(v) OVER (PARTITION BY state), 9) AS total_norm FROM v")
+def transcription_signature(spark, d):
+    track = tables.regions(spark, d).where("center > 20").select("chrom", (F.col("center") - 10).alias("start"), (F.col("center") + 10).alias("end"), (F.col("id") % 3 - 1).cast("double").alias("occupancy"))
+    return pipelines.transcription_signature(tables.sites(spark, d), track, tables.genome(spark, d)).withColumn("total_norm", r9("total_norm"))
+
+
+@query("pipeline_schema", " SELECT chrom, pos, base, strand, c5 AS mer, CAST(0 AS BIGINT) AS min_coverage, CAST(0 AS DOUBLE) AS untreated_freq, CAST(0 AS DOUBLE) AS treated_freq, pvalue AS value, c5 AS context_5, c3 AS context_3 FROM contexts WHERE pvalue < 0.05")
+def pipeline_schema(spark, d):
+    return pipelines.pipeline_schema(contexts.annotate(significant(spark, d), tables.genome(spark, d)))
+
+
+@query("detector_sites", "WITH x AS (SELECT concat(l_orderkey, '_', l_linenumber) AS id, l_returnflag AS chrm, l_suppkey AS p, CAST(l_linenumber AS INTEGER) AS e FROM lineitem) SELECT id, CASE WHEN chrm = 'N' THEN 'chrM' ELSE concat('chr', chrm) END AS chrom, p AS pos, round(10.0::DOUBLE ** -e, 9) AS pvalue FROM x")
+def detector_sites(spark, d):
+    rows = tables.load(spark, d, "lineitem").select(
+        F.concat_ws("_", "l_orderkey", "l_linenumber").alias("strand"), F.when(F.col("l_returnflag") == "N", "Mito").otherwise(F.col("l_returnflag")).alias("chrm"), F.col("l_suppkey").alias("end"), F.concat(F.lit("site: "), F.col("l_linenumber").cast("string")).alias("reg_text")
+    )
+    return readers.detector(rows).select(F.col("strand").alias("id"), "chrom", "pos", r9("pvalue").alias("pvalue"))
+
+
+_READS = "WITH r AS (SELECT l_orderkey, l_partkey AS chrom, l_suppkey AS s, l_suppkey + CAST(l_quantity AS BIGINT) AS e, l_linenumber AS n, (l_orderkey * 37 + l_linenumber * 101) % 2048 AS flag, l_partkey % 60 AS mapq FROM lineitem)"
+
+
+def _alignments(spark, d):
+    rows = tables.load(spark, d, "lineitem")
+    return rows.select("l_orderkey", F.col("l_partkey").alias("chrom"), F.col("l_suppkey").alias("start"), (F.col("l_suppkey") + F.col("l_quantity").cast("long")).alias("end"), F.col("l_linenumber").alias("n"), ((F.col("l_orderkey") * 37 + F.col("l_linenumber") * 101) % 2048).alias("flag"), (F.col("l_partkey") % 60).alias("mapq"))
+
+
+@query("read_statistics", _READS + " SELECT count(*) AS n, count(*) FILTER (flag & 4 = 0) AS mapped, count(*) FILTER (flag & 2 = 2) AS proper, count(*) FILTER (flag & 12 = 12) AS pair_unmapped, count(*) FILTER (flag & 1024 = 1024) AS duplicates, count(*) FILTER (flag & 256 = 256) AS secondary, count(*) FILTER (mapq >= 30) AS good FROM r")
+def read_statistics(spark, d):
+    return reads.statistics(_alignments(spark, d))
+
+
+@query("read_sites", _READS + ", p AS (SELECT chrom, CASE WHEN flag & 16 = 16 THEN CASE WHEN e <> 60 THEN e + 1 END ELSE CASE WHEN s <> 0 THEN s - 1 END END AS pos, CASE WHEN flag & 16 = 16 THEN '-' ELSE '+' END AS strand FROM r WHERE flag & 64 = 64 AND flag & 256 = 0) SELECT chrom, pos, strand, count(*) AS n FROM p WHERE pos IS NOT NULL GROUP BY 1, 2, 3")
+def read_sites(spark, d):
+    a = _alignments(spark, d)
+    flags = a.select("chrom", "start", "end", reads.has("flag", reads.REVERSE).alias("is_reverse"), reads.has("flag", reads.FIRST).alias("is_read1"), reads.has("flag", reads.SECONDARY).alias("is_secondary"), F.lit(60).cast("long").alias("chrom_len"))
+    return readers.read_sites(flags).groupBy("chrom", "pos", "strand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("distinct_read_pairs", _READS + " SELECT count(*) AS n FROM (SELECT DISTINCT s, e FROM r WHERE flag & 2 = 2)")
+def distinct_read_pairs(spark, d):
+    return reads.distinct_pairs(reads.proper_pairs(_alignments(spark, d)), "start", "end").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_subset", _READS + " SELECT l_orderkey, n FROM r WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def read_subset(spark, d):
+    ids = tables.load(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return reads.subset(_alignments(spark, d), ids, "l_orderkey").select("l_orderkey", "n")
+
+
+@query("adapter_filter", "SELECT c_custkey FROM customer WHERE NOT starts_with(c_mktsegment, 'AUTOMOBILE')")
+def adapter_filter(spark, d):
+    return reads.without_adapter(tables.load(spark, d, "customer"), "xAUTOMOBILE", 9, ("c_mktsegment",)).select("c_custkey")
