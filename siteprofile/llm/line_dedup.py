@@ -16,8 +16,8 @@ MAX_BITS, SIMILARITY = 3, 0.8
 LEAST_WORDS = 5
 #: 64 bits in 5 blocks: two lines that differ in at most 3 bits agree in 2 whole blocks at least, so each pair of blocks is a key.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Words that one row of counters sums up: each of its 64 counters has 16 bits.
-CHUNK = 60_000
+#: Words that one row of counters sums up: each of its 64 counters has 14 bits and two to spare.
+CHUNK = 16_000
 
 
 def normal(line: Column) -> Column:
@@ -49,11 +49,13 @@ def simhashes(docs: DataFrame) -> DataFrame:
     lane = F.lit(0x0001000100010001)
     sums = [F.sum(F.shiftrightunsigned("_x", j).bitwiseAND(lane)).alias(f"_s{j}") for j in range(16)]
     counted = words.groupBy("_id", "_rid", "pos", "line", "part").agg(*sums, F.count(F.lit(1)).alias("_n"))
+    # In each lane, 2^14 less the least majority is added: bit 14 is then set where the majority is reached.
+    majority = F.floor(F.col("_n") / 2) + 1
+    counted = counted.withColumn("_add", (F.lit(1 << 14) - majority) * lane)
     sim = F.lit(0).cast("long")
     for j in range(16):
-        for k in range(4):
-            count, bit = F.shiftrightunsigned(f"_s{j}", 16 * k).bitwiseAND(F.lit(0xFFFF)), j + 16 * k
-            sim = sim.bitwiseOR(F.when(count * 2 > F.col("_n"), F.lit((1 << bit) - ((1 << 64) if bit == 63 else 0))).otherwise(F.lit(0)).cast("long"))
+        reached = (F.col(f"_s{j}") + F.col("_add")).bitwiseAND(F.lit(0x4000400040004000))
+        sim = sim.bitwiseOR(F.shiftrightunsigned(reached, 14 - j) if j < 15 else F.shiftleft(reached, 1))
     return counted.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", "part", "line", F.col("_n").alias("n_words"), sim.alias("sim"))
 
 
@@ -113,7 +115,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     labelled = lines.where("part = 0").join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = labelled.join(first, "group").where("at <> first").groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set("at.pos").alias("_gone"))
-    rows = _documents(docs).join(gone, "_rid", "left").withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    rows = _documents(docs).join(gone.hint("shuffle_hash"), "_rid", "left").withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.size("_gone") == 0, F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
