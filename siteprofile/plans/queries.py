@@ -54,7 +54,8 @@ def kmer_background_genome(spark, d):
 
 @query(
     "kmer_background_joined",
-    ", j AS (SELECT string_agg(seq, '' ORDER BY chrom) AS s FROM genome) SELECT s[i:i + 2] AS kmer, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM j) GROUP BY 1",
+    ", h AS (SELECT chrom, seq[greatest(length(seq) - 1, 1):length(seq)] AS tail, seq[1:2] AS head FROM genome WHERE length(seq) > 0), j AS (SELECT length(tail) AS t, concat(tail, concat(lead(head) OVER o, lead(head, 2) OVER o)[1:2]) AS s FROM h WINDOW o AS (ORDER BY chrom)), "
+    "e AS (SELECT s[i:i + 2] AS kmer FROM (SELECT s, unnest(range(1, least(t, length(s) - 2) + 1)) AS i FROM j)) SELECT kmer, count(*) AS n FROM (SELECT kmer FROM k3 UNION ALL SELECT kmer FROM e) GROUP BY 1",
 )
 def kmer_background_joined(spark, d):
     return contexts.genome_kmer_counts(tables.genome(spark, d), 3, span_chromosomes=True)
