@@ -140,8 +140,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, w
                 size = np.minimum((begin + n)[doc], (sequence + 1) * length) - first
                 start = first - begin[doc]
                 ids = some.column(3)
-                views = [memoryview(ids[i].as_buffer()) for i in range(len(n))]
-                cut = [views[d][4 * s : 4 * (s + z)] for d, s, z in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
+                texts = ids.to_pylist()
+                cut = [texts[d][4 * s : 4 * (s + z)] for d, s, z in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True)]
                 names = some.column(0).take(pa.array(doc))
                 arrays = [names, start, size, np.fromiter(map(zlib.crc32, cut), "i8", len(cut)), n[doc], sequence, first - sequence * length]
                 if with_ids:

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import bound_batches, materialize, small
 from .jaccard import Powers, mixed
 
 #: A substring of LENGTH bytes that starts earlier too is removed; GRAM bytes make an anchor.
 LENGTH, GRAM = 100, 32
 #: Distinct snippets of one anchor that are sorted in memory; beyond, Spark sorts their windows.
 GROUP = 4_000
+#: Bytes of text that are hashed at once; the arrays made of them are some twenty times as large.
+RUN = 1 << 18
 _BITS = 22
 _powers = Powers()
 
@@ -62,12 +64,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows in runs of at most 2 MB of text, or one row; (first row, texts)."""
+    """Rows in runs of at most RUN bytes of text, or one row; (first row, texts)."""
     texts, low, size, some = batch.column(column), 0, 0, []
     for i in range(batch.num_rows):
         t = texts[i]
         b = t.as_buffer().to_pybytes() if t.is_valid else b""
-        if some and size + len(b) > 1 << 21:
+        if some and size + len(b) > RUN:
             yield low, some
             low, size, some = i, 0, []
         some.append(b)
@@ -76,7 +78,7 @@ def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]
         yield low, some
 
 
-def _cut(text: bytes, most: int = 1 << 21) -> list[tuple[int, bytes]]:
+def _cut(text: bytes, most: int = 1 << 19) -> list[tuple[int, bytes]]:
     """A text in parts of at most most bytes that overlap by LENGTH - 1, so that each window lies in one part; (start, part)."""
     if len(text) <= most:
         return [(0, text)]
@@ -133,17 +135,18 @@ def snippets(docs: DataFrame, spots: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                text, spots = batch.column(2)[i].as_buffer(), batch.column(3)[i].values
-                view, spot = memoryview(text), spots.field("spot").to_numpy()
+                text, spots = batch.column(2)[i].as_py(), batch.column(3)[i].values
+                spot = spots.field("spot").to_numpy()
                 place = spot >> 14
                 first, last = place - ((spot >> 7) & 127), place - (spot & 127)
                 for low in range(0, len(spot), 10_000):
                     a, b = first[low : low + 10_000], last[low : low + 10_000]
-                    cut = [view[x : y + LENGTH] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    cut = [text[x : y + LENGTH] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
                     one = pa.array(np.full(len(a), i))
                     yield pa.RecordBatch.from_arrays([spots.field("hash").slice(low, len(a)), batch.column(0).take(one), batch.column(1).take(one), pa.array(a), pa.array(b), pa.array(cut, pa.binary())], ["hash", "doc", "tag", "first", "last", "bytes"])
 
-    joined = docs.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "spots")
+    # The texts stream past a table of the places: sorting them would hold whole texts.
+    joined = docs.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "spots")
     return joined.mapInArrow(run, "hash long, doc long, tag long, first long, last long, bytes binary")
 
 
@@ -198,7 +201,7 @@ def repeats(pieces: DataFrame) -> DataFrame:
                     if len(seen) > 1 and not crowded:
                         queue += seen.values()
                         queued += sum(r[3] - r[2] + 1 for r in seen.values())
-                        if queued > 150_000:
+                        if queued > 30_000:
                             out += ranges(queue)
                             queue, queued = [], 0
                     key, seen, crowded = hash_, {}, False
@@ -244,6 +247,24 @@ def crowded_repeats(rest: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc long, tag long, first long, last long")
 
 
+def without(data: bytes, cuts: pa.Scalar, copy: bool | None) -> tuple[bytes, int]:
+    """The bytes outside the windows that start in the ranges cuts, and the number of runs that go; nothing stays of a copy."""
+    if copy:
+        return b"", 1
+    if not cuts.is_valid:
+        return data, 0
+    first, last = cuts.values.field("first").to_numpy(), cuts.values.field("last").to_numpy()
+    by = np.argsort(first, kind="stable")
+    low, high = first[by], np.maximum.accumulate(last[by] + LENGTH)
+    head = np.concatenate([[True], low[1:] > high[:-1]])
+    starts, ends = low[head], np.append(high[:-1][head[1:]], high[-1])
+    edge, parts = 0, []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        parts.append(data[edge:a])
+        edge = b
+    return b"".join([*parts, data[edge:]]), len(starts)
+
+
 def deduplicate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """row (the columns in keep, or all), kept (binary), n_bytes, n_removed and n_spans of each document.
 
@@ -259,6 +280,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     doc_id: with the same text, one document that comes back as often; with other texts, in the order of a text hash. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
+    bound_batches(docs.sparkSession)
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     several = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() > 0
     tag = F.xxhash64(text) if several else F.lit(0).cast("long")
@@ -277,38 +299,15 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     if crowded.limit(1).count():
         ranges = ranges.unionByName(crowded_repeats(crowded))
     cuts = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    joined = rows.join(cuts.join(copies, ["doc", "tag"], "full"), ["doc", "tag"], "left")
+    joined = rows.join(cuts.join(copies, ["doc", "tag"], "full").hint("shuffle_hash"), ["doc", "tag"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, all_text, cuts, copy = (batch.column(i) for i in range(4))
-            kept, size, spans = [], [], []
-            for i in range(batch.num_rows):
-                data = all_text[i].as_buffer().to_pybytes()
-                size.append(len(data))
-                if copy[i].as_py():
-                    kept.append(b"")
-                    spans.append(1)
-                    continue
-                if not cuts[i].is_valid:
-                    kept.append(data)
-                    spans.append(0)
-                    continue
-                pairs = cuts[i].values
-                first, last = pairs.field("first").to_numpy(), pairs.field("last").to_numpy()
-                by = np.argsort(first, kind="stable")
-                low, high = first[by], np.maximum.accumulate(last[by] + LENGTH)
-                head = np.concatenate([[True], low[1:] > high[:-1]])
-                starts, ends = low[head], np.append(high[:-1][head[1:]], high[-1])
-                edge, parts = 0, []
-                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                    parts.append(data[edge:a])
-                    edge = b
-                kept.append(b"".join([*parts, data[edge:]]))
-                spans.append(len(starts))
-            n = np.array(size, "i8")
-            left = np.array([len(k) for k in kept], "i8")
-            yield pa.RecordBatch.from_arrays([row, pa.array(kept, pa.binary()), pa.array(n), pa.array(n - left), pa.array(spans, pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+            for low, texts in _runs(batch, 1):
+                some = batch.slice(low, len(texts))
+                kept, spans = zip(*(without(t, some.column(2)[i], some.column(3)[i].as_py()) for i, t in enumerate(texts)), strict=True)
+                n, left = (np.array([len(x) for x in many], "i8") for many in (texts, kept))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(kept, pa.binary()), pa.array(n), pa.array(n - left), pa.array(spans, pa.int64())], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     schema = joined.select("row").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     return joined.select("row", "text", "cuts", "copy").mapInArrow(run, schema)
