@@ -36,15 +36,20 @@ def window_at(seq: Column, pos: Column, k: int) -> Column:
     return F.when(first >= 1, F.substring(seq, first.cast("int"), F.lit(k))).otherwise("")
 
 
+def _pieces(seq: Column, k: int, step: int, last: Column) -> Column:
+    """The k bases at 1, 1 + step, ... up to last. They are cut from the bytes of the sequence, which are made once a row: a place in a string would be searched from its start each time."""
+    cut = F.transform(F.array(seq.cast("binary")), lambda b: F.transform(F.sequence(F.lit(1), last, F.lit(step)), lambda i: F.substring(b, i, F.lit(k)).cast("string")))[0]
+    return F.when(last >= 1, cut).otherwise(F.array().cast("array<string>"))
+
+
 def kmers(seq: Column, k: int) -> Column:
-    """Array of the k-mers of a sequence, step 1; empty for sequences shorter than k."""
-    last = F.length(seq) - k + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """Array of the k-mers of a sequence of ASCII letters, step 1; empty for sequences shorter than k."""
+    return _pieces(seq, k, 1, F.length(seq) - k + 1)
 
 
 def chunks(seq: Column, k: int) -> Column:
     """Array of the pieces of k bases that follow each other; the last may be shorter."""
-    return F.when(F.length(seq) >= 1, F.transform(F.sequence(F.lit(1), F.length(seq), F.lit(k)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return _pieces(seq, k, k, F.length(seq))
 
 
 def mer_context(mer: Column, k: int) -> Column:

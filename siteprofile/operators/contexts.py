@@ -15,10 +15,10 @@ CHUNK, HALO = 16_384, 1_100
 def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     """genome (chrom, seq) in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk. A chromosome of any length is spread over many rows."""
     n = F.length("seq")
-    made = genome.where(n > 0).select("chrom", "seq", n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
+    made = genome.where(n > 0).select("chrom", F.col("seq").cast("binary").alias("_b"), n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
     first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(1))
     last = F.least((F.col("chunk") + 1) * chunk + halo, F.col("len"))
-    return made.select("chrom", "chunk", first.alias("first"), F.substring("seq", first, (last - first + 1).cast("int")).alias("part"), "len")
+    return made.select("chrom", "chunk", first.alias("first"), F.substring("_b", first.cast("int"), (last - first + 1).cast("int")).cast("string").alias("part"), "len")
 
 
 def with_sequence(rows: DataFrame, genome: DataFrame, pos, length, name: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
@@ -66,6 +66,7 @@ def genome_kmer_counts(genome: DataFrame, k: int, span_chromosomes: bool = False
     # A k-mer over the edge starts in this tail; as many heads follow as may be short.
     after = F.left(F.concat(*[F.coalesce(F.lead("head", i).over(w), F.lit("")) for i in range(1, k)]), F.lit(k - 1))
     seam = edge.withColumn("seq", F.concat("tail", after)).withColumn("_t", F.length("tail"))
+    # Seams are a few bases long.
     starts = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(1), F.least(F.col("_t"), F.length("seq") - k + 1)), lambda i: F.substring("seq", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
     seams = seam.select(F.explode(starts).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
     return bodies.unionByName(seams).groupBy("kmer").agg(F.sum("n").alias("n"))
