@@ -22,14 +22,42 @@ def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFram
 
 
 def with_sequence(rows: DataFrame, genome: DataFrame, pos, length, name: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """rows with the bases pos .. pos + length - 1 of their chrom as name (length at most halo). Bases off the chromosome are missing; a start before the first base, or an unknown chrom, gives an empty string."""
-    anchor = F.greatest(pos.cast("long"), F.lit(1))
-    keyed = rows.withColumn("_pos", pos.cast("long")).withColumn("_n", F.lit(length).cast("int") if isinstance(length, int) else length.cast("int")).withColumn("_chunk", F.floor((anchor - 1) / chunk).cast("int"))
+    """rows with the bases pos .. pos + length - 1 of their chrom as name, at any length. Bases off the chromosome are missing; a start before the first base, or an unknown chrom, gives an empty string.
+
+    The chunk of its start holds a window of up to halo bases; a fixed length widens the halo. Of lengths by row, those over
+    the halo are put together from all chunks that they touch.
+    """
+    fixed = isinstance(length, int)
+    halo = max(halo, length) if fixed else halo
+    keyed = rows.withColumn("_pos", pos.cast("long")).withColumn("_n", F.lit(length).cast("int") if fixed else length.cast("int"))
+    if fixed:
+        return _within(keyed, genome, name, chunk, halo).drop("_pos", "_n")
+    long = F.coalesce(F.col("_n") > halo, F.lit(False))
+    return _within(keyed.where(~long), genome, name, chunk, halo).unionByName(_across(keyed.where(long), genome, name, chunk)).drop("_pos", "_n")
+
+
+def _within(keyed: DataFrame, genome: DataFrame, name: str, chunk: int, halo: int) -> DataFrame:
+    """with_sequence for windows _pos, _n of at most halo bases: one chunk has all of each."""
+    keyed = keyed.withColumn("_chunk", F.floor((F.greatest(F.col("_pos"), F.lit(1)) - 1) / chunk).cast("int"))
     parts = chunked(genome, chunk, halo).select("chrom", F.col("chunk").alias("_chunk"), F.col("first").alias("_first"), F.col("part").alias("_part"), F.col("len").alias("_len"))
     joined = keyed.join(parts, ["chrom", "_chunk"], "left")
     inside = (F.col("_pos") >= 1) & (F.col("_pos") <= F.col("_len"))
     text = F.when(inside, F.substring("_part", (F.col("_pos") - F.col("_first") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0)))).otherwise("")
-    return joined.withColumn(name, F.coalesce(text, F.lit(""))).drop("_pos", "_n", "_chunk", "_first", "_part", "_len")
+    return joined.withColumn(name, F.coalesce(text, F.lit(""))).drop("_chunk", "_first", "_part", "_len")
+
+
+def _across(keyed: DataFrame, genome: DataFrame, name: str, chunk: int) -> DataFrame:
+    """with_sequence for windows _pos, _n of any length: different windows are cut at the chunks' ends and their pieces joined."""
+    window = ["chrom", "_pos", "_n"]
+    last = F.col("_pos") + F.col("_n") - 1
+    touched = F.sequence(F.floor((F.col("_pos") - 1) / chunk).cast("int"), F.floor((last - 1) / chunk).cast("int"))
+    cut = keyed.where("_pos >= 1").select(*window).distinct().select(*window, F.explode(touched).alias("_chunk"))
+    parts = chunked(genome, chunk, 0).select("chrom", F.col("chunk").alias("_chunk"), F.col("first").alias("_first"), F.col("part").alias("_part"))
+    start = F.greatest(F.col("_pos"), F.col("_first"))
+    piece = F.substring("_part", (start - F.col("_first") + 1).cast("int"), (last - start + 1).cast("int"))
+    pieces = cut.join(parts, ["chrom", "_chunk"]).groupBy(*window).agg(F.array_sort(F.collect_list(F.struct("_chunk", piece.alias("piece")))).alias("_pieces"))
+    whole = pieces.select(*window, F.array_join(F.col("_pieces.piece"), "").alias("_whole"))
+    return keyed.join(whole, window, "left").withColumn(name, F.coalesce("_whole", F.lit(""))).drop("_whole")
 
 
 def annotate(sites: DataFrame, genome: DataFrame, lengths=(3, 5)) -> DataFrame:
