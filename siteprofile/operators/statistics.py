@@ -82,16 +82,17 @@ def multinomial_null(probabilities: DataFrame, n_random: int, seed: int = 42) ->
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            total: dict[int, np.ndarray] = {}
+            total: dict[tuple[int, ...], np.ndarray] = {}  # groups of the same positions are summed as one table
             for n, s, position, p in batch.itertuples(index=False):
                 drawn = np.random.default_rng(int(s)).multinomial(int(n), np.asarray(p) / np.sum(p), size=n_random)
-                for j, where in enumerate(position):
-                    if where in total:
-                        total[where] += drawn[:, j]
-                    else:
-                        total[where] = drawn[:, j].astype("i8")
+                where = tuple(position)
+                if where in total:
+                    total[where] += drawn
+                else:
+                    total[where] = drawn.astype("i8")
             for where, counts in total.items():
-                yield pd.DataFrame({"replicate": np.arange(n_random), "position": int(where), "n": counts})
+                for j, at in enumerate(where):
+                    yield pd.DataFrame({"replicate": np.arange(n_random), "position": int(at), "n": counts[:, j]})
 
     return groups.mapInPandas(draw, "replicate long, position long, n long").groupBy("replicate", "position").agg(F.sum("n").alias("n"))
 

@@ -15,6 +15,8 @@ from . import pipelines, tables
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Replicates of the null models, as in the reference.
+N_RANDOM = 1000
 
 
 def query(name: str, sql: str | None = None):
@@ -462,12 +464,12 @@ def dense_profile(spark, d):
 @query("multinomial_null")
 def multinomial_null(spark, d):
     p = profiles.window_probabilities(profiles.window_groups(pairs(spark, d)), tables.genome(spark, d), signature3(spark, d), 147)
-    return statistics.multinomial_null(p, 50)
+    return statistics.multinomial_null(p, N_RANDOM)
 
 
 @query("randomised_peak")
 def randomised_peak(spark, d):
-    found, p = pipelines.randomised_peak(tables.sites(spark, d), tables.regions(spark, d), tables.genome(spark, d), signature3(spark, d), 50)
+    found, p = pipelines.randomised_peak(tables.sites(spark, d), tables.regions(spark, d), tables.genome(spark, d), signature3(spark, d), N_RANDOM)
     return found.crossJoin(p)  # one row each
 
 

@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from siteprofile.operators import contexts
-from siteprofile.plans import pipelines
+from siteprofile.operators import contexts, statistics
+from siteprofile.plans import pipelines, queries
 
 
 def letters(n, seed):
@@ -39,3 +39,21 @@ def test_transcript_profile_over_a_chunk_end(spark):
         for j, x in enumerate(seq[s - 1 : s + 1299]):
             want[j - 649] = want.get(j - 649, 0) + (x == "G")
     assert {k: v for k, v in out.items() if v} == {k: v for k, v in want.items() if v}
+
+
+def test_null_models_have_a_thousand_replicates(spark, monkeypatch):
+    seen = []
+    p = spark.createDataFrame([(1, "+", 4, j, 0.25) for j in range(4)], "id long, strand string, n long, position long, p double")
+    real = statistics.multinomial_null
+    monkeypatch.setattr(queries.profiles, "window_probabilities", lambda *a, **k: p)
+    monkeypatch.setattr(statistics, "multinomial_null", lambda *a: seen.append(a[1]) or real(*a))
+    for name in ("pairs", "signature3"):
+        monkeypatch.setattr(queries, name, lambda *a, **k: p)
+    for name in ("sites", "regions", "genome"):
+        monkeypatch.setattr(queries.tables, name, lambda *a, **k: p)
+    monkeypatch.setattr(queries.profiles, "window_groups", lambda x: x)
+    out = queries.QUERIES["multinomial_null"](spark, "").collect()
+    assert len({r.replicate for r in out}) == 1000 and sum(r.n for r in out) == 4000
+    monkeypatch.setattr(queries.pipelines, "randomised_peak", lambda *a, **k: (seen.append(a[4]), (p, p))[1])
+    queries.QUERIES["randomised_peak"](spark, "")
+    assert seen == [1000, 1000]
