@@ -1,21 +1,26 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: candidates by rare words or by SimHash, edit similarity, connected groups."""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, materialize, small
+from .common import bind, components, materialize, small
 
-#: Lines link if their SimHashes differ in at most MAX_BITS of 64 bits and their edit similarity is at least SIMILARITY.
+#: Lines link if their edit similarity is at least SIMILARITY and, where the caller asks for SimHashes, these differ in at most MAX_BITS of 64 bits.
 MAX_BITS, SIMILARITY = 3, 0.8
 #: Lines with fewer words link only if they are equal: one word less is too much.
 LEAST_WORDS = 5
 #: 64 bits in 5 blocks: two lines that differ in at most 3 bits agree in 2 whole blocks at least, so each pair of blocks is a key.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Words are ranked by counts of hash buckets in one of SAMPLE lines; a word is frequent if its bucket has FREQUENT lines more than most.
+BUCKETS, SAMPLE, FREQUENT = 1 << 16, 8, 64
+#: Lines from here on have keys of one word only, as their frequent words make too many pairs.
+LONG = 160
 #: Words that one row of counters sums up: each of its 64 counters has 14 bits and two to spare.
 CHUNK = 16_000
 
@@ -81,38 +86,104 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) for the lines, by hash, that link to a line with another hash."""
+    """(node, component) for the lines, by hash, that link to a line with another hash, of the pairs whose SimHashes are within MAX_BITS."""
     distinct = lines.where(F.col("n_words") >= LEAST_WORDS).select("line", "sim").distinct()
-    keyed = distinct.select("line", "sim", F.explode(block_keys(F.col("sim"))).alias("key"))
+    keyed = distinct.select("line", F.struct("sim").alias("sign"), F.explode(block_keys(F.col("sim"))).alias("key"))
+    return linked(keyed, lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MAX_BITS, lines, docs)
+
+
+def linked(keyed: DataFrame, near, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) for the lines, by hash, that link to a line with another hash. keyed has key, line and sign; pairs under one key whose signs are near are verified."""
     by_key = Window.partitionBy("key")
-    bucketed = keyed.withColumn("lead", F.min(F.struct("line", "sim")).over(by_key)).withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1")
-    bucketed = materialize(bucketed.select("key", "line", "sim", F.col("lead.line").alias("lead"), F.col("lead.sim").alias("lead_sim")), "line-buckets")
-    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+    bucketed = keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(by_key)).withColumn("last", F.max("line").over(by_key)).where("lead.line < last")
+    bucketed = materialize(bucketed.select("key", "line", "sign", F.col("lead.line").alias("lead"), F.col("lead.sign").alias("lead_sign")), "line-buckets")
     # First each line with the first of its bucket; then only lines of one bucket that are not in one component yet.
-    stars = verified(bucketed.where("line <> lead").where(bits("sim", "lead_sim")).select(F.col("line").alias("a"), F.col("lead").alias("b")), lines, docs)
+    stars = verified(bucketed.where("line <> lead").where(near(F.col("sign"), F.col("lead_sign"))).select(F.col("line").alias("a"), F.col("lead").alias("b")), lines, docs)
     known = materialize(components(stars), "line-components")
-    labelled = bucketed.join(small(known), bucketed["line"] == known["node"], "left").select("key", "line", "sim", "lead", F.coalesce("component", "line").alias("c"))
+    labelled = bucketed.join(small(known), bucketed["line"] == known["node"], "left").select("key", "line", "sign", "lead", F.coalesce("component", "line").alias("c"))
     left, right = labelled.alias("x"), labelled.alias("y")
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.line") > F.col("y.line")) & (F.col("y.line") != F.col("x.lead")) & (F.col("x.c") != F.col("y.c")) & bits("x.sim", "y.sim"))
+    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.line") > F.col("y.line")) & (F.col("y.line") != F.col("x.lead")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.sign"), F.col("y.sign")))
     more = verified(rest.select(F.col("x.line").alias("a"), F.col("y.line").alias("b")), lines, docs)
     return components(stars.unionByName(more))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def most_edits(n: Column) -> Column:
+    """Edits that two lines may be apart, the longer one having n words."""
+    return F.floor(n * F.lit(round(1 - SIMILARITY, 9))).cast("int")
+
+
+def _normal_lines(docs: DataFrame) -> DataFrame:
+    lines = _documents(docs).select("_id", "_rid", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "_line"))
+    norm = lines.where(F.length(F.translate("_line", " \t\x0b\x0c\r", "")) > 0).withColumn("_line", normal(F.col("_line")))
+    return norm.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", F.xxhash64("_line").alias("line"), "_line")
+
+
+def word_ranks(lines: DataFrame) -> tuple[list[int], int]:
+    """(rank of each bucket of word hashes, first rank of frequent ones). They decide how many candidates there are, not which pairs are found."""
+    words = lines.where(F.pmod("line", F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(F.split("_line", " "))).alias("w"))
+    counts = [0] * BUCKETS
+    for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
+        counts[r.b] = r.n
+    rank = lambda n: int(3 * math.log2(n + 1))
+    return [rank(n) for n in counts], rank(sorted(counts)[BUCKETS // 2] + FREQUENT // SAMPLE) + 1
+
+
+def rare_word_keys(lines: DataFrame, ranks: list[int], frequent: int) -> DataFrame:
+    """(key, line, sign): two lines of edit similarity SIMILARITY or more have a key in common.
+
+    Of n words, d = most_edits(n) may go, so a line shares all but d of its different words, and the rarest that two lines
+    share is among the d + 1 rarest of each, the second among the d + 2 rarest. A rare word is a key; a frequent one is a key
+    with each word that is less rare. Lines that may share one word only, and long ones, have frequent words as keys as well.
+    sign has the number of words and, in 128 bits, the parity of the different words of each hash.
+    """
+    table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")
+    code = lambda w: bind(F.xxhash64(w), lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    cut = F.lit(frequent << 56)
+    rows = lines.select("line", F.split("_line", " ").alias("_words")).withColumn("n", F.size("_words")).where(F.col("n") >= LEAST_WORDS - 1)
+    rows = rows.select("line", "n", F.sort_array(F.array_distinct(F.transform("_words", code))).alias("_codes"), most_edits(F.col("n")).alias("_d"))
+
+    def parity(half: int) -> Column:
+        one = lambda c: F.when(F.shiftright(c, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("_codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(one(c)))
+
+    all_ = (F.size("_codes") - F.col("_d") < 2) | (F.col("n") >= int(LONG * SIMILARITY))
+    first = F.slice("_codes", F.lit(1), F.col("_d") + 1)
+    single = F.when(all_, first).otherwise(F.filter(first, lambda c: c < cut))
+    after = lambda p: F.flatten(F.transform(p, lambda c, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda e: F.xxhash64(c, e))))
+    pairs = F.when(F.col("n") < LONG, bind(F.filter(F.slice("_codes", F.lit(1), F.col("_d") + 2), lambda c: c >= cut), after)).otherwise(F.array().cast("array<bigint>"))
+    signed = rows.select("line", F.struct("n", parity(0).alias("even"), parity(1).alias("odd")).alias("sign"), F.concat(single, pairs).alias("_keys"))
+    # A plain explode would let Spark push a filter on the keys, with all of their work, below the columns they are made of.
+    return signed.select(F.explode_outer("_keys").alias("key"), "line", "sign").where("key is not null").repartition("key").distinct()
+
+
+def maybe_similar(a: Column, b: Column) -> Column:
+    """Whether the signs leave an edit similarity of SIMILARITY possible: an edit changes two parities at most, an added or lost word one."""
+    apart, most = F.abs(a["n"] - b["n"]), most_edits(F.greatest(a["n"], b["n"]))
+    changed = F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
+    return (apart <= most) & (changed <= 2 * most - apart)
+
+
+def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     """row (all columns of the input), text (without the lines that go), n_lines and n_removed of each document.
 
     Lines that are equal when normalised, and lines linked directly or over others, form a group; of each group the first
-    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines of LEAST_WORDS
-    different words or more link if their SimHashes over the different words differ in at most MAX_BITS bits and their edit
-    similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found, as they share
-    a block key. Different words rather than all make long lines of one language differ.
+    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines link if their edit
+    similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found. by_simhash:
+    only those of LEAST_WORDS different words or more whose SimHashes over the different words differ in at most MAX_BITS
+    bits, which most pairs near SIMILARITY do not.
 
     Null text: stays null, no lines. Rows alike in every column count as one document and lose the same lines. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
-    lines = materialize(simhashes(docs), "lines")
-    known = materialize(groups(lines, docs), "line-groups")
-    labelled = lines.where("part = 0").join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
+    if by_simhash:
+        hashed = materialize(simhashes(docs), "lines")
+        lines, found = hashed.where("part = 0"), groups(hashed, docs)
+    else:
+        norm = _normal_lines(docs)
+        lines = materialize(norm.drop("_line"), "lines")
+        found = linked(rare_word_keys(norm, *word_ranks(norm)), maybe_similar, lines, docs)
+    known = materialize(found, "line-groups")
+    labelled = lines.join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     gone = labelled.join(first, "group").where("at <> first").groupBy(F.col("at.rid").alias("_rid")).agg(F.collect_set("at.pos").alias("_gone"))
     rows = _documents(docs).join(gone.hint("shuffle_hash"), "_rid", "left").withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
@@ -124,7 +195,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """The documents with their remaining lines; documents that lose their last word go, as all of it stands elsewhere. Columns as in the input."""
-    done = deduplicate(docs)
+    done = deduplicate(docs, by_simhash=False)
     bare = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     kept = done.where((F.col("n_removed") == 0) | ~bare)
     return kept.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -50,7 +50,7 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.deduplicate(_documents(spark, sf_dir))
+    done = line_dedup.deduplicate(_documents(spark, sf_dir), by_simhash=False)
     return done.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
