@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -12,14 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, materialize, small
+from .common import BROADCAST_ROWS, bound_batches, components, materialize, small
 
 #: A shingle in at least FREQUENT of the documents that are hashed at once is counted; the most frequent MAX_FREQUENT of these go last in the order of the lists. The order never changes the result.
 FREQUENT, MAX_FREQUENT = 2, 500_000
 #: Short lists that a document has beyond |x| - T + 1, in percent of its shingles: so many more of them must be shared.
 MORE = 10
-#: Documents that one search compares at once.
-BLOCK = 1_000
+#: Documents, and shingles of these, that one search compares at once.
+BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Members of lists up to which a heap merges them, and the cost of a probe over that of a member to merge.
+HEAP, COST = 2_000, 1.0
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -173,7 +175,7 @@ def short_lists(docs: DataFrame, n: int, percent: int, frequent: DataFrame) -> D
 
 
 def lists_to_groups(lists: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, leader) for the documents that share enough of their short lists to have a link at all.
+    """(doc_id, leader, n) for the documents that share enough of their short lists to have a link at all.
 
     A list in the order of size falls into runs in which each size is at least percent of the next; linked documents of a
     list lie in one run, and the first document of the run is their leader. The lists stream by in order; none is held.
@@ -206,15 +208,30 @@ def lists_to_groups(lists: DataFrame, percent: int) -> DataFrame:
     pairs = materialize(pairs, "pairs")
     least = F.floor(F.ceil(F.col("n") * percent / 100) * MORE / 100) + 1
     able = pairs.groupBy("doc_id", "n").agg(F.sum("lists").alias("shared")).where(F.col("shared") >= least).select("doc_id").distinct()
-    return pairs.select("doc_id", "leader").distinct().join(able, "doc_id", "left_semi")
+    return pairs.groupBy("doc_id", "leader").agg(F.max("n").alias("n")).join(able, "doc_id", "left_semi")
+
+
+def merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The members of sorted inverted lists in order, and how many of the lists each is in: by a heap, or by one sort where the lists have more than HEAP members."""
+    if sum(map(len, lists)) > HEAP:
+        return np.unique(np.concatenate(lists), return_counts=True)
+    runs = [(c, sum(1 for _ in run)) for c, run in groupby(heapq.merge(*(x.tolist() for x in lists)))]
+    return np.array([c for c, _ in runs], np.int64), np.array([n for _, n in runs], np.int64)
+
+
+def long_lists(least: int, longest: int) -> int:
+    """How many of its longest lists a query sets aside, of which least have to hold a partner: least / (COST * log2(longest) + 1)."""
+    return min(least - 1, int(least / (COST * math.log2(max(longest, 2)) + 1)))
 
 
 def divide_skip(sets: list[np.ndarray], queries: list[int], percent: int) -> np.ndarray:
     """Link each query to the sets with 100 * |intersection| >= percent * |union|; returns the smallest index that links reach, for each set.
 
-    For a query, the T - 1 longest of its inverted lists are set aside. A heap merges the others; a candidate must occur in
-    at least one of them, have a possible size and not be linked to the query yet. The candidate is then probed in the long
-    lists, by binary search, until it has the overlap that the two sizes ask for or can no longer reach it.
+    The sets come in the order of their size, so those of a possible size are a range of places, and of each inverted list
+    only that range is read. T being the least overlap of the query, its long_lists() longest lists are set aside and the
+    others are merged. A candidate is in at least T - L of these and not linked to the query yet; all candidates are then
+    probed in the L long lists, by binary search, until they have the overlap that the two sizes ask for or can no longer
+    reach it.
     """
     size = np.array([len(s) for s in sets], np.int64)
     root = np.arange(len(sets))
@@ -230,24 +247,30 @@ def divide_skip(sets: list[np.ndarray], queries: list[int], percent: int) -> np.
         at = at[ends[at] - head[at] > 1]  # a list of the query alone adds nothing
         if not size[q] or len(at) < least:
             continue
+        first, last = np.searchsorted(size * 100, percent * size[q]), np.searchsorted(size * percent, 100 * size[q], side="right")
+        open_ = root != root[q]
+        open_[:first], open_[last:] = False, False
+        if not open_.any():
+            continue
         at = at[np.argsort(ends[at] - head[at], kind="stable")]
-        split = len(at) - (least - 1)
-        open_ = (root != root[q]) & (size * 100 >= percent * size[q]) & (size[q] * 100 >= percent * size)
-        short = [o[open_[o]].tolist() for o in (owner[head[i] : ends[i]] for i in at[:split].tolist())]
-        long = [(int(head[i]), int(ends[i])) for i in at[split:].tolist()]
-        for c, run in groupby(heapq.merge(*short)):
-            if root[c] == root[q]:
-                continue
-            found, left = sum(1 for _ in run), len(long)
-            want = -(-percent * int(size[q] + size[c]) // (100 + percent))
-            for low, high in long:
-                if found >= want or found + left < want:
-                    break
-                left -= 1
-                k = bisect_left(owner, c, low, high)
-                found += k < high and owner[k] == c
-            if found >= want:
-                root[root == max(root[q], root[c])] = min(root[q], root[c])
+        n_long = long_lists(least, int(ends[at[-1]] - head[at[-1]]))
+        lists = [owner[low:high] for low, high in zip(head[at].tolist(), ends[at].tolist(), strict=True)]
+        found_in, found = merged([x[open_[x]] for x in lists[: len(lists) - n_long]])
+        able = found >= least - n_long
+        candidate, found = found_in[able], found[able]
+        want = -(-percent * (size[q] + size[candidate]) // (100 + percent))
+        links = candidate[found >= want]
+        for i, x in enumerate(lists[len(lists) - n_long :]):
+            rest = (found < want) & (found + (n_long - i) >= want)
+            candidate, found, want = candidate[rest], found[rest], want[rest]
+            if not len(candidate):
+                break
+            k = np.minimum(np.searchsorted(x, candidate), len(x) - 1)
+            found = found + (x[k] == candidate)
+            links = np.concatenate([links, candidate[found >= want]])
+        if len(links):
+            reached = np.unique(np.append(root[links], root[q]))
+            root[np.isin(root, reached)] = reached[0]
     return root
 
 
@@ -274,7 +297,7 @@ def search(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         def solve() -> Iterator[pa.RecordBatch]:
             if len(rows) < 2:
                 return
-            rows.sort(key=lambda r: r[1])
+            rows.sort(key=lambda r: (len(r[2]), r[1]))
             ids, sets = [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows]
             root = divide_skip(sets, [i for i, r in enumerate(rows) if r[0]], percent).tolist()
             edges = [(ids[i], ids[r]) for i, r in enumerate(root) if r != i]
@@ -291,26 +314,72 @@ def search(members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
         yield from solve()
 
     groups = members.groupBy("doc_id").agg(F.collect_set(F.struct("group", "block", "side")).alias("members"))
-    wanted = docs.join(small(groups), "doc_id").select("doc_id", "text", "members")
+    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of members, so the arrays are bounded too
+    wanted = docs.join(F.broadcast(groups) if few else groups.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "members")
     sets = wanted.mapInArrow(sets_of, "group long, block long, side int, doc_id long, shingles binary")
     ordered = sets.repartition("group", "block").sortWithinPartitions("group", "block")
     return ordered.mapInArrow(link, "a long, b long")
 
 
+def by_band(groups: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """groups (doc_id, group, n) with band and block, and the table of blocks (group, anchor, crowded, band, blocks).
+
+    Sizes of one band are within 100 / percent of each other, so links stay in a band or reach the next. A group of up to
+    BLOCK documents and BLOCK_SHINGLES shingles is one block; of a crowded one each band is dealt to blocks of that size. The
+    anchor is the smallest document of the group.
+    """
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    banded = groups.withColumn("band", F.floor(F.log(F.col("n")) / F.lit(step)).cast("long"))
+    many = lambda n, total: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(total / F.lit(BLOCK_SHINGLES)))
+    bands = banded.groupBy("group", "band").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"), F.min("doc_id").alias("least"))
+    whole = bands.groupBy("group").agg(F.sum("docs").alias("_d"), F.sum("total").alias("_t"), F.min("least").alias("anchor")).where("_d > 1")
+    whole = whole.select("group", "anchor", (many(F.col("_d"), F.col("_t")) > 1).alias("crowded"))
+    blocks = materialize(bands.join(whole, "group").select("group", "anchor", "crowded", "band", many(F.col("docs"), F.col("total")).alias("blocks")), "blocks")
+    return banded.join(blocks, ["group", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), blocks
+
+
+def _numbers(name: str, count: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(name)
+
+
+def block_members(spread: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, group, block, side) of the first search: each block of a group with the group's anchor."""
+    key = F.when(F.col("crowded"), F.xxhash64("band", "block")).otherwise(0).alias("block")
+    own = spread.select("doc_id", "group", key)
+    anchors = blocks.where("crowded").select(F.col("anchor").alias("doc_id"), "group", "band", "crowded", _numbers("block", "blocks")).select("doc_id", "group", key)
+    return own.unionByName(anchors).distinct().withColumn("side", F.lit(1))
+
+
+def away_members(spread: DataFrame, blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, group, block, side) of the second search: the documents of crowded groups that known components do not join to their anchor, in parts, each with the blocks whose sizes can link."""
+    known = known.select("node", "component")
+    crowded = spread.where("crowded")
+    label = crowded.join(known.toDF("doc_id", "c"), "doc_id", "left").join(known.toDF("anchor", "ac"), "anchor", "left")
+    away = materialize(label.where("coalesce(c, doc_id) <> coalesce(ac, anchor)").select("doc_id", "group", "band", "n"), "away")
+    parts = away.groupBy("group", F.col("band").alias("at")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).alias("parts"))
+    near = F.abs(F.col("band") - F.col("at")) <= 1
+    key = F.xxhash64("at", "part", "band", "block").alias("block")
+    asked = away.withColumnRenamed("band", "at").join(parts, ["group", "at"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")))
+    asked = asked.join(blocks.select("group", "band", "blocks"), "group").where(near).select("doc_id", "group", "at", "part", "band", _numbers("block", "blocks"))
+    answer = crowded.join(parts, "group").where(near).select("doc_id", "group", "at", "band", "block", _numbers("part", "parts"))
+    both = asked.select("doc_id", "group", key, F.lit(1).alias("side")).unionByName(answer.select("doc_id", "group", key, F.lit(0).alias("side")))
+    return both.groupBy("doc_id", "group", "block").agg(F.max("side").alias("side"))
+
+
 def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: the smallest doc_id that links reach.
 
     Documents with 100 * |intersection| >= percent * |union| of their shingle sets link. Documents with the same set form
     one class; the smallest stands for it. Linked documents share several of their short inverted lists, so a document that
     shares too few has no link, and the first document of each list (in a run of like sizes) gathers the others in a group.
-    DivideSkip searches each group in blocks; members of one list have its leader in common, so no pair is missed. A group
-    of more than BLOCK documents is cut into blocks that each hold its smallest document, the anchor; of those, the
-    documents not yet in the anchor's component are searched again against all blocks of the group. Pairs are not written
+    DivideSkip searches each group in blocks; members of one list have its leader in common, so no pair is missed. A crowded
+    group is cut by sizes into blocks that each hold its smallest document, the anchor; of those, the documents not yet in
+    the anchor's component are searched again against the blocks of the group whose sizes can link. Pairs are not written
     out, and a pair in one known component is not compared.
 
-    Null or empty text: no shingles, linked with nothing. Rows with null doc_id do not take part and come back with null
-    component. Rows that repeat a doc_id: one row each; the links of all rows of a doc_id are joined. Empty table: no rows.
-    Other columns are not read.
+    Null or empty text: no shingles, linked with nothing. Very long texts: hashed as they stream by, held as 8 bytes a
+    shingle. Rows with null doc_id do not take part and come back with null component. Rows that repeat a doc_id: one row
+    each; the links of all rows of a doc_id are joined. Empty table: no rows. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -325,27 +394,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     copied = materialize(same.select(F.col("a").alias("doc_id")).distinct().join(several, "doc_id", "left_anti"), "copied")
     single = plain.where("doc_id is not null").join(small(copied), "doc_id", "left_anti")
-    groups = materialize(lists_to_groups(short_lists(single, n, percent, frequent), percent), "groups")
-    held = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("anchor")).where("n > 1")
-    blocks = held.select(F.col("leader").alias("group"), "anchor", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks"))
-    blocks = materialize(blocks, "blocks")
-    spread = groups.withColumnRenamed("leader", "group").join(blocks, "group").select("doc_id", "group", "anchor", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).alias("block"))
-    grid = lambda name, other: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(name)
-    anchors = blocks.where("blocks > 1").select(F.col("anchor").alias("doc_id"), "group", grid("block", "blocks"))
-    members = spread.select("doc_id", "group", "block").unionByName(anchors).distinct().withColumn("side", F.lit(1))
-    edges = materialize(search(members, plain, n, percent), "edges")
-    if blocks.where("blocks > 1").limit(1).count():
+    groups = materialize(lists_to_groups(short_lists(single, n, percent, frequent), percent).withColumnRenamed("leader", "group"), "groups")
+    spread, blocks = by_band(groups, percent)
+    edges = materialize(search(block_members(spread, blocks), plain, n, percent), "edges")
+    if blocks.where("crowded").limit(1).count():
         known = components(edges.unionByName(same))
-        label = spread.where("blocks > 1").join(known.select(F.col("node").alias("doc_id"), F.col("component").alias("c")), "doc_id", "left").join(known.select(F.col("node").alias("anchor"), F.col("component").alias("ac")), "anchor", "left")
-        away = materialize(label.where("coalesce(c, doc_id) <> coalesce(ac, anchor)").select("doc_id", "group", "blocks"), "away")
-        # Each part of the documents that are away meets each block of its group.
-        parts = away.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts"))
-        ask = away.join(parts, "group").select("doc_id", "group", "parts", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("parts")).alias("part"), grid("at", "blocks"))
-        ask = ask.select("doc_id", "group", (F.col("at") * F.col("parts") + F.col("part")).alias("block"), F.lit(1).alias("side"))
-        answer = spread.join(parts, "group").select("doc_id", "group", "block", "parts", grid("part", "parts"))
-        answer = answer.select("doc_id", "group", (F.col("block") * F.col("parts") + F.col("part")).alias("block"), F.lit(0).alias("side"))
-        both = ask.unionByName(answer).groupBy("doc_id", "group", "block").agg(F.max("side").alias("side"))
-        edges = edges.unionByName(materialize(search(both, plain, n, percent), "edges-away"))
+        edges = edges.unionByName(materialize(search(away_members(spread, blocks, known), plain, n, percent), "edges-away"))
     linked = components(edges.unionByName(same))
     out = found.join(linked, found["doc_id"] == linked["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -133,6 +133,35 @@ def test_packing(spark, docs, no_docs):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_divide_skip():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for trial in range(60):
+        base = rng.sample(range(10**6), 60)
+        sets = []
+        for _ in range(25):
+            s = set(base[: rng.randint(20, 60)])
+            for _ in range(rng.randint(0, 14)):
+                s.discard(rng.choice(base))
+                s.add(rng.randrange(10**6))
+            sets.append(np.array(sorted(s), np.uint64))
+        sets.sort(key=len)
+        queries = [i for i in range(25) if trial % 2 or rng.random() < 0.6]
+        up = list(range(25))
+        for i in queries:
+            for j in range(25):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if x in (a, b) else x for x in up]
+        jaccard.HEAP, kept = (0 if trial % 3 else 2000), jaccard.HEAP
+        assert jaccard.divide_skip(sets, queries, 80).tolist() == up
+        jaccard.HEAP = kept
+
+
 def brute_classes(rows, percent=80):
     sets, up = [], {}
     for r in rows:
@@ -157,6 +186,9 @@ def brute_classes(rows, percent=80):
 def test_jaccard(spark, docs, no_docs, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    if block == 4:
+        monkeypatch.setattr(jaccard, "HEAP", 20)
+        monkeypatch.setattr(jaccard, "COST", 0.1)
     rows = docs.collect()
     base = rows[0].text.split()
     more = []
