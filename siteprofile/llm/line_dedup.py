@@ -17,17 +17,18 @@ MAX_BITS, SIMILARITY = 3, 0.8
 LEAST_WORDS = 5
 #: 64 bits in 5 blocks: two lines that differ in at most 3 bits agree in 2 whole blocks at least, so each pair of blocks is a key.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Words are ranked by counts of hash buckets in one of SAMPLE lines; a word is frequent if its bucket has FREQUENT lines more than most.
-BUCKETS, SAMPLE, FREQUENT = 1 << 16, 8, 64
-#: Lines from here on have keys of one word only, as their frequent words make too many pairs.
-LONG = 160
+#: Words are ranked by counts of hash buckets in one of SAMPLE lines. The ranks decide how many candidates there are, not which pairs are found.
+BUCKETS, SAMPLE = 1 << 16, 8
+#: Lines from here on have a parity of 256 bits, shorter ones of 128.
+LONG = 80
 #: Words that one row of counters sums up: each of its 64 counters has 14 bits and two to spare.
 CHUNK = 16_000
 
 
 def normal(line: Column) -> Column:
-    """A line in lower case, without white space at its ends."""
-    return F.lower(F.trim(line))
+    """A line in lower case, its words parted by one space each."""
+    plain = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
+    return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
 def word_letters(line: Column) -> Column:
@@ -69,42 +70,43 @@ def block_keys(sim: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for (the words being the letters). Texts are fetched for the lines of a pair only."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for (the words being the letters). Texts are read for the lines of a pair only."""
     pairs = materialize(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    places = lines.join(ends, "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "rid", "pos")).alias("p"))
-    wanted = places.groupBy(F.col("p.rid").alias("_rid")).agg(F.collect_list(F.struct(F.col("p.pos").alias("pos"), "line")).alias("_want"))
-    rows = _documents(docs).join(small(materialize(wanted, "wanted")), "_rid").select("_want", F.split("_text", "\n", -1).alias("_lines"))
-    texts = rows.select(F.explode(F.transform("_want", lambda w: F.struct(w["line"].alias("line"), word_letters(normal(F.get(F.col("_lines"), w["pos"]))).alias("t")))).alias("e")).select("e.*").dropDuplicates(["line"])
-    texts = materialize(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("line").alias("b"), F.col("t").alias("tb")), "b")
+    letters = texts.join(small(ends), "line", "left_semi").select("line", word_letters(F.col("_line")).alias("t"))
+    both = pairs.join(letters.toDF("a", "ta"), "a").join(letters.toDF("b", "tb"), "b")
     longest = F.greatest(F.length("ta"), F.length("tb"))
-    most = F.floor(longest * F.lit(round(1 - SIMILARITY, 9))).cast("int")
+    most = most_edits(longest)
     near = (F.abs(F.length("ta") - F.length("tb")) <= most) & (F.call_function("levenshtein", "ta", "tb", most) >= 0)
     return materialize(both.where(near).select("a", "b"), "line-edges")
 
 
-def groups(lines: DataFrame, docs: DataFrame) -> DataFrame:
+def groups(hashed: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, component) for the lines, by hash, that link to a line with another hash, of the pairs whose SimHashes are within MAX_BITS."""
-    distinct = lines.where(F.col("n_words") >= LEAST_WORDS).select("line", "sim").distinct()
+    distinct = hashed.where(F.col("n_words") >= LEAST_WORDS).select("line", "sim").distinct()
     keyed = distinct.select("line", F.struct("sim").alias("sign"), F.explode(block_keys(F.col("sim"))).alias("key"))
-    return linked(keyed, lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MAX_BITS, lines, docs)
+    return linked(keyed, lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MAX_BITS, lambda a, b: F.lit(1), texts)
 
 
-def linked(keyed: DataFrame, near, lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) for the lines, by hash, that link to a line with another hash. keyed has key, line and sign; pairs under one key whose signs are near are verified."""
-    by_key = Window.partitionBy("key")
-    bucketed = keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(by_key)).withColumn("last", F.max("line").over(by_key)).where("lead.line < last")
-    bucketed = materialize(bucketed.select("key", "line", "sign", F.col("lead.line").alias("lead"), F.col("lead.sign").alias("lead_sign")), "line-buckets")
-    # First each line with the first of its bucket; then only lines of one bucket that are not in one component yet.
-    stars = verified(bucketed.where("line <> lead").where(near(F.col("sign"), F.col("lead_sign"))).select(F.col("line").alias("a"), F.col("lead").alias("b")), lines, docs)
+def linked(keyed: DataFrame, near, shared, texts: DataFrame) -> DataFrame:
+    """(node, component) for the lines, by hash, that link to a line with another hash.
+
+    keyed has key, line and sign. Pairs whose signs are near, and that have as many keys in common as shared asks for, are
+    verified: first each line with the first of its bucket, which joins a group of near copies by one pair a line; then
+    those lines of one bucket that are not in one component yet.
+    """
+    lead = Window.partitionBy("key")
+    bucketed = materialize(keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(lead)), "line-buckets")
+    stars = bucketed.where(F.col("line") != F.col("lead.line")).where(near(F.col("sign"), F.col("lead.sign")))
+    stars = verified(stars.select(F.col("line").alias("a"), F.col("lead.line").alias("b")), texts)
     known = materialize(components(stars), "line-components")
-    labelled = bucketed.join(small(known), bucketed["line"] == known["node"], "left").select("key", "line", "sign", "lead", F.coalesce("component", "line").alias("c"))
+    labelled = bucketed.join(small(known), bucketed["line"] == known["node"], "left").select("key", "line", "sign", F.col("lead.line").alias("lead"), F.coalesce("component", "line").alias("c"))
     left, right = labelled.alias("x"), labelled.alias("y")
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.line") > F.col("y.line")) & (F.col("y.line") != F.col("x.lead")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.sign"), F.col("y.sign")))
-    more = verified(rest.select(F.col("x.line").alias("a"), F.col("y.line").alias("b")), lines, docs)
-    return components(stars.unionByName(more))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") > F.col("y.line")) & (F.col("y.line") != F.col("x.lead")) & (F.col("x.c") != F.col("y.c"))
+    rest = left.join(right, apart & near(F.col("x.sign"), F.col("y.sign"))).select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), shared(F.col("x.sign"), F.col("y.sign")).alias("need"))
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
+    return components(stars.unionByName(verified(rest.select("a", "b"), texts)))
 
 
 def most_edits(n: Column) -> Column:
@@ -118,51 +120,86 @@ def _normal_lines(docs: DataFrame) -> DataFrame:
     return norm.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", F.xxhash64("_line").alias("line"), "_line")
 
 
-def word_ranks(lines: DataFrame) -> tuple[list[int], int]:
-    """(rank of each bucket of word hashes, first rank of frequent ones). They decide how many candidates there are, not which pairs are found."""
-    words = lines.where(F.pmod("line", F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(F.split("_line", " "))).alias("w"))
+def word_ranks(texts: DataFrame) -> list[int]:
+    """Rank of each bucket of word hashes, by its count in a sample of the lines."""
+    words = texts.where(F.pmod("line", F.lit(SAMPLE)) == 0).select(F.explode(F.split("_line", " ")).alias("w"))
     counts = [0] * BUCKETS
     for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows at most
         counts[r.b] = r.n
-    rank = lambda n: int(3 * math.log2(n + 1))
-    return [rank(n) for n in counts], rank(sorted(counts)[BUCKETS // 2] + FREQUENT // SAMPLE) + 1
+    return [int(2 * math.log2(n + 1)) for n in counts]
 
 
-def rare_word_keys(lines: DataFrame, ranks: list[int], frequent: int) -> DataFrame:
-    """(key, line, sign): two lines of edit similarity SIMILARITY or more have a key in common.
-
-    Of n words, d = most_edits(n) may go, so a line shares all but d of its different words, and the rarest that two lines
-    share is among the d + 1 rarest of each, the second among the d + 2 rarest. A rare word is a key; a frequent one is a key
-    with each word that is less rare. Lines that may share one word only, and long ones, have frequent words as keys as well.
-    sign has the number of words and, in 128 bits, the parity of the different words of each hash.
-    """
+def _coded(texts: DataFrame, ranks: list[int]) -> DataFrame:
+    """line, n and _codes (rank and hash of each word) of the lines of LEAST_WORDS - 1 words or more."""
     table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")
     code = lambda w: bind(F.xxhash64(w), lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(BUCKETS)).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    cut = F.lit(frequent << 56)
-    rows = lines.select("line", F.split("_line", " ").alias("_words")).withColumn("n", F.size("_words")).where(F.col("n") >= LEAST_WORDS - 1)
-    rows = rows.select("line", "n", F.sort_array(F.array_distinct(F.transform("_words", code))).alias("_codes"), most_edits(F.col("n")).alias("_d"))
+    rows = texts.select("line", F.split("_line", " ").alias("_words")).withColumn("n", F.size("_words")).where(F.col("n") >= LEAST_WORDS - 1)
+    return rows.select("line", "n", F.transform("_words", code).alias("_codes"))
 
-    def parity(half: int) -> Column:
-        one = lambda c: F.when(F.shiftright(c, 6).bitwiseAND(F.lit(1)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
-        return F.aggregate("_codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(one(c)))
 
-    all_ = (F.size("_codes") - F.col("_d") < 2) | (F.col("n") >= int(LONG * SIMILARITY))
-    first = F.slice("_codes", F.lit(1), F.col("_d") + 1)
-    single = F.when(all_, first).otherwise(F.filter(first, lambda c: c < cut))
-    after = lambda p: F.flatten(F.transform(p, lambda c, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda e: F.xxhash64(c, e))))
-    pairs = F.when(F.col("n") < LONG, bind(F.filter(F.slice("_codes", F.lit(1), F.col("_d") + 2), lambda c: c >= cut), after)).otherwise(F.array().cast("array<bigint>"))
-    signed = rows.select("line", F.struct("n", parity(0).alias("even"), parity(1).alias("odd")).alias("sign"), F.concat(single, pairs).alias("_keys"))
+def lost_pairs(n: Column) -> Column:
+    """Different pairs of neighbours that a line of n words may lack in a line that it links to.
+
+    An edit of a word, or the loss of one, takes two pairs and a new word one. If the other line is longer by k, k edits
+    are new words: 2 * most_edits(n + k) - k, which is largest for k = 0 or for the first k that allows one edit more.
+    """
+    more = F.lit(5) - n % 5  # SIMILARITY allows one edit in 5 words
+    return F.greatest(2 * most_edits(n), 2 * most_edits(n + more) - more)
+
+
+def _pairs(codes: Column, n: Column) -> Column:
+    """The different pairs of neighbours, as sum of the ranks and hash."""
+    fold = lambda a, b: F.shiftleft(F.shiftrightunsigned(a, 56) + F.shiftrightunsigned(b, 56), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(a, b), 8))
+    return F.array_distinct(F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), fold))
+
+
+def rare_pair_keys(texts: DataFrame, ranks: list[int]) -> DataFrame:
+    """(key, line): two lines of edit similarity SIMILARITY or more have two keys in common, or one if they have hardly any different pairs.
+
+    The rarest pair of neighbours that two lines share is among the lost_pairs() + 1 rarest of each, the second among
+    lost_pairs() + 2. The rank of a pair is the sum of its words' ranks.
+    """
+    coded = _coded(texts, ranks)
+    rarest = F.slice(F.sort_array(_pairs(F.col("_codes"), F.col("n"))), F.lit(1), lost_pairs(F.col("n")) + 2)
     # A plain explode would let Spark push a filter on the keys, with all of their work, below the columns they are made of.
-    return signed.select(F.explode_outer("_keys").alias("key"), "line", "sign").where("key is not null").repartition("key").distinct()
+    return coded.select(F.explode_outer(rarest).alias("key"), "line").where("key is not null")
+
+
+def signs(texts: DataFrame, ranks: list[int]) -> DataFrame:
+    """(line, sign): the number of words, whether two shared keys are sure, and the parity of the words of each hash."""
+
+    def parity(part: int, parts: int) -> Column:
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
+        one = lambda c: F.when(F.shiftright(c, 6).bitwiseAND(F.lit(parts - 1)) == part, bit(c)).otherwise(F.lit(0).cast("long"))
+        return F.aggregate("_codes", F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(one(c)))
+
+    rows = _coded(texts, ranks)
+    sure = F.size(_pairs(F.col("_codes"), F.col("n"))) >= lost_pairs(F.col("n")) + 2
+    long = F.col("n") >= LONG
+    first = [F.when(long, parity(i, 4)).otherwise(parity(i, 2)).alias(f"p{i}") for i in (0, 1)]
+    return rows.select("line", F.struct("n", sure.alias("sure"), *first, *[F.when(long, parity(i, 4)).alias(f"p{i}") for i in (2, 3)]).alias("sign"))
 
 
 def maybe_similar(a: Column, b: Column) -> Column:
     """Whether the signs leave an edit similarity of SIMILARITY possible: an edit changes two parities at most, an added or lost word one."""
     apart, most = F.abs(a["n"] - b["n"]), most_edits(F.greatest(a["n"], b["n"]))
-    changed = F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    half = lambda s, i: s[f"p{i}"].bitwiseXOR(F.coalesce(s[f"p{i + 2}"], F.lit(0).cast("long")))  # noqa: E731  a long line's parities as a short line has them
+    both = a["p2"].isNotNull() & b["p2"].isNotNull()
+    changed = F.when(both, sum((differ(a[f"p{i}"], b[f"p{i}"]) for i in range(1, 4)), differ(a["p0"], b["p0"]))).otherwise(differ(half(a, 0), half(b, 0)) + differ(half(a, 1), half(b, 1)))
     return (apart <= most) & (changed <= 2 * most - apart)
 
 
+def similar(texts: DataFrame) -> DataFrame:
+    """(node, component) for the lines, by hash, that link to a line with another hash: all pairs of edit similarity SIMILARITY or more count."""
+    ranks = word_ranks(texts)
+    by_key = Window.partitionBy("key")
+    live = rare_pair_keys(texts, ranks).withColumn("_n", F.count(F.lit(1)).over(by_key)).where("_n > 1").drop("_n")
+    live = materialize(live, "line-keys")
+    keyed = live.join(signs(texts, ranks), "line")
+    return linked(keyed, maybe_similar, lambda a, b: F.when(a["sure"] | b["sure"], 2).otherwise(1), texts)
+
+
 def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     """row (all columns of the input), text (without the lines that go), n_lines and n_removed of each document.
 
@@ -175,13 +212,10 @@ def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     Null text: stays null, no lines. Rows alike in every column count as one document and lose the same lines. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
-    if by_simhash:
-        hashed = materialize(simhashes(docs), "lines")
-        lines, found = hashed.where("part = 0"), groups(hashed, docs)
-    else:
-        norm = _normal_lines(docs)
-        lines = materialize(norm.drop("_line"), "lines")
-        found = linked(rare_word_keys(norm, *word_ranks(norm)), maybe_similar, lines, docs)
+    norm = _normal_lines(docs)
+    lines = materialize(norm.drop("_line"), "lines")
+    texts = materialize(norm.groupBy("line").agg(F.first("_line").alias("_line")), "line-texts")
+    found = groups(materialize(simhashes(docs), "simhashes"), texts) if by_simhash else similar(texts)
     known = materialize(found, "line-groups")
     labelled = lines.join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")

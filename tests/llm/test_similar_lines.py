@@ -36,11 +36,11 @@ def near_lines(rng, words):
     return list(dict.fromkeys(lines))
 
 
-@pytest.mark.parametrize("frequent", [64, -(10**6)])
-def test_similar_lines(spark, monkeypatch, frequent):
-    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
-    if frequent < 0:  # all words count as frequent
-        monkeypatch.setattr(line_dedup, "word_ranks", lambda lines: ([i % 7 for i in range(line_dedup.BUCKETS)], 0))
+@pytest.mark.parametrize("ranked", [True, False])
+def test_similar_lines(spark, monkeypatch, ranked):
+    if not ranked:  # any ranks find the same pairs
+        monkeypatch.setattr(line_dedup, "word_ranks", lambda texts: [i % 7 for i in range(line_dedup.BUCKETS)])
+        monkeypatch.setattr(line_dedup, "LONG", 12)
     rng = random.Random(4)
     lines = near_lines(rng, ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)])
     split = [x.split(" ") for x in lines]
@@ -63,5 +63,11 @@ def test_similar_lines(spark, monkeypatch, frequent):
     kept = {r.row.doc_id for r in line_dedup.deduplicate(data, by_simhash=False).collect() if not r.n_removed}
     assert links > 60
     assert kept == set(first.values())
-    if frequent > 0:
+    if ranked:
         assert {r.doc_id for r in line_dedup.rewrite(data).collect()} == kept
+
+
+def test_white_space(spark):
+    rows = [(1, "one short line here"), (2, "one  short\tline here\r"), (3, "\x0b One short line here "), (4, "one short line there")]
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), by_simhash=False).collect()
+    assert {r.row.doc_id: r.n_removed for r in out} == {1: 0, 2: 1, 3: 1, 4: 0}
