@@ -19,9 +19,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests, local mode) is one made."""
+    """The folder that driver and executors share. One is made only in local mode where the session names none; on a cluster it has to."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="siteprofile-")
         atexit.register(shutil.rmtree, made, True)
         folder = f"file://{made}"
@@ -74,29 +76,28 @@ def count_words(text: Column) -> Column:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if a count shows that it has few rows; else as it is."""
+    """The table, of rows of a bounded size, with a broadcast hint if a count shows that it has few rows; else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def number_rows(df: DataFrame, part: list[str], bucket: str, order: list[str], out: str, rows_a_cell: int = 200_000) -> DataFrame:
-    """Add a gapless number from 0 to the rows of each part, by bucket and then by order.
+def number_rows(df: DataFrame, part: list[str], order: list[str], out: str) -> DataFrame:
+    """Add a gapless number from 0 to the rows of each part, in the order of the columns order (nulls first).
 
-    Rows are ranked in cells of one part, bucket and salt, so no task holds a whole part. The counts of the cells, summed up
-    within the part, give each cell its first number. The number of salts follows from the row count: a bucket of any size is
-    spread over enough cells. Within a bucket the salt comes before order.
+    One range shuffle puts the whole table in order, so a part of any size is spread over many tasks, and its order does not
+    depend on the number of rows. The rows are written as they lie in the tasks; the counts of each part in each task, a
+    row or two a task, summed up within the part, give the first number there. Rows alike in part and order stand as they come.
     """
-    n = df.count()
-    salts = max(1, -(-n // rows_a_cell))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    cell = [*part, bucket, "_salt"]
-    keys = [F.struct(F.col(c)).alias(f"_k{i}") for i, c in enumerate(cell)]  # in a struct null equals null
-    keyed = salted.select("*", *keys)
-    names = [f"_k{i}" for i in range(len(cell))]
-    counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*names[: len(part)]).orderBy(*names[len(part) :]).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
-    return ranked.join(small(firsts), names).withColumn(out, (F.col("_first") + F.col("_rank") - 1).cast("long")).drop(*names, "_salt", "_rank", "_first")
+    unique = "_m"  # alike rows may be split between tasks too
+    keys = [*part, *order, unique]
+    ranged = df.withColumn(unique, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop(unique)
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    structs = [F.struct(F.col(c)).alias(f"_k{i}") for i, c in enumerate(part)]  # in a struct null equals null
+    names = [f"_k{i}" for i in range(len(part))]
+    placed = placed.select("*", *structs, F.shiftright("_at", 33).alias("_task"))
+    runs = placed.groupBy(*names, "_task").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_least"))
+    before = Window.partitionBy(*names).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = runs.select(*names, "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least")).alias("_first"))
+    return placed.join(small(firsts), [*names, "_task"]).withColumn(out, F.col("_first") + F.col("_at")).drop(*names, "_task", "_first", "_at")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

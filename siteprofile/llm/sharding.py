@@ -79,9 +79,9 @@ def shard(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, keep: li
 
     The order is by doc_id, then by a hash of the row, then (among rows alike in both) by place; null doc_ids come first.
     size is the UTF-8 bytes of the text plus 1; null text has none. The shards are ranges of that order, their bytes equal
-    up to the tolerance or one row. Slots are gapless from 0, in that order; rows that share the value of a crowded bucket
-    are salted first. Repeated rows stay; an empty table gives no rows; one key with a third of all rows is split by the
-    later key parts.
+    up to the tolerance or one row. Slots are gapless from 0, in that order, at any number of rows. Null or empty text:
+    size 1. Very long texts: only their bytes are counted. Repeated rows stay; an empty table gives no rows; one key with a
+    third of all rows is split by the later key parts. Columns named like those of the result stay apart, inside row.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.struct(*(keep or ["*"])).alias("row"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.struct("*")).alias("k2"))
@@ -100,11 +100,7 @@ def _cut(keyed: DataFrame, n_shards: int, tolerance: float) -> DataFrame:
             over = parts[j] > value if cut[j] < 1 << 63 and j < len(cut) - 1 else (parts[j] >= value if cut[j] < 1 << 63 else F.lit(False))
             reached = over | ((parts[j] == value) & reached) if j < len(cut) - 1 else over
         above = above + reached.cast("int")
-    low, high = table.agg(F.min("k1"), F.max("k1")).first()
-    step = max(1, ((high or 0) - (low or 0)) // (BINS * n_shards) + 1)
-    bucket = F.floor((F.col("k1").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("long")
-    dealt = table.withColumn("shard", above.cast("int")).withColumn("_bucket", bucket)
-    return number_rows(dealt, ["shard"], "_bucket", ["k1", "k2", "k3"], "slot").drop("_bucket", "k1", "k2", "k3")
+    return number_rows(table.withColumn("shard", above.cast("int")), ["shard"], ["k1", "k2", "k3"], "slot").drop("k1", "k2", "k3")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, tolerance: float = 0.001) -> None:
