@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, small
 
-#: Rows of a block of vectors and of a block of queries; cells that each dimension of a block is quantised to.
-BLOCK, QUERIES, CELLS = 2048, 1024, 16
+#: Rows of a block of cells and of a block of queries; cells that each dimension is cut into, at most 256.
+BLOCK, QUERIES, CELLS = 8192, 512, 64
 _EXACT = float(1 << 53)
 
 
@@ -21,17 +21,67 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def cell_sizes(rows: DataFrame, cells: int) -> DataFrame:
+    """(dim, least, step): for each dimension of the vectors, where its equal cells begin and how wide they are. One row per length of vector; each task sends its own least and largest values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = batch.column(0).to_numpy()
+            for d in np.unique(dim).tolist():
+                if not d:
+                    continue
+                x = _flat(batch.filter(pa.array(dim == d)).column(1), "f8").reshape(-1, d)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d), pa.int32()), pa.array(np.arange(d), pa.int32()), pa.array(x.min(0)), pa.array(x.max(0))], ["dim", "i", "least", "most"])
+
+    ends = rows.select("dim", "vector").mapInArrow(run, "dim int, i int, least double, most double").groupBy("dim", "i").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    step = F.greatest(F.lit(1.0), F.ceil((F.col("most") - F.col("least") + 1) / F.lit(cells)).cast("double"))
+    each = F.array_sort(F.collect_list(F.struct("i", "least", step.alias("step"))))
+    return ends.groupBy("dim").agg(each.alias("e")).select("dim", F.col("e.least").alias("least"), F.col("e.step").alias("step"))
+
+
+def quantised(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(dim, id, row, cells): the approximation file, a byte for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = batch.column(0).to_numpy()
+            for d in np.unique(dim).tolist():
+                some = batch.filter(pa.array(dim == d))
+                x, least, step = (_flat(some.column(i), "f8").reshape(len(some), d) for i in (3, 4, 5))
+                cell = np.clip((x - least) // step, 0, 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array([c.tobytes() for c in cell], pa.binary())], ["dim", "id", "row", "cells"])
+
+    return rows.join(small(sizes), "dim").select("dim", "id", "row", "vector", "least", "step").mapInArrow(run, "dim int, id long, row long, cells binary")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(dim, id, row, data): the components of each vector as 64-bit floats in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [v.values.to_numpy(zero_copy_only=False).astype("f8").tobytes() for v in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["dim", "id", "row", "data"])
+
+    return rows.select("dim", "id", "row", "vector").mapInArrow(run, "dim int, id long, row long, data binary")
+
+
 def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(dim, block, ids, rows, vectors): at most about size vectors of one dimension in a row, as binary columns of 64-bit numbers."""
+    """(dim, block, ids, rows, data): rows (dim, id, row, data), about size of one dimension in a row, their binary columns joined."""
     counts = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("n"))
-    dealt = rows.join(F.broadcast(counts), "dim").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n")))  # one row per dimension
-    ordered = dealt.select("dim", "block", "id", "row", "vector").repartition("dim", "block").sortWithinPartitions("dim", "block", "row")
+    dealt = rows.join(small(counts), "dim").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n")))
+    ordered = dealt.select("dim", "block", "id", "row", "data").repartition("dim", "block").sortWithinPartitions("dim", "block", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, numbers, vectors = None, [], [], []
+        key, held = None, []
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in (ids, numbers, vectors))], ["dim", "block", "ids", "rows", "vectors"])
+            ids, numbers = (np.concatenate([h.column(i).to_numpy().astype("i8") for h in held]).tobytes() for i in (2, 3))
+            data = b"".join(x for h in held for x in h.column(4).to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids, numbers, data))], ["dim", "block", "ids", "rows", "data"])
 
         for batch in batches:
             dim, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -42,93 +92,154 @@ def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
                 if (dim[low], block[low]) != key:
                     if key:
                         yield close()
-                    key, ids, numbers, vectors = (dim[low], block[low]), [], [], []
-                some = batch.slice(low, high - low)
-                ids.append(some.column(2).to_numpy().astype("i8"))
-                numbers.append(some.column(3).to_numpy().astype("i8"))
-                vectors.append(some.column(4).flatten().to_numpy().astype("f8"))
+                    key, held = (dim[low], block[low]), []
+                held.append(batch.slice(low, high - low))
         if key:
             yield close()
 
-    return materialize(ordered.mapInArrow(run, "dim int, block long, ids binary, rows binary, vectors binary"), name)
+    return materialize(ordered.mapInArrow(run, "dim int, block long, ids binary, rows binary, data binary"), name)
 
 
-def approximation(x: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The lower and upper bounds of the cell that each component lies in: per dimension, equal cells between the least and the largest value."""
-    least, most = x.min(0), x.max(0)
-    step = np.maximum(1.0, np.ceil((most - least + 1) / cells))
-    cell = ((x - least) // step).astype(np.uint8)
+def bounds(cell: np.ndarray, least: np.ndarray, step: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of the queries with the vectors in these cells; a margin covers the rounding of large numbers."""
     low = least + cell * step
-    return low, np.minimum(low + step - 1, most)
-
+    high = low + step - 1
+    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+    lower, upper = plus @ low.T + minus @ high.T, plus @ high.T + minus @ low.T
+    most = np.abs(q).sum(1, keepdims=True) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))
+    margin = np.where(most * 4 < _EXACT, 0, most * 1e-12)
+    return lower - margin, upper + margin
 
-def search_block(x: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, q_rows: np.ndarray, k: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query index, vector index, score) of the k best of the block for each query, its own row left out; ties to the smaller id.
 
-    The cells bound each score from both sides. The kth largest lower bound rules out what has a smaller upper bound; the
-    rest is read exactly in the order of the upper bounds until the next bound is below the kth score.
-    """
-    if x.size and q.size and np.abs(x).max() * np.abs(q).max() * x.shape[1] >= _EXACT:  # no exact sums in floats: whole numbers of any size
-        whole, asked = x.astype(object), q.astype(object)
-        found = [(i, j, int(s)) for i in range(len(q)) for s, j in sorted(((whole[j] @ asked[i], j) for j in range(len(x)) if rows[j] != q_rows[i]), key=lambda p: (-p[0], ids[p[1]], rows[p[1]]))[:k]]
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return np.array(a, int), np.array(b, int), np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in c], "i8")
-    low, high = approximation(x, cells)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    upper, lower = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-    own = q_rows[:, None] == rows[None, :]
-    upper[own], lower[own] = -np.inf, -np.inf
-    enough = len(x) > k
-    certain = np.partition(lower, len(x) - k, axis=1)[:, len(x) - k] if enough else np.full(len(q), -np.inf)
-    out = []
-    for i in range(len(q)):
-        open_ = np.flatnonzero((upper[i] >= certain[i]) & ~own[i])
-        open_ = open_[np.argsort(-upper[i, open_], kind="stable")]
-        read, score = 0, np.empty(0)
-        while read < len(open_):
-            kth = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-            if upper[i, open_[read]] < kth:
-                break
-            some = open_[read : read + 4 * k]
-            score = np.concatenate([score, x[some] @ q[i]])
-            read += len(some)
-        seen = open_[:read]
-        best = np.lexsort([rows[seen], ids[seen], -score])[:k]
-        out.append((np.full(len(best), i), seen[best], score[best].astype("i8")))
-    return tuple(np.concatenate([o[j] for o in out]) for j in range(3)) if out else (np.empty(0, int),) * 3
+def exact(q: np.ndarray, x: np.ndarray) -> int:
+    """The inner product of two vectors of whole numbers, at most a 64-bit number."""
+    if x.size and np.abs(x).max() * np.abs(q).sum() < _EXACT:
+        return int(q @ x)
+    return min(max(sum(int(a) * int(b) for a, b in zip(q, x, strict=True)), -(1 << 63)), (1 << 63) - 1)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, cells: int = CELLS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for each row that meets the condition queries, the k rows with the highest inner product, itself left out.
 
-    Components become floor(scale * x), so scores are whole numbers and exact. Vectors and queries are packed in blocks of
-    a bounded size; each block of queries meets each block of vectors of the same dimension once, in a task that holds these
-    two. A block of vectors is a vector-approximation file (search_block). The k best of each block are merged by query.
+    Components become floor(scale * x), so scores are whole numbers and exact. The approximation file has a byte per
+    component: its cell. Pass one reads the file in blocks, each with each block of queries once; the cells bound every
+    score from both sides, and what comes out is each query's k largest lower bounds, merged over the blocks. Pass two reads
+    the file again and lets through the vectors whose upper bound reaches the kth of these. Only their exact vectors are
+    read, in the order of their upper bounds, until the next bound is below the kth score. So the rows that leave pass two
+    grow with the queries, not with their product with the vectors.
 
     Null vectors and those with null or non-finite components take no part; a query with null id does not either, nor does
     a vector with null id. Vectors of other dimensions are not compared. Rows that repeat an id or a vector are rows of
-    their own; ties go to the smaller id. Fewer than k rows: all. Empty table: no rows. Vectors alike in thousands are
-    spread over the blocks as any others.
+    their own; ties go to the smaller id. Of rows with the same vector only the k + 1 smallest ids can be in a result, so
+    the others are not searched. Fewer than k rows: all. Empty table: no rows. Empty vectors: scores of 0 with each other.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("double"))
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("asks"), F.size(vector_col).alias("dim"), whole.alias("vector"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    stored, asked = blocks(rows, BLOCK, "vector-blocks"), blocks(rows.where("asks"), QUERIES, "query-blocks")
-    n = stored.groupBy("dim").agg(F.max("block").alias("last"))
-    spread = asked.join(F.broadcast(n), "dim").select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
-    pairs = spread.join(stored, ["dim", "block"]).repartition("dim", "block", "q_block")
+    alike = Window.partitionBy("vector").orderBy("id", "row")
+    stored = rows.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= k + 1).select("dim", "id", "row", "vector")
+    empty = rows.where("dim = 0").limit(1).select("dim", *[F.array().cast("array<double>").alias(c) for c in ("least", "step")])
+    sizes = materialize(cell_sizes(rows, min(cells, 256)).unionByName(empty), "cell-sizes")
+    file = blocks(quantised(stored, sizes).withColumnRenamed("cells", "data"), BLOCK, "cells")
+    asked = blocks(packed(rows.where("asks")), QUERIES, "query-blocks").select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("data").alias("q"))
+    last = small(file.groupBy("dim").agg(F.max("block").alias("last")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block")
+
+    def meet(questions: DataFrame, *more: str) -> DataFrame:
+        names = ["dim", "q_block", "q_rows", "q", *more]
+        spread = questions.join(last, "dim").select(*names, each)
+        met = spread.join(file, ["dim", "block"]).join(small(sizes), "dim")
+        return met.repartition("dim", "block", "q_block").select(*names, "ids", "rows", "data", "least", "step")
+
+    def arrays(batch: pa.RecordBatch, i: int, kinds: str) -> list[np.ndarray]:
+        return [np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in enumerate(kinds.split(), 2)]
+
+    def both(batch: pa.RecordBatch, i: int, q: np.ndarray, n: int, data: np.ndarray, m: int, at: int) -> tuple[np.ndarray, np.ndarray]:
+        d = batch.column(0)[i].as_py()
+        least, step = (np.array(batch.column(at + j)[i].as_py(), float) for j in (0, 1))
+        return bounds(data.reshape(m, d), least, step, q.reshape(n, d))
+
+    def pass_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_rows, q, _, at, data = arrays(batch, i, "i8 f8 i8 i8 u1")
+                lower, _ = both(batch, i, q, len(q_rows), data, len(at), 7)
+                lower[q_rows[:, None] == at[None, :]] = -np.inf
+                if lower.shape[1] > k:
+                    lower = np.partition(lower, lower.shape[1] - k, axis=1)[:, -k:]
+                lower = np.pad(lower, ((0, 0), (0, k - lower.shape[1])), constant_values=-np.inf)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([lower.tobytes()], pa.binary())], ["dim", "q_block", "lower"])
+
+    def kth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([held.min(1).tobytes()], pa.binary())], ["dim", "q_block", "kth"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                name = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                lower = np.frombuffer(batch.column(2)[i].as_buffer(), "f8").reshape(-1, k)
+                if name != key:
+                    if key:
+                        yield out()
+                    key, held = name, lower
+                else:
+                    held = np.partition(np.concatenate([held, lower], 1), k, axis=1)[:, k:]
+        if key:
+            yield out()
+
+    def pass_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_rows, q, least_, ids, at, data = arrays(batch, i, "i8 f8 f8 i8 i8 u1")
+                _, upper = both(batch, i, q, len(q_rows), data, len(at), 8)
+                a, b = np.nonzero((upper >= least_[:, None]) & (q_rows[:, None] != at[None, :]))
+                for low in range(0, len(a), 50_000):
+                    x, y = a[low : low + 50_000], b[low : low + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[x]), pa.array(at[y]), pa.array(upper[x, y])], ["q_row", "row", "upper"])
+
+    def certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates come by query in the order of their upper bounds; of each query the k best leave."""
+        key, best, done, out = None, [], False, []
+
+        def close() -> None:
+            best.sort(key=lambda r: (-r[0], r[1], r[2]))
+            out.extend((key, r, x[1], x[0]) for r, x in enumerate(best[:k], 1))
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, ["query_row", "rank", "vec_id", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                dim, *raw = (batch.column(c)[i] for c in range(7))
-                d = dim.as_py()
-                ids, at, x, q_ids, q_at, q = (np.frombuffer(r.as_buffer(), t) for r, t in zip(raw, ("i8", "i8", "f8") * 2, strict=True))
-                a, b, score = search_block(x.reshape(len(ids), d), at, ids, q.reshape(len(q_ids), d), q_at, k, cells)
-                yield pa.RecordBatch.from_arrays([pa.array(q_at[a]), pa.array(q_ids[a]), pa.array(ids[b]), pa.array(at[b]), pa.array(score)], ["q_row", "query_id", "vec_id", "row", "score"])
-
-    found = pairs.select("dim", "ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors").mapInArrow(run, "q_row long, query_id long, vec_id long, row long, score long")
-    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                q_row = batch.column(0)[i].as_py()
+                if q_row != key:
+                    if key is not None:
+                        close()
+                    key, best, done = q_row, [], False
+                if done:
+                    continue
+                if len(best) >= 2 * k or len(best) == k:
+                    best.sort(key=lambda r: (-r[0], r[1], r[2]))
+                    del best[k:]
+                    if batch.column(3)[i].as_py() < best[-1][0]:
+                        done = True
+                        continue
+                x, q = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
+                best.append((exact(q, x), batch.column(2)[i].as_py(), batch.column(1)[i].as_py()))
+            if len(out) > 20_000:
+                yield flush()
+                out = []
+        if key is not None:
+            close()
+        if out:
+            yield flush()
+
+    lows = meet(asked).mapInArrow(pass_one, "dim int, q_block long, lower binary").repartition("dim", "q_block").sortWithinPartitions("dim", "q_block")
+    level = materialize(lows.mapInArrow(kth, "dim int, q_block long, kth binary"), "kth")
+    found = meet(asked.join(level, ["dim", "q_block"]), "kth").mapInArrow(pass_two, "q_row long, row long, upper double")
+    asking = rows.where("asks").select(F.col("row").alias("q_row"), F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    read = found.join(rows.select("row", "id", "vector"), "row").join(asking.select("q_row", "q"), "q_row")
+    ordered = read.select("q_row", "row", "id", "upper", "vector", "q").repartition("q_row").sortWithinPartitions("q_row", F.desc("upper"))
+    ranked = ordered.mapInArrow(certain, "query_row long, rank int, vec_id long, score long")
+    return ranked.join(asking.select(F.col("q_row").alias("query_row"), "query_id"), "query_row").select("query_id", "rank", "vec_id", "score")
+
