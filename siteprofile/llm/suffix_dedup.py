@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,20 +16,22 @@ from .jaccard import Powers, mixed
 LENGTH, GRAM = 100, 32
 #: Distinct snippets of one anchor that are sorted in memory; beyond, Spark sorts their windows.
 GROUP = 4_000
+#: A snippet that stands in HOT places or more goes at once from all but the first of them. Anchors of a task that are compared before they are dealt.
+HOT, TOGETHER = 32, 100_000
 #: Bytes of text that are hashed at once; the arrays made of them are some twenty times as large.
 RUN = 1 << 18
 _BITS = 22
 _powers = Powers()
 
 
-def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, hash, place, first, last) of the anchors of the texts: each window of length bytes belongs to the gram in it with the smallest hash (the leftmost, if several); first..last are the starts of the windows that belong to it.
+def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, content: bool = False) -> tuple[np.ndarray, ...]:
+    """(text, hash, place, first, last, and with content a hash of the bytes under these windows) of the anchors of the texts: each window of length bytes belongs to the gram in it with the smallest hash (the leftmost, if several); first..last are the starts of the windows that belong to it.
 
     Equal windows have equal anchors at equal offsets, wherever they stand.
     """
     size = np.array([len(t) for t in texts])
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    none = tuple(np.empty(0, np.int64) for _ in range(5))
+    none = tuple(np.empty(0, np.int64) for _ in range(5 + content))
     if len(raw) < length:
         return none
     with np.errstate(over="ignore"):
@@ -60,7 +61,12 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
     head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(head[1:], len(at)) - 1
     text, place, base = text[head], place[head], starts[text[head]]
-    return text, hashes[place].view(np.int64), place - base, at[head] - base, at[last] - base
+    found = text, hashes[place].view(np.int64), place - base, at[head] - base, at[last] - base
+    if not content:
+        return found
+    with np.errstate(over="ignore"):
+        a, b = at[head], at[last] + length
+        return *found, mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64)
 
 
 def _runs(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -86,36 +92,58 @@ def _cut(text: bytes, most: int = 1 << 19) -> list[tuple[int, bytes]]:
     return [(s, text[s : s + most]) for s in range(0, max(1, len(text) - LENGTH + 1), step)]
 
 
+ANCHORS = "hash long, snippet long, doc long, tag long, spot long, many int"
+
+
 def anchor_table(docs: DataFrame) -> DataFrame:
-    """(hash, doc, tag, spot) of each anchor; spot holds place, place - first and place - last."""
+    """(hash, snippet, doc, tag, spot, many) of each anchor; snippet is a hash of the bytes under its windows, spot holds place, place - first and place - last.
+
+    Of the anchors that a task sees together, one stands for those with its hash: many is 2 for it, 0 for the others, which
+    are known to be repeated and need not meet the rest of their hash, and 1 for a hash seen once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            hashes, snippet, spot = (np.concatenate([r[i] for r in rows]) for i in (0, 1, 4))
+            _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            many = np.where(counts[inverse] > 1, 0, 1).astype("i4")
+            many[first[counts > 1]] = 2
+            doc, tag = (pa.concat_arrays([r[i] for r in rows]) for i in (2, 3))
+            return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(snippet), doc, tag, pa.array(spot), pa.array(many)], ["hash", "snippet", "doc", "tag", "spot", "many"])
+
+        held, n = [], 0
         for batch in batches:
             doc, tag = batch.column(0), batch.column(1)
             for low, texts in _runs(batch, 2):
                 parts = [(low + i, s, p) for i, t in enumerate(texts) for s, p in _cut(t)]
                 groups = [parts] if sum(len(p) for _, _, p in parts) < 1 << _BITS else [[p] for p in parts]
                 for some in groups:
-                    text, hashes, place, first, last = anchors([p for _, _, p in some])
+                    text, hashes, place, first, last, snippet = anchors([p for _, _, p in some], content=True)
                     if len(text):
                         row = pa.array(np.array([i for i, _, _ in some])[text])
                         spot = ((place + np.array([s for _, s, _ in some])[text]) << 14) | ((place - first) << 7) | (place - last)
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes), doc.take(row), tag.take(row), pa.array(spot)], ["hash", "doc", "tag", "spot"])
+                        held.append((hashes, snippet, doc.take(row), tag.take(row), spot))
+                        n += len(text)
+                    if n > TOGETHER:
+                        yield out(held)
+                        held, n = [], 0
+        if held:
+            yield out(held)
 
-    return docs.mapInArrow(run, "hash long, doc long, tag long, spot long")
+    return docs.mapInArrow(run, ANCHORS)
 
 
 def repeated(table: DataFrame) -> DataFrame:
-    """The anchors whose hash occurs twice or more. Rows stream by in the order of the hash; one is held back."""
+    """The anchors whose hash occurs twice or more. Rows stream by in the order of the hash; one is held back. Those known to be repeated are dealt by place, so a common passage is spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the batch before, and whether it is out
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy()
+            key, many = batch.column(0).to_numpy(), batch.column(5).to_numpy()
             same = key[1:] == key[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (many != 1)
             if held is not None and held[0].column(0)[0].as_py() == key[0]:
                 keep[0] = True
                 if not held[1]:
@@ -124,8 +152,21 @@ def repeated(table: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    ordered = table.repartition("hash").sortWithinPartitions("hash")
-    return ordered.mapInArrow(run, "hash long, doc long, tag long, spot long")
+    dealt = F.when(F.col("many") == 0, F.xxhash64("doc", "tag", "spot")).otherwise(F.col("hash"))
+    ordered = table.repartition(dealt).sortWithinPartitions("hash")
+    return ordered.mapInArrow(run, ANCHORS).drop("many")
+
+
+def common_snippets(spots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the spots left to compare, ranges (doc, tag, first, last) of the other copies of snippets that stand in HOT places or more). Counts are made before the shuffle, so a passage of any number of copies costs a task little."""
+    here = F.struct("doc", "tag", "spot")
+    hot = spots.groupBy("hash", "snippet").agg(F.count(F.lit(1)).alias("_n"), F.min(here).alias("_lead")).where(F.col("_n") >= HOT)
+    hot = materialize(hot.select("hash", "snippet", "_lead"), "common")
+    marked = spots.join(small(hot), ["hash", "snippet"], "left").withColumn("_later", F.coalesce(here != F.col("_lead"), F.lit(False)))
+    place = F.shiftright("spot", 14)
+    first, last = place - F.shiftright("spot", 7).bitwiseAND(F.lit(127)), place - F.col("spot").bitwiseAND(F.lit(127))
+    later = marked.where("_later").select("doc", "tag", first.alias("first"), last.alias("last"))
+    return marked.where(~F.col("_later")).select("hash", "doc", "tag", "spot"), later
 
 
 def snippets(docs: DataFrame, spots: DataFrame) -> DataFrame:
@@ -150,19 +191,56 @@ def snippets(docs: DataFrame, spots: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "hash long, doc long, tag long, first long, last long, bytes binary")
 
 
+def previous_smaller(v: np.ndarray) -> np.ndarray:
+    """For each element the place of the nearest smaller one before it, or -1. All elements jump together, each over what the last one it met has jumped over."""
+    p = np.arange(-1, len(v) - 1)
+    todo = np.arange(len(v))
+    while len(todo := todo[(p[todo] >= 0)]) and len(todo := todo[v[p[todo]] > v[todo]]):
+        p[todo] = p[p[todo]]
+    return p
+
+
+def common_prefixes(ranked: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row and the row above, 0 for the first."""
+    differ = ranked[1:] != ranked[:-1]
+    first = differ.argmax(1)
+    return np.concatenate([[0], np.where(differ[np.arange(len(first)), first], first, ranked.shape[1])]) if len(ranked) else np.empty(0, np.int64)
+
+
+def least_between(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of lcp over low .. high (both included, low <= high)."""
+    tables = [lcp]
+    while 2 << len(tables) - 1 <= len(lcp):
+        half = 1 << len(tables) - 1
+        tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
+    level = np.frexp(high - low + 1)[1] - 1
+    out = np.empty(len(low), lcp.dtype)
+    for k, table in enumerate(tables):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k) + 1])
+    return out
+
+
 def previous_factors(windows: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For windows (rows of LENGTH bytes) and their places in the corpus (order), whether each one's longest previous factor has LENGTH bytes.
+    """For suffixes, each as its first LENGTH bytes, at places order of the corpus, whether the longest previous factor has LENGTH bytes.
 
-    The rows are put in suffix order, as far as LENGTH bytes tell them apart, and then by place. The previous smaller place
-    with a common prefix of LENGTH bytes is then, if there is one, the neighbour above.
+    In suffix order the longest earlier match of a suffix is with the nearest suffix above or below it that stands earlier:
+    its previous and its next smaller place. The factor's length is the larger of the two least common prefixes up to these.
     """
-    padded = np.zeros((len(windows), -(-LENGTH // 8) * 8), np.uint8)
+    n = len(windows)
+    padded = np.zeros((n, -(-LENGTH // 8) * 8), np.uint8)
     padded[:, :LENGTH] = windows
     part = padded.view(">u8")
-    suffix = np.lexsort([order, *(part[:, i].astype(np.uint64) for i in reversed(range(part.shape[1])))])
-    ranked = part[suffix]
-    out = np.zeros(len(windows), bool)
-    out[suffix[1:]] = (ranked[1:] == ranked[:-1]).all(1)
+    suffix = np.lexsort([part[:, i].astype(np.uint64) for i in reversed(range(part.shape[1]))])
+    lcp, place = common_prefixes(windows[suffix]), order[suffix]
+    above, below = previous_smaller(place), n - 1 - previous_smaller(place[::-1])[::-1]
+    factor = np.zeros(n, np.int64)
+    i = np.flatnonzero(above >= 0)
+    factor[i] = least_between(lcp, above[i] + 1, i)
+    i = np.flatnonzero(below < n)
+    factor[i] = np.maximum(factor[i], least_between(lcp, i + 1, below[i]))
+    out = np.zeros(n, bool)
+    out[suffix] = factor >= LENGTH
     return out
 
 
@@ -270,13 +348,13 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Removed is each UTF-8 byte under a string of LENGTH bytes that also starts earlier: in a smaller doc_id, or earlier in
     the same document. Whole copies of an earlier document go at once. Of the others, each window of LENGTH bytes belongs
-    to the anchor in it (anchors()), so equal windows meet under one anchor hash. Anchors that occur once are dropped; of
-    the others the bytes under their windows are dealt by hash, and previous_factors() finds the windows with an earlier
-    match. Snippets that are equal as a whole are found by comparison alone, and only one of them is sorted, so a group of
-    copies or a common passage costs its number of rows; an anchor with more than GROUP distinct snippets is sorted by
-    Spark instead.
+    to the anchor in it (anchors()), so equal windows meet under one anchor hash. Anchors that occur once are dropped. Of a
+    snippet (the bytes under an anchor's windows) in HOT places or more all but the first go by a count. The others are
+    dealt by hash, and previous_factors() finds the windows with an earlier match in the suffix order of an anchor's
+    snippets; equal ones are found by comparison, and one of them is sorted. An anchor with more than GROUP distinct
+    snippets is sorted by Spark instead.
 
-    Null or empty text, and text under LENGTH bytes: nothing removed. Null doc_id: before all others. Rows that repeat a
+    Null or empty text, and text under LENGTH bytes: nothing removed. Very long texts are hashed in parts that overlap. Null doc_id: before all others. Rows that repeat a
     doc_id: with the same text, one document that comes back as often; with other texts, in the order of a text hash. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
@@ -292,9 +370,9 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     single = rows.select("doc", "tag", "text").where(F.length("text") >= LENGTH).join(small(copies.select("doc", "tag")), ["doc", "tag"], "left_anti")
     if several:
         single = single.dropDuplicates(["doc", "tag"])
-    spots = materialize(repeated(anchor_table(single)), "anchors")
+    spots, later = common_snippets(materialize(repeated(anchor_table(single)), "anchors"))
     found = materialize(repeats(snippets(single, spots)), "repeats")
-    ranges = found.where("bytes is null").select("doc", "tag", "first", "last")
+    ranges = found.where("bytes is null").select("doc", "tag", "first", "last").unionByName(later)
     crowded = found.where("bytes is not null")
     if crowded.limit(1).count():
         ranges = ranges.unionByName(crowded_repeats(crowded))

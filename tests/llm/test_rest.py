@@ -29,6 +29,9 @@ def brute_suffix(rows, length=100):
 @pytest.mark.parametrize("group", [4000, 2])
 def test_suffix_dedup(spark, docs, no_docs, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    if group == 2:
+        monkeypatch.setattr(suffix_dedup, "HOT", 3)
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", 40)
     rng = random.Random(3)
     words = ["é" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(400)]
     passages = [" ".join(rng.choice(words) for _ in range(rng.randint(14, 40))) for _ in range(5)]
@@ -56,6 +59,27 @@ def test_suffix_dedup(spark, docs, no_docs, monkeypatch, group):
     assert got == {(None, False): 1, (3, True): 2, (3, False): 1}
 
 
+def test_previous_factors():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 50, 400):
+        v = rng.permutation(n)
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(n)]
+        assert suffix_dedup.previous_smaller(v).tolist() == want
+        windows = rng.integers(0, 2, (n, suffix_dedup.LENGTH), dtype=np.uint8)
+        windows[:, 3:] = 7
+        order = rng.permutation(n)
+        seen = {}
+        for i in np.argsort(order):
+            seen.setdefault(windows[i].tobytes(), i)
+        assert suffix_dedup.previous_factors(windows, order).tolist() == [seen[windows[i].tobytes()] != i for i in range(n)]
+        a = rng.integers(0, 9, n)
+        low = rng.integers(0, n, 40)
+        high = np.minimum(n - 1, low + rng.integers(0, n, 40))
+        assert suffix_dedup.least_between(a, low, high).tolist() == [a[x : y + 1].min() for x, y in zip(low, high)]
+
+
 def test_long_text_in_parts():
     rng = random.Random(1)
     text = bytes(rng.choice(b"abcd") for _ in range(5000))
