@@ -15,12 +15,17 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "token": r"(?<!\S)[^\s0-9]*+[0-9]\S*+",
+    "number": r"(?<!\S)[^\s0-9]*+[0-9]\S*+(?:\x20[^\s0-9]{0,2}+[0-9]\S*+)*+",
+    "name": r"(?<!\S)[(\[<]*+(?=[^\s.(\[@]++[.(\[@]\S*[A-Za-z])\S++",
 }
+#: What the patterns of a kind may discover: numbers are runs of tokens with a digit (4 digits at least), names are tokens with a full stop, bracket or @ inside.
+CANDIDATES = ("number", "name")
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-#: A pattern counts from MIN_SEEDS different seeds on; it discovers from CONFIDENCE on. ROUNDS of scoring.
-MIN_SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 3
+#: A pattern counts from MIN_SEEDS different instances of a kind on; it discovers from CONFIDENCE on. ROUNDS at most.
+MIN_SEEDS, CONFIDENCE, ROUNDS = 5, 0.7, 4
+#: Weight of an instance of which nothing is known yet, against a pattern.
+UNKNOWN = 0.25
 
 
 def digits(text: Column) -> Column:
@@ -44,19 +49,23 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, kind, start, end, match, left, right): all matches of PATTERNS that are valid, in code points, and one row without a kind per document that has none.
+    """(rid, doc_id, kind, start, end, match, left, right): all matches of PATTERNS, in code points; those that are not valid have no kind, and a document without matches has one row without a kind.
 
     A text split at the matches gives the lengths between them; running sums by document and kind give the places. left and
-    right are up to 60 and 30 characters around a match.
+    right are up to 60 and 30 characters around a match, which may reach over the match before or after.
     """
     text = F.col("_text")
-    has = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
+    names = F.contains(text, F.lit("@")) | F.contains(text, F.lit("(")) | F.contains(text, F.lit("[")) | text.rlike(r"\S\.\S")
+    has = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+")), "name": names}
     none = F.array().cast("array<struct<kind:string,i:int,gap:int,match:string,left:string,right:string>>")
 
     def found(kind: str) -> Column:
         def spans(both: Column) -> Column:
             gaps, matches = both["gaps"], both["matches"]
-            each = F.transform(matches, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), F.right(F.get(gaps, i), F.lit(60)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(30)).alias("right")))
+            near = lambda x: F.coalesce(x, F.lit(""))
+            before = lambda i: F.right(F.concat(F.right(near(F.get(gaps, i - 1)), F.lit(60)), near(F.get(matches, i - 1)), F.get(gaps, i)), F.lit(60))
+            after = lambda i: F.left(F.concat(F.get(gaps, i + 1), near(F.get(matches, i + 1)), F.left(near(F.get(gaps, i + 2)), F.lit(30))), F.lit(30))
+            each = F.transform(matches, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"), before(i).alias("left"), after(i).alias("right")))
             return F.when(F.size(matches) == 0, none).otherwise(each)
 
         pattern = PATTERNS[kind]
@@ -67,54 +76,72 @@ def marks(docs: DataFrame) -> DataFrame:
     rows = texts.select("rid", "doc_id", F.explode_outer(F.concat(*[found(k) for k in PATTERNS])).alias("m")).select("rid", "doc_id", "m.*")
     before = Window.partitionBy("rid", "kind").orderBy("i")
     placed = rows.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(before).cast("long")).withColumn("start", F.col("end") - F.length("match"))
-    kept = placed.where("kind is null or kind = 'token'").unionByName(placed.where("kind is not null and kind <> 'token'").where(valid(F.col("kind"), F.col("match"))))
-    # A document all of whose matches are invalid keeps a row too.
-    held = kept.select("rid", "doc_id", "kind", "start", "end", "match", "left", "right")
-    return held.unionByName(rows.where("i = 0 or i is null").select("rid", "doc_id").distinct().select("rid", "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("kind", "string"), ("start", "long"), ("end", "long"), ("match", "string"), ("left", "string"), ("right", "string"))]))
+    candidate = F.col("kind").isin(*CANDIDATES)
+    some = F.when(F.col("kind") == "number", F.length(digits(F.col("match"))) >= 4).otherwise(True)
+    good = F.when(candidate, some).otherwise(valid(F.col("kind"), F.col("match")))
+    return placed.select("rid", "doc_id", F.when(good, F.col("kind")).alias("kind"), "start", "end", "match", "left", "right")
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """spans with their lexical patterns: the two words before, and the words before and after (lower case)."""
-    before, after = F.split(F.trim(F.lower(F.regexp_replace("left", r"\s+", " "))), " "), F.split(F.trim(F.lower(F.regexp_replace("right", r"\s+", " "))), " ")
+    """spans with their lexical patterns: the two words before, and the words before and after (lower case, digits as 0)."""
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(c)), r"\s+", " "), "[0-9]", "0")), " ")
+    before, after = words("left"), words("right")
     last = F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))
     two = F.when(F.size(last) == 2, F.concat(F.lit("L:"), F.array_join(last, " ")))
     around = F.when((F.length(F.element_at(before, -1)) > 0) & (F.length(after[0]) > 0), F.concat(F.lit("C:"), F.element_at(before, -1), F.lit(" _ "), after[0]))
     return spans.withColumn("pattern", F.explode(F.array_compact(F.array(two, around))))
 
 
-def discover(found: DataFrame) -> DataFrame:
-    """(rid, kind, start, end) of tokens that high-confidence patterns reach and no base span overlaps.
-
-    Patterns and instances (different strings) form a bipartite graph. Seeds score 1 for their kind. In each round a
-    pattern's confidence in a kind is the sum of its instances' scores over their number plus 2, zero with fewer than
-    MIN_SEEDS seeds; a token's score is its best pattern's confidence. The graph keeps one edge per pattern and instance, so
-    copies add nothing, and sums are made before they are shuffled.
-    """
-    near = found.where("kind is not null")
-    base = F.col("kind") != "token"
+def candidates(near: DataFrame) -> DataFrame:
+    """The rows of near that may be discovered: those of CANDIDATES that no base span overlaps, without punctuation at their ends."""
+    base = ~F.col("kind").isin(*CANDIDATES)
     by_start = Window.partitionBy("rid").orderBy("start", "end")
     reach = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
-    core = F.regexp_extract("match", r"[0-9A-Za-z+](?:\S*[0-9A-Za-z])?", 0)
-    placed = near.withColumn("_reach", reach).withColumn("_ahead", ahead)
-    tokens = placed.where("kind = 'token'").where((F.coalesce("_reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("_ahead", F.col("end")) >= F.col("end")))
-    tokens = tokens.withColumn("_core", core).withColumn("start", F.col("start") + F.instr("match", F.col("_core")) - 1).withColumn("end", F.col("start") + F.length("_core")).withColumn("match", F.col("_core"))
-    tokens = tokens.where(F.length(digits(F.col("match"))) >= 4)
-    seeds = contexts(near.where(base)).select("pattern", "kind", F.col("match").alias("instance")).distinct()
-    reached = materialize(contexts(tokens).select("rid", "start", "end", "pattern", F.col("match").alias("instance")), "tokens")
-    edges = materialize(reached.select("pattern", "instance").distinct(), "edges")
-    strong = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    # What a pattern meets at all: seeds of any kind and tokens.
-    all_of = strong.groupBy("pattern").agg(F.sum("seeds").alias("n")).unionByName(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))).groupBy("pattern").agg(F.sum("n").alias("n"))
-    patterns = materialize(strong.where(F.col("seeds") >= MIN_SEEDS).join(all_of, "pattern"), "patterns")
-    confidence = patterns.select("pattern", "kind", (F.col("seeds") / (F.col("n") + 2)).alias("confidence"))
-    for _ in range(ROUNDS - 1):
-        confidence = materialize(confidence, "confidence")
-        scores = edges.join(confidence, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-        more = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("more"))
-        confidence = patterns.join(more, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 2)).alias("confidence"))
-    sure = materialize(confidence.where(F.col("confidence") >= CONFIDENCE), "sure")
-    hits = reached.join(sure, "pattern").groupBy("rid", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    placed = near.withColumn("_reach", reach).withColumn("_ahead", ahead).where(~base)
+    free = placed.where((F.coalesce("_reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("_ahead", F.col("end")) >= F.col("end")))
+    core = F.regexp_extract("match", r"(?s)[0-9A-Za-z+](?:.*[0-9A-Za-z])?", 0)
+    cut = free.withColumn("_core", core).withColumn("start", F.col("start") + F.instr("match", F.col("_core")) - 1)
+    return cut.withColumn("end", F.col("start") + F.length("_core")).withColumn("match", F.col("_core")).where(F.length("match") > 0)
+
+
+def discover(found: DataFrame) -> DataFrame:
+    """(rid, kind, start, end) of candidates that high-confidence patterns reach and no base span overlaps.
+
+    Patterns and instances (different strings) form a bipartite graph, with one edge for a pattern and an instance, so
+    copies add nothing. Seeds have score 1 for their kind. In each round the instances known so far induce patterns from all
+    their contexts: a pattern's confidence in a kind is the sum of the scores of its instances of the kind over the number
+    of all its instances plus 2. Patterns with MIN_SEEDS such instances and a confidence of CONFIDENCE discover the
+    candidates of their type (names for e-mail, numbers for the others); a discovered instance has its best pattern's
+    confidence as score and is known in the next round, at all its places. It ends when a round discovers nothing new.
+    """
+    near = found.where("kind is not null")
+    seeds = contexts(near.where(~F.col("kind").isin(*CANDIDATES))).select("pattern", "kind", F.col("match").alias("instance")).distinct()
+    seeds = materialize(seeds, "seeds")
+    reached = contexts(candidates(near)).select("rid", "start", "end", "pattern", F.col("match").alias("instance"), F.col("kind").alias("type"))
+    reached = materialize(reached, "candidates")
+    edges = materialize(reached.select("pattern", "instance", "type").distinct(), "edges")
+    total = seeds.select("pattern", "instance").unionByName(edges.select("pattern", "instance")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    total = materialize(total, "patterns")
+    fits = (F.col("kind") == "email") == (F.col("type") == "name")
+    known, n_known, sure = None, 0, None
+    for _ in range(ROUNDS):
+        support = seeds.select("pattern", "kind", F.lit(1.0).alias("score"))
+        if known is not None:
+            support = support.unionByName(edges.select("pattern", "instance").distinct().join(known, "instance").select("pattern", "kind", "score"))
+        by_kind = support.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("_k"))
+        all_kinds = by_kind.groupBy("pattern").agg(F.sum("score").alias("_all"), F.sum("_k").alias("_known"), F.max("_k").alias("_most")).where(F.col("_most") >= MIN_SEEDS)
+        strong = by_kind.where(F.col("_k") >= MIN_SEEDS).join(all_kinds, "pattern").join(total, "pattern")
+        unknown = F.greatest(F.col("n") - F.col("_known"), F.lit(0)) * UNKNOWN
+        strong = strong.withColumn("confidence", F.col("score") / (F.col("_all") + unknown + 2)).where(F.col("confidence") >= CONFIDENCE)
+        sure = materialize(strong.select("pattern", "kind", "confidence"), "sure")
+        best = edges.join(sure, "pattern").where(fits).groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+        known = materialize(best.select("instance", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("score")), "known")
+        n = known.count()
+        if n <= n_known:
+            break
+        n_known = n
+    hits = reached.join(sure, "pattern").where(fits).groupBy("rid", "start", "end").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     return hits.select("rid", F.col("best.kind").alias("kind"), "start", "end")
 
 
@@ -125,14 +152,15 @@ def detect(docs: DataFrame) -> DataFrame:
     valid leftmost matches of each kind, which the counts are of; spans also has what discover() adds, under the kind of the
     pattern that found it.
 
-    Null or empty text: no spans. Repeated rows: each one its own. Null doc_id stays null. Empty table: no rows. Other
-    columns of the input are not read.
+    Null or empty text: no spans. Very long texts: read whole, each pattern in one pass. Repeated rows: each one its own.
+    Null doc_id stays null. Empty table: no rows. Other columns of the input are not read.
     """
     found = materialize(marks(docs), "marks")
     added = materialize(discover(found), "added")
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     span = F.struct(rank.alias("order"), "start", "end", "kind")
-    base = found.where("kind is null or kind <> 'token'").select("rid", "doc_id", F.when(F.col("kind").isNotNull(), span).alias("base"), F.lit(None).cast("struct<order:int,start:bigint,end:bigint,kind:string>").alias("more"))
+    seen = F.col("kind").isNotNull() & ~F.col("kind").isin(*CANDIDATES)
+    base = found.select("rid", "doc_id", F.when(seen, span).alias("base"), F.lit(None).cast("struct<order:int,start:bigint,end:bigint,kind:string>").alias("more"))
     extra = added.select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("struct<order:int,start:bigint,end:bigint,kind:string>").alias("base"), span.alias("more"))
     count = [F.count(F.when(F.col("base.kind") == k, 1)).alias(f"n_{k}") for k in KINDS]
     rows = base.unionByName(extra).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *count, F.array_sort(F.collect_list("base")).alias("base_spans"), F.collect_list("more").alias("_more"))
