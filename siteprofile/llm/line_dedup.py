@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bind, components, materialize, small
+from .common import BROADCAST_ROWS, bind, components, materialize, small
 
 #: Lines link if their edit similarity is at least SIMILARITY and, where the caller asks for SimHashes, these differ in at most MAX_BITS of 64 bits.
 MAX_BITS, SIMILARITY = 3, 0.8
@@ -19,6 +19,8 @@ LEAST_WORDS = 5
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Words are ranked by counts of hash buckets in one of SAMPLE lines. The ranks decide how many candidates there are, not which pairs are found.
 BUCKETS, SAMPLE = 1 << 16, 8
+#: A line in HOT places or more is compared once.
+HOT = 16
 #: Lines from here on have a parity of 256 bits, shorter ones of 128.
 LONG = 80
 #: Words that one row of counters sums up: each of its 64 counters has 14 bits and two to spare.
@@ -70,11 +72,17 @@ def block_keys(sim: Column) -> Column:
     return F.array(*[F.shiftleft(F.lit(t).cast("long"), 26).bitwiseOR(F.shiftleft(parts[i], 13)).bitwiseOR(parts[j]) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for (the words being the letters). Texts are read for the lines of a pair only."""
+def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of line hashes those whose normalised lines have the edit similarity asked for (the words being the letters). Texts are fetched for the lines of a pair only, at the first place of each."""
     pairs = materialize(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    letters = texts.join(small(ends), "line", "left_semi").select("line", word_letters(F.col("_line")).alias("t"))
+    places = lines.join(small(ends), "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "rid", "pos")).alias("p"))
+    places = materialize(places.select(F.col("p.rid").alias("rid"), F.col("p.pos").alias("pos"), "line"), "places")
+    wanted = places.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("pos", "line")).alias("_want"))
+    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of places, so the arrays are bounded too
+    rows = _documents(docs).join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "_rid").select("_want", F.split("_text", "\n", -1).alias("_lines"))
+    letters = rows.select(F.explode(F.transform("_want", lambda w: F.struct(w["line"].alias("line"), word_letters(normal(F.get(F.col("_lines"), w["pos"]))).alias("t")))).alias("e"))
+    letters = materialize(letters.select("e.*").dropDuplicates(["line"]), "letters")
     both = pairs.join(letters.toDF("a", "ta"), "a").join(letters.toDF("b", "tb"), "b")
     longest = F.greatest(F.length("ta"), F.length("tb"))
     most = most_edits(longest)
@@ -82,14 +90,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(both.where(near).select("a", "b"), "line-edges")
 
 
-def groups(hashed: DataFrame, texts: DataFrame) -> DataFrame:
+def groups(hashed: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for the lines, by hash, that link to a line with another hash, of the pairs whose SimHashes are within MAX_BITS."""
     distinct = hashed.where(F.col("n_words") >= LEAST_WORDS).select("line", "sim").distinct()
     keyed = distinct.select("line", F.struct("sim").alias("sign"), F.explode(block_keys(F.col("sim"))).alias("key"))
-    return linked(keyed, lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MAX_BITS, lambda a, b: F.lit(1), texts)
+    return linked(keyed, lambda a, b: F.bit_count(a["sim"].bitwiseXOR(b["sim"])) <= MAX_BITS, lambda a, b: F.lit(1), lines, docs)
 
 
-def linked(keyed: DataFrame, near, shared, texts: DataFrame) -> DataFrame:
+def linked(keyed: DataFrame, near, shared, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for the lines, by hash, that link to a line with another hash.
 
     keyed has key, line and sign. Pairs whose signs are near, and that have as many keys in common as shared asks for, are
@@ -99,14 +107,14 @@ def linked(keyed: DataFrame, near, shared, texts: DataFrame) -> DataFrame:
     lead = Window.partitionBy("key")
     bucketed = materialize(keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(lead)), "line-buckets")
     stars = bucketed.where(F.col("line") != F.col("lead.line")).where(near(F.col("sign"), F.col("lead.sign")))
-    stars = verified(stars.select(F.col("line").alias("a"), F.col("lead.line").alias("b")), texts)
+    stars = verified(stars.select(F.col("line").alias("a"), F.col("lead.line").alias("b")), lines, docs)
     known = materialize(components(stars), "line-components")
     labelled = bucketed.join(small(known), bucketed["line"] == known["node"], "left").select("key", "line", "sign", F.col("lead.line").alias("lead"), F.coalesce("component", "line").alias("c"))
     left, right = labelled.alias("x"), labelled.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.line") > F.col("y.line")) & (F.col("y.line") != F.col("x.lead")) & (F.col("x.c") != F.col("y.c"))
     rest = left.join(right, apart & near(F.col("x.sign"), F.col("y.sign"))).select(F.col("x.line").alias("a"), F.col("y.line").alias("b"), shared(F.col("x.sign"), F.col("y.sign")).alias("need"))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
-    return components(stars.unionByName(verified(rest.select("a", "b"), texts)))
+    return components(stars.unionByName(verified(rest.select("a", "b"), lines, docs)))
 
 
 def most_edits(n: Column) -> Column:
@@ -190,14 +198,23 @@ def maybe_similar(a: Column, b: Column) -> Column:
     return (apart <= most) & (changed <= 2 * most - apart)
 
 
-def similar(texts: DataFrame) -> DataFrame:
+def once(norm: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, _line) of norm, those that stand in HOT places or more at their first place only: no line brings its keys more than HOT times."""
+    hot = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "pos")).alias("first")).where(F.col("n") >= HOT)
+    hot = small(materialize(hot.select("line", "first"), "hot-lines"))
+    marked = norm.join(hot, "line", "left").where(F.col("first").isNull() | (F.struct("id", "rid", "pos") == F.col("first")))
+    return marked.select("line", "_line")
+
+
+def similar(norm: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) for the lines, by hash, that link to a line with another hash: all pairs of edit similarity SIMILARITY or more count."""
+    texts = once(norm, lines)
     ranks = word_ranks(texts)
     by_key = Window.partitionBy("key")
-    live = rare_pair_keys(texts, ranks).withColumn("_n", F.count(F.lit(1)).over(by_key)).where("_n > 1").drop("_n")
+    live = rare_pair_keys(texts, ranks).withColumn("_a", F.min("line").over(by_key)).withColumn("_b", F.max("line").over(by_key)).where("_a < _b").select("key", "line").distinct()
     live = materialize(live, "line-keys")
-    keyed = live.join(signs(texts, ranks), "line")
-    return linked(keyed, maybe_similar, lambda a, b: F.when(a["sure"] | b["sure"], 2).otherwise(1), texts)
+    keyed = live.join(signs(texts, ranks).dropDuplicates(["line"]), "line")
+    return linked(keyed, maybe_similar, lambda a, b: F.when(a["sure"] | b["sure"], 2).otherwise(1), lines, docs)
 
 
 def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
@@ -214,8 +231,7 @@ def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     """
     norm = _normal_lines(docs)
     lines = materialize(norm.drop("_line"), "lines")
-    texts = materialize(norm.groupBy("line").agg(F.first("_line").alias("_line")), "line-texts")
-    found = groups(materialize(simhashes(docs), "simhashes"), texts) if by_simhash else similar(texts)
+    found = groups(materialize(simhashes(docs), "simhashes"), lines, docs) if by_simhash else similar(norm, lines, docs)
     known = materialize(found, "line-groups")
     labelled = lines.join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
