@@ -8,27 +8,30 @@ from pyspark.sql.window import Window
 
 from ..functions import sequence as S
 
-#: Bases of a chunk of the genome, and of the overlap on both sides.
-CHUNK, HALO = 16_384, 1_100
+#: Bases of a chunk of the genome, and of the overlap on both sides. Where a fixed, short length is read, chunks are of SHORT bases and overlap by that length.
+CHUNK, HALO, SHORT = 16_384, 1_100, 1_024
 
 
-def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """genome (chrom, seq) in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk. A chromosome of any length is spread over many rows."""
+def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: bool = False) -> DataFrame:
+    """genome (chrom, seq) in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk. A chromosome of any length is spread over many rows. binary: part as bytes, in which a place is found at once."""
     n = F.length("seq")
     made = genome.where(n > 0).select("chrom", F.col("seq").cast("binary").alias("_b"), n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
     first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(1))
     last = F.least((F.col("chunk") + 1) * chunk + halo, F.col("len"))
-    return made.select("chrom", "chunk", first.alias("first"), F.substring("_b", first.cast("int"), (last - first + 1).cast("int")).cast("string").alias("part"), "len")
+    part = F.substring("_b", first.cast("int"), (last - first + 1).cast("int"))
+    return made.select("chrom", "chunk", first.alias("first"), (part if binary else part.cast("string")).alias("part"), "len")
 
 
 def with_sequence(rows: DataFrame, genome: DataFrame, pos, length, name: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     """rows with the bases pos .. pos + length - 1 of their chrom as name, at any length. Bases off the chromosome are missing; a start before the first base, or an unknown chrom, gives an empty string.
 
-    The chunk of its start holds a window of up to halo bases; a fixed length widens the halo. Of lengths by row, those over
-    the halo are put together from all chunks that they touch.
+    The chunk of its start holds a window of up to halo bases; a fixed length is the halo, and makes chunks short where they
+    are left at their default. Of lengths by row, those over the halo are put together from all chunks that they touch.
     """
     fixed = isinstance(length, int)
-    halo = max(halo, length) if fixed else halo
+    if fixed:
+        halo = max(length, 1)
+        chunk = max(SHORT, 4 * length) if chunk == CHUNK and length < CHUNK // 4 else chunk
     keyed = rows.withColumn("_pos", pos.cast("long")).withColumn("_n", F.lit(length).cast("int") if fixed else length.cast("int"))
     if fixed:
         return _within(keyed, genome, name, chunk, halo).drop("_pos", "_n")
@@ -39,10 +42,10 @@ def with_sequence(rows: DataFrame, genome: DataFrame, pos, length, name: str, ch
 def _within(keyed: DataFrame, genome: DataFrame, name: str, chunk: int, halo: int) -> DataFrame:
     """with_sequence for windows _pos, _n of at most halo bases: one chunk has all of each."""
     keyed = keyed.withColumn("_chunk", F.floor((F.greatest(F.col("_pos"), F.lit(1)) - 1) / chunk).cast("int"))
-    parts = chunked(genome, chunk, halo).select("chrom", F.col("chunk").alias("_chunk"), F.col("first").alias("_first"), F.col("part").alias("_part"), F.col("len").alias("_len"))
+    parts = chunked(genome, chunk, halo, True).select("chrom", F.col("chunk").alias("_chunk"), F.col("first").alias("_first"), F.col("part").alias("_part"), F.col("len").alias("_len"))
     joined = keyed.join(parts, ["chrom", "_chunk"], "left")
     inside = (F.col("_pos") >= 1) & (F.col("_pos") <= F.col("_len"))
-    text = F.when(inside, F.substring("_part", (F.col("_pos") - F.col("_first") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0)))).otherwise("")
+    text = F.when(inside, F.substring("_part", (F.col("_pos") - F.col("_first") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0))).cast("string")).otherwise("")
     return joined.withColumn(name, F.coalesce(text, F.lit(""))).drop("_chunk", "_first", "_part", "_len")
 
 

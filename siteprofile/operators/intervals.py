@@ -46,8 +46,16 @@ def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", bin_size
     found = l_binned.join(F.broadcast(r_binned) if broadcast else r_binned, on & (F.col("_bin") == F.col("_rbin")) & (F.col("_bin") == first)).drop("_bin", "_rbin").withColumn("overlap", width)
     if how == "inner":
         return found
-    # A left row is asked once for each of its bins; it is alone if no right row of its own bins overlaps it.
-    alone = left.join(right.select("r_chrom", "r_start", "r_end", F.explode(bins(F.col("r_start"), F.col("r_end"))).alias("_rbin")), on & F.col("_rbin").between(F.floor(F.col("start") / bin_size), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / bin_size)), "left_anti")
+    # Rows within one bin have no partner if their bin has none. The others are asked in each bin; what has a partner in any goes.
+    first_bin, last_bin = F.floor(F.col("start") / bin_size), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / bin_size)
+    asked = F.broadcast(r_binned) if broadcast else r_binned
+    asked = asked.select("r_chrom", "r_start", "r_end", "_rbin")
+    narrow = left.where(first_bin == last_bin).withColumn("_bin", first_bin)
+    alone = narrow.join(asked, on & (F.col("_bin") == F.col("_rbin")), "left_anti").drop("_bin")
+    wide = left.where(first_bin < last_bin).withColumn("_row", F.struct("*"))
+    met = wide.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end")))).join(asked, on & (F.col("_bin") == F.col("_rbin")), "left_semi").select("_row").distinct()
+    rest = left.where(F.coalesce(first_bin > last_bin, F.lit(True)))
+    alone = alone.unionByName(wide.join(met, "_row", "left_anti").drop("_row")).unionByName(rest)
     none = [F.lit(None).cast(t).alias(c) for c, t in right.dtypes]
     return found.unionByName(alone.select("*", *none, F.lit(0).cast("long").alias("overlap")))
 

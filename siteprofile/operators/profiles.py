@@ -20,23 +20,41 @@ def window_groups(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id", "strand").agg(F.first("chrom").alias("chrom"), F.min("r_start").alias("win_start"), F.count(F.lit(1)).alias("n"))
 
 
-def window_probabilities(groups: DataFrame, genome: DataFrame, sig: DataFrame, width: int, k: int = 3, offset: int = 0) -> DataFrame:
-    """(id, strand, n, position, p): for each group the share of each window position by the signature of its context.
+#: Letters that a context may have where a signature is looked up: their places are the digits of its number.
+LETTERS = "ACGTN"
+
+
+def signature_table(sig: DataFrame, k: int) -> DataFrame:
+    """One row: table, the total_norm of each context of k LETTERS by its number in base 10 (ACGTN as digits 0 to 4), null where it has none."""
+    digits = F.translate("context", LETTERS, "01234")
+    rows = sig.where((F.length("context") == k) & F.col("context").rlike(f"^[{LETTERS}]*$")).select(digits.cast("int").alias("i"), F.col("total_norm").alias("p"))
+    by = rows.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias("m"))  # 5^k entries at most
+    return by.select(F.transform(F.sequence(F.lit(0), F.lit(int("4" * k))), lambda i: F.try_element_at("m", i)).alias("table"))
+
+
+def window_probabilities(groups: DataFrame, genome: DataFrame, sig: DataFrame, width: int, k: int = 3, offset: int = 0, arrays: bool = False) -> DataFrame:
+    """(id, strand, n, position, p): for each group the share of each window position by the signature of its context. arrays: one row (id, strand, n, ps) per group, ps null where it is left out.
 
     The sequence read is width + k - 1 bases from win_start - k // 2 + offset; offset 1 centres context j on the base that
     observed position j counts, offset 0 one base before. Minus-strand groups read the reverse complement. Windows that run
-    off their chromosome, and those where no context has a probability, are left out.
+    off their chromosome, and those where no context has a probability, are left out. The contexts of a window are looked up
+    in its row, so positions are not shuffled.
     """
     rows = with_sequence(groups, genome, F.col("win_start") - k // 2 + offset, width + k - 1, "_seq")
     rows = rows.where(F.length("_seq") == width + k - 1).withColumn("_seq", F.when(F.col("strand") == "-", S.reverse_complement(F.col("_seq"))).otherwise(F.col("_seq")))
-    long = rows.select("id", "strand", "n", F.posexplode(S.kmers(F.col("_seq"), k)).alias("_i", "context"))
-    p = long.join(sig.select("context", F.col("total_norm").alias("p")), "context", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    total = F.sum("p").over(Window.partitionBy("id", "strand"))
-    return p.withColumn("_total", total).where(F.col("_total") > 0).select("id", "strand", "n", (F.col("_i") + 1).cast("long").alias("position"), (F.col("p") / F.col("_total")).alias("p"))
+    rows = rows.crossJoin(F.broadcast(signature_table(sig, k)))  # one row
+    share = lambda x: F.coalesce(F.get(F.col("table"), x.try_cast("int")), F.lit(0.0))  # noqa: E731  letters beyond LETTERS have none
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  else Spark would put the sum into each element
+    sums = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    normal = lambda p: once(sums(p), lambda t: F.when(t > 0, F.transform(p, lambda x: x / t)))
+    found = rows.select("id", "strand", "n", once(F.transform(S.kmers(F.translate("_seq", LETTERS, "01234"), k), share), normal).alias("ps"))
+    return found if arrays else found.select("id", "strand", "n", F.posexplode("ps").alias("_i", "p")).select("id", "strand", "n", (F.col("_i") + 1).cast("long").alias("position"), "p")
 
 
 def expected(probabilities: DataFrame) -> DataFrame:
-    """(position, expected): the sites of each group spread by its probabilities and summed."""
+    """(position, expected): the sites of each group spread by its probabilities, by position or as arrays, and summed."""
+    if "ps" in probabilities.columns:
+        probabilities = probabilities.select("n", F.posexplode("ps").alias("_i", "p")).select("n", "p", (F.col("_i") + 1).cast("long").alias("position"))
     return probabilities.groupBy("position").agg(F.sum(F.col("p") * F.col("n")).alias("expected"))
 
 

@@ -22,7 +22,7 @@ def detrend(signal: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The signal less its least-squares parabola, from the sums of one aggregation. The abscissa is centred first, which makes the normal equations of a regular grid well conditioned."""
     keys = by or []
     mid = signal.groupBy(*keys).agg(F.avg("i").alias("_m"))
-    join = lambda a, b: a.join(F.broadcast(b), keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731  a row per signal
+    join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731  one row, or one per signal of any number
     z = join(signal, mid).withColumn("_z", F.col("i") - F.col("_m"))
     powers = [F.sum(F.col("_z") ** k).alias(f"_s{k}") for k in range(5)] + [F.sum(F.col("x") * F.col("_z") ** k).alias(f"_t{k}") for k in range(3)]
     m = z.groupBy(*keys).agg(*powers)

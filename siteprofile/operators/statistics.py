@@ -28,11 +28,13 @@ def g_test(rows: DataFrame, observed: str = "observed", expected: str = "expecte
 def benjamini_hochberg(rows: DataFrame, p: str = "pvalue") -> DataFrame:
     """rows with q, the least p * n / rank over this and all larger p-values, at most 1.
 
-    Distinct p-values are counted first, so the windows run over them and not over the rows; the running sums go by
-    leading bits of p and then within, so that no task sorts all of them.
+    Distinct p-values are counted first, so the windows run over them and not over the rows; the running sums go by blocks
+    of p and then within, so that no task sorts all of them. The blocks are even in the logarithm, 32 to a factor of 2, as
+    most p-values of interest are tiny; there are 34,401 at most.
     """
-    counts = rows.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).where("_p is not null").withColumn("_b", F.floor(F.col("_p") * 4096).cast("int"))
-    block = counts.groupBy("_b").agg(F.sum("_c").alias("_bc"))  # at most 4097 rows
+    log = F.when(F.col("_p") > 0, F.floor(F.log2("_p") * 32)).otherwise(-40_000).cast("int")
+    counts = rows.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).where("_p is not null").withColumn("_b", log)
+    block = counts.groupBy("_b").agg(F.sum("_c").alias("_bc"))  # one row a block
     up = Window.orderBy("_b")
     block = block.withColumn("_before", F.coalesce(F.sum("_bc").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_bc").over(Window.partitionBy()))
     inside = F.sum("_c").over(Window.partitionBy("_b").orderBy("_p"))
@@ -71,28 +73,58 @@ def difference(a: DataFrame, b: DataFrame, key: str = "context", value: str = "t
     return both.withColumn("diff", F.col("norm_a") - F.col("norm_b"))
 
 
+#: Places drawn one by one up to so many sites of a group, and numbers that are drawn before they are counted.
+FEW_SITES, DRAWN = 100, 4_000_000
+
+
 def multinomial_null(probabilities: DataFrame, n_random: int, seed: int = 42) -> DataFrame:
     """(replicate, position, n): per replicate the sites of each group are dealt anew over its positions, and summed over the groups.
 
-    probabilities has id, strand, n, position and p. Groups are dealt to tasks, each task draws all replicates of a few
-    groups at once and sums them before anything is shuffled. A group's draws follow from seed, id and strand alone.
+    probabilities has id, strand, n and either position and p, or ps with the shares of positions 1, 2, ... Each task draws
+    all replicates of its groups and sums them before anything is shuffled: the few sites of most groups place by place, more
+    as counts of a multinomial law. A group's draws follow from seed, id and strand alone.
     """
-    groups = probabilities.groupBy("id", "strand").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("position", "p"))).alias("ps"))
-    groups = groups.select("n", F.pmod(F.xxhash64(F.lit(seed), "id", "strand"), F.lit(1 << 62)).alias("s"), F.transform("ps", lambda x: x["position"]).alias("position"), F.transform("ps", lambda x: x["p"]).alias("p"))
+    s = F.pmod(F.xxhash64(F.lit(seed), "id", "strand"), F.lit(1 << 62)).alias("s")
+    if "ps" in probabilities.columns:
+        groups = probabilities.select("n", s, F.lit(None).cast("array<bigint>").alias("position"), F.col("ps").alias("p"))
+    else:
+        groups = probabilities.groupBy("id", "strand").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("position", "p"))).alias("ps"))
+        groups = groups.select("n", s, F.transform("ps", lambda x: x["position"].cast("bigint")).alias("position"), F.transform("ps", lambda x: x["p"]).alias("p"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple[int, ...], np.ndarray] = {}  # groups of the same positions are summed as one table
+        places: dict[tuple[int, ...], list[np.ndarray]] = {}
+        row, held = np.arange(n_random), 0
+
+        def count() -> None:
+            for where, some in places.items():
+                total[where] += np.bincount(np.concatenate(some), minlength=total[where].size).reshape(n_random, -1)
+            places.clear()
+
         for batch in batches:
-            total: dict[tuple[int, ...], np.ndarray] = {}  # groups of the same positions are summed as one table
             for n, s, position, p in batch.itertuples(index=False):
-                drawn = np.random.default_rng(int(s)).multinomial(int(n), np.asarray(p) / np.sum(p), size=n_random)
-                where = tuple(position)
-                if where in total:
-                    total[where] += drawn
-                else:
-                    total[where] = drawn.astype("i8")
-            for where, counts in total.items():
-                for j, at in enumerate(where):
-                    yield pd.DataFrame({"replicate": np.arange(n_random), "position": int(at), "n": counts[:, j]})
+                if p is None:
+                    continue
+                rng, p, n = np.random.default_rng(int(s)), np.asarray(p, float), int(n)
+                where = tuple(position) if position is not None else (len(p),)
+                if where not in total:
+                    total[where] = np.zeros((n_random, len(p)), "i8")
+                if n > FEW_SITES:
+                    total[where] += rng.multinomial(n, p / p.sum(), size=n_random)
+                    continue
+                sums = p.cumsum()
+                at = np.minimum(np.searchsorted(sums, rng.random((n_random, n)) * sums[-1], side="right"), len(p) - 1)
+                places.setdefault(where, []).append((at + row[:, None] * len(p)).ravel())
+                held += n_random * n
+                if held > DRAWN:
+                    count()
+                    held = 0
+        count()
+        for where, counts in total.items():
+            names = np.arange(1, where[0] + 1) if counts.shape[1] != len(where) else np.array(where)
+            for low in range(0, n_random, 100):
+                some = counts[low : low + 100]
+                yield pd.DataFrame({"replicate": np.repeat(row[low : low + 100], some.shape[1]), "position": np.tile(names, len(some)), "n": some.ravel()})
 
     return groups.mapInPandas(draw, "replicate long, position long, n long").groupBy("replicate", "position").agg(F.sum("n").alias("n"))
 

@@ -32,14 +32,14 @@ def region_pairs(sites: DataFrame, regions: DataFrame, left: int = 73, right: in
 def nucleosome_profile(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, left: int = 73, right: int = 74, offset: int = 0) -> DataFrame:
     """position, observed, expected, rel_inc over the windows; left = 500 and right = 501 zoom out."""
     pairs = region_pairs(sites, regions, left, right)
-    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, left + right, 3, offset)
+    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, left + right, 3, offset, arrays=True)
     return profiles.relative_increase(profiles.observed(pairs, F.col("pos") - F.col("r_start")), profiles.expected(probabilities))
 
 
 def randomised_peak(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, n_random: int = 1000, seed: int = 42, centre: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(snr and peak of the observed profile, one row with the empirical p-value of its snr)."""
     pairs = region_pairs(sites, regions)
-    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, 147)
+    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, 147, arrays=True).persist()  # read by the null model and, twice, for the expected counts
     exp = profiles.expected(probabilities)
     real = profiles.relative_increase(profiles.densify(profiles.observed(pairs, F.col("pos") - F.col("r_start")), 1, 147, "observed"), exp)
     spec = lambda signal, by=None: spectral.signal_to_noise(spectral.spectrum(signal, 0, 145, 5, 50, by), by, centre)

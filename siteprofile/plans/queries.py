@@ -463,7 +463,7 @@ def dense_profile(spark, d):
 
 @query("multinomial_null")
 def multinomial_null(spark, d):
-    p = profiles.window_probabilities(profiles.window_groups(pairs(spark, d)), tables.genome(spark, d), signature3(spark, d), 147)
+    p = profiles.window_probabilities(profiles.window_groups(pairs(spark, d)), tables.genome(spark, d), signature3(spark, d), 147, arrays=True)
     return statistics.multinomial_null(p, N_RANDOM)
 
 
