@@ -104,8 +104,9 @@ def linked(keyed: DataFrame, near, shared, lines: DataFrame, docs: DataFrame) ->
     verified: first each line with the first of its bucket, which joins a group of near copies by one pair a line; then
     those lines of one bucket that are not in one component yet.
     """
-    lead = Window.partitionBy("key")
-    bucketed = materialize(keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(lead)), "line-buckets")
+    by_key = Window.partitionBy("key")
+    bucketed = keyed.withColumn("lead", F.min(F.struct("line", "sign")).over(by_key)).withColumn("last", F.max("line").over(by_key)).where("lead.line < last")
+    bucketed = materialize(bucketed.drop("last"), "line-buckets")
     stars = bucketed.where(F.col("line") != F.col("lead.line")).where(near(F.col("sign"), F.col("lead.sign")))
     stars = verified(stars.select(F.col("line").alias("a"), F.col("lead.line").alias("b")), lines, docs)
     known = materialize(components(stars), "line-components")
@@ -221,17 +222,23 @@ def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     """row (all columns of the input), text (without the lines that go), n_lines and n_removed of each document.
 
     Lines that are equal when normalised, and lines linked directly or over others, form a group; of each group the first
-    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines link if their edit
-    similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found. by_simhash:
-    only those of LEAST_WORDS different words or more whose SimHashes over the different words differ in at most MAX_BITS
-    bits, which most pairs near SIMILARITY do not.
+    occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines of LEAST_WORDS
+    different words or more link if their SimHashes over the different words differ in at most MAX_BITS bits and their edit
+    similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found. Without
+    by_simhash all pairs of that edit similarity are, which on whole tables costs several times as much.
 
-    Null text: stays null, no lines. Rows alike in every column count as one document and lose the same lines. Empty
+    Null or empty text: stays as it is, no lines or one without a word. Very long texts and lines: a line is summed in parts
+    of CHUNK words. Rows alike in every column count as one document and lose the same lines. Empty
     table: no rows. Columns named like those of the result stay apart, inside row.
     """
-    norm = _normal_lines(docs)
-    lines = materialize(norm.drop("_line"), "lines")
-    found = groups(materialize(simhashes(docs), "simhashes"), lines, docs) if by_simhash else similar(norm, lines, docs)
+    if by_simhash:
+        hashed = materialize(simhashes(docs), "lines")
+        lines = hashed.where("part = 0")
+        found = groups(hashed, lines, docs)
+    else:
+        norm = _normal_lines(docs)
+        lines = materialize(norm.drop("_line"), "lines")
+        found = similar(norm, lines, docs)
     known = materialize(found, "line-groups")
     labelled = lines.join(small(known), lines["line"] == known["node"], "left").select(F.struct("id", "rid", "pos").alias("at"), F.coalesce("component", "line").alias("group"))
     first = labelled.groupBy("group").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -243,9 +250,9 @@ def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     return rows.select("row", text.alias("text"), n_lines.alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"))
 
 
-def rewrite(docs: DataFrame) -> DataFrame:
+def rewrite(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
     """The documents with their remaining lines; documents that lose their last word go, as all of it stands elsewhere. Columns as in the input."""
-    done = deduplicate(docs, by_simhash=False)
+    done = deduplicate(docs, by_simhash)
     bare = F.length(F.translate(F.coalesce("text", F.lit("")), " \t\n\x0b\x0c\r", "")) == 0
     kept = done.where((F.col("n_removed") == 0) | ~bare)
     return kept.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

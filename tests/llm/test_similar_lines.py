@@ -64,10 +64,34 @@ def test_similar_lines(spark, monkeypatch, ranked):
     assert links > 60
     assert kept == set(first.values())
     if ranked:
-        assert {r.doc_id for r in line_dedup.rewrite(data).collect()} == kept
+        assert {r.doc_id for r in line_dedup.rewrite(data, by_simhash=False).collect()} == kept
 
 
 def test_white_space(spark):
     rows = [(1, "one short line here"), (2, "one  short\tline here\r"), (3, "\x0b One short line here "), (4, "one short line there")]
     out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), by_simhash=False).collect()
     assert {r.row.doc_id: r.n_removed for r in out} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_reach_of_simhash(spark):
+    """Which of the copies of a line with some words replaced link to it: nearly all of long lines with one new word, few near the least similarity."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    reach = {}
+    rows, kinds = [], []
+    for n in (20, 60, 200):
+        for edits in (1, n // 20, n // 10, n // 5):
+            for _ in range(20):
+                base = [word() for _ in range(n)]
+                near = list(base)
+                for at in rng.sample(range(n), edits):
+                    near[at] = word()
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+                kinds.append((n, edits))
+    out = {r.row.doc_id: r.n_removed for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, kind in enumerate(kinds):
+        assert not out[2 * i]
+        reach.setdefault(kind, []).append(out[2 * i + 1])
+    share = {k: sum(v) / len(v) for k, v in reach.items()}
+    print(share)
+    assert share[200, 1] > 0.8 and share[20, 4] < 0.2
