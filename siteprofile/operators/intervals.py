@@ -110,6 +110,13 @@ def neighbour_signal(wide: DataFrame, inner_left: int = 73, inner_right: int = 7
     return near.select(F.explode(F.concat(first, last)).alias("offset")).groupBy("offset").agg(F.count(F.lit(1)).alias("n"))
 
 
+def coverage_signal(wide: DataFrame, width: int = 400, order: str = "row") -> DataFrame:
+    """(offset, signal) for each offset of a wide window: neighbour_signal() over the number of windows, and 1 where no neighbour reaches."""
+    n = wide.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    counted = neighbour_signal(wide, order=order).crossJoin(F.broadcast(n)).select("offset", (F.col("n") / F.col("_n")).alias("signal"))
+    return wide.sparkSession.range(width).select(F.col("id").alias("offset")).join(counted, "offset", "left").na.fill(1.0, ["signal"])
+
+
 def islands(values: DataFrame, part: list[str], value: str) -> DataFrame:
     """Runs of consecutive whole numbers in each part: first, last, n. Values that repeat count once."""
     rank = F.row_number().over(Window.partitionBy(*part).orderBy(value))

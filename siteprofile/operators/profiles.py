@@ -107,3 +107,20 @@ def anchored(pairs: DataFrame, anchor: Column, background: DataFrame) -> DataFra
     counts = pairs.groupBy((F.col("pos") - anchor).cast("long").alias("rel_pos")).agg(F.count(F.lit(1)).alias("count"))
     joined = counts.join(background, "rel_pos", "full").na.fill(0, ["count", "norm_count"])
     return joined.select("rel_pos", "count", "norm_count", F.try_divide("count", "norm_count").alias("normalized"))
+
+
+def with_model(enrichment: DataFrame, model: DataFrame) -> DataFrame:
+    """Per-base enrichment with the random model of the same position; positions that one lacks go."""
+    return enrichment.join(model, "position")
+
+
+def recentred(profile: DataFrame, centre: int, position: str = "position") -> DataFrame:
+    """The profile with positions counted from centre."""
+    return profile.withColumn(position, F.col(position) - centre)
+
+
+def of_study(sites: DataFrame, study: str, base: str = "base", mer: str = "mer") -> DataFrame:
+    """The sites of a base, or of a motif: those whose bases around the middle of mer are the motif, by its right or its left middle."""
+    if len(study) == 1:
+        return sites.where(F.col(base) == study)
+    return sites.where((S.motif_window(F.col(mer), len(study), "right") == study) | (S.motif_window(F.col(mer), len(study), "left") == study))

@@ -77,6 +77,16 @@ def difference(a: DataFrame, b: DataFrame, key: str = "context", value: str = "t
 FEW_SITES, DRAWN = 100, 4_000_000
 
 
+def restricted(sig: DataFrame, other: DataFrame, key: str = "context") -> DataFrame:
+    """The rows of a signature whose context the other one has too."""
+    return sig.join(other.select(key).distinct(), key, "left_semi")
+
+
+def with_background(sig: DataFrame, background: str) -> DataFrame:
+    """The rows of a comparison table with a background of 0 or more; those without one go."""
+    return sig.where(F.col(background) >= 0)
+
+
 def multinomial_null(probabilities: DataFrame, n_random: int, seed: int = 42) -> DataFrame:
     """(replicate, position, n): per replicate the sites of each group are dealt anew over its positions, and summed over the groups.
 

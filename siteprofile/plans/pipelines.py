@@ -98,3 +98,18 @@ def pipeline_schema(sites: DataFrame) -> DataFrame:
     """Annotated detector sites in the schema that the other analyses read: mer is the pentamer, coverage and frequencies are 0, value is the p-value."""
     zero = lambda name, kind: F.lit(0).cast(kind).alias(name)
     return sites.select("chrom", "pos", "base", "strand", F.col("context_5").alias("mer"), zero("min_coverage", "long"), zero("untreated_freq", "double"), zero("treated_freq", "double"), F.col("pvalue").alias("value"), "context_5", "context_3")
+
+
+def detector_schema(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """An older table of detector sites (CHROM, SEQ, p-value, diff, ...) with the columns of a newer one: coverage and frequencies are 0, mer is -."""
+    named = rows.withColumnsRenamed({"CHROM": "chrom", "SEQ": "base", "p-value": "value"}).drop("diff")
+    zero = {c: F.lit(0) for c in ("untreated_freq", "treated_freq", "min_coverage")}
+    return named.withColumns(zero | {"mer": F.lit("-")}).select(*columns)
+
+
+def read_bases(sites: DataFrame, genome: DataFrame) -> DataFrame:
+    """Sites of reads (chrom, pos, strand) as start = pos - 1, end = pos + 1 and base: what stands at pos, as read on the strand; N off the chromosome."""
+    rows = contexts.with_sequence(sites, genome, F.col("pos"), 1, "_b")
+    base = F.when(F.length("_b") == 1, F.col("_b")).otherwise("N")
+    read = F.when(F.col("strand") == "-", F.translate(base, "ACGT", "TGCA")).otherwise(base)
+    return rows.withColumn("start", F.col("pos") - 1).withColumn("end", F.col("pos") + 1).withColumn("base", read).drop("_b")

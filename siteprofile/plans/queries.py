@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import contexts, intervals, profiles, reads, spectral, statistics
+from ..operators import contexts, intervals, profiles, reads, spectral, statistics, structures
 from ..sources import readers
 from . import pipelines, tables
 
@@ -540,3 +540,121 @@ def read_subset(spark, d):
 @query("adapter_filter", "SELECT c_custkey FROM customer WHERE NOT starts_with(c_mktsegment, 'AUTOMOBILE')")
 def adapter_filter(spark, d):
     return reads.without_adapter(tables.load(spark, d, "customer"), "xAUTOMOBILE", 9, ("c_mktsegment",)).select("c_custkey")
+
+
+#: Bases of a chromosome's ends in the telomere queries, as in the analyses they repeat.
+END = 30_000
+
+
+def region_sets(spark, d):
+    """(region_set, chrom, start, end): both ends of 30,000 bases of each chromosome and what lies between, and the nucleosomes by class."""
+    ends = structures.clipped(intervals.chromosome_ends(tables.sizes(spark, d), END).join(tables.sizes(spark, d).select("chrom", "len"), "chrom"))
+    names = F.when(F.col("part") == "end", "Subtelomeric").otherwise("Non subtelomeric")
+    named = nucleosomes(spark, d).select(F.col("class").alias("region_set"), "chrom", "start", "end")
+    return ends.select(names.alias("region_set"), "chrom", "start", "end").unionByName(named)
+
+
+_SETS = f"""
+, ends AS (SELECT chrom, len, 1 AS s, {END + 1} AS e, 'Subtelomeric' AS region_set FROM sizes UNION ALL SELECT chrom, len, len - {END}, len, 'Subtelomeric' FROM sizes
+  UNION ALL SELECT chrom, len, {END + 2}, len - {END + 1}, 'Non subtelomeric' FROM sizes),
+rs AS (SELECT region_set, chrom, greatest(s, 1) AS s, least(e, len + 1) AS e FROM ends WHERE greatest(s, 1) < least(e, len + 1) UNION ALL SELECT class, chrom, "start", "end" FROM nuc),
+rseq AS (SELECT region_set, seq[s:e - 1] AS q FROM rs JOIN genome USING (chrom))"""
+
+
+def _set_signature_sql(k: int) -> str:
+    return f"""
+, rb{k} AS (SELECT region_set, q[i:i + {k - 1}] AS context, count(*) AS ref FROM (SELECT region_set, q, unnest(range(1, length(q) - {k - 2})) AS i FROM rseq) GROUP BY 1, 2),
+ro{k} AS (SELECT region_set, c{k} AS context, count(*) AS n FROM contexts x JOIN rs ON x.chrom = rs.chrom AND x.pos - 1 < rs.e AND rs.s < x.pos WHERE c{k} <> '-' GROUP BY 1, 2),
+rv{k} AS (SELECT region_set, context, coalesce(n / CAST(ref AS DOUBLE), 0) AS v FROM ro{k} LEFT JOIN rb{k} USING (region_set, context)),
+w{k} AS (SELECT c{k} AS context, count(*) / CAST(any_value(b.n) AS DOUBLE) AS v FROM contexts JOIN bg{k} b ON b.kmer = c{k} WHERE c{k} <> '-' GROUP BY 1),
+rc{k} AS (SELECT region_set, sum(rv{k}.v * coalesce(w{k}.v, 0)) / (sqrt(sum(rv{k}.v * rv{k}.v)) * (SELECT sqrt(sum(v * v)) FROM w{k})) AS cosine FROM rv{k} LEFT JOIN w{k} USING (context) GROUP BY 1)"""
+
+
+@query("structure_signatures", _SETS + _set_signature_sql(3) + " SELECT region_set, context, round(v / sum(v) OVER (PARTITION BY region_set), 9) AS total_norm FROM rv3")
+def structure_signatures(spark, d):
+    sig = structures.region_signatures(tables.sites(spark, d), tables.genome(spark, d), region_sets(spark, d))
+    return sig.select("region_set", "context", r9("total_norm").alias("total_norm"))
+
+
+@query("structure_similarity", _SETS + _set_signature_sql(3) + _set_signature_sql(5) + " SELECT region_set, 'Triplet' AS context, round(cosine, 9) AS cosine FROM rc3 UNION ALL SELECT region_set, 'Pentamer', round(cosine, 9) FROM rc5")
+def structure_similarity(spark, d):
+    out = structures.structure_similarity(tables.sites(spark, d), tables.genome(spark, d), region_sets(spark, d))
+    return out.withColumn("cosine", r9("cosine"))
+
+
+@query(
+    "structure_observed",
+    _SETS + ", rb AS (SELECT region_set, q[i:i + 2] AS kmer, count(*) AS n FROM (SELECT region_set, q, unnest(range(1, length(q) - 1)) AS i FROM rseq) GROUP BY 1, 2), "
+    "e AS (SELECT region_set, round_even(sum(round_even(ref_norm * n, 2)), 0) AS expected FROM rb JOIN sig3 ON context = kmer GROUP BY 1), "
+    "o AS (SELECT region_set, count(*) AS observed FROM sites x JOIN rs ON x.chrom = rs.chrom AND x.pos - 1 < rs.e AND rs.s < x.pos WHERE pvalue < 0.05 GROUP BY 1) "
+    "SELECT region_set, observed, expected, round(2 * (observed * ln(2.0 * observed / (observed + expected)) + expected * ln(2.0 * expected / (observed + expected))), 5) AS g FROM o JOIN e USING (region_set)",
+)
+def structure_observed(spark, d):
+    out = structures.observed_expected(significant(spark, d), tables.genome(spark, d), region_sets(spark, d), signature3(spark, d))
+    return out.select("region_set", "observed", "expected", r9("g", 5).alias("g"))
+
+
+@query(
+    "linker_model",
+    ", w AS (SELECT id, chrom, center - 200 AS ws, center + 200 AS we FROM regions WHERE center - 200 > 0), q AS (SELECT seq[ws:we - 1] AS s FROM w JOIN genome USING (chrom)), "
+    "c AS (SELECT i - 1 AS position, count(*) FILTER (s[i:i] = 'G') AS g, count(*) AS n FROM (SELECT s, unnest(range(1, 401)) AS i FROM q WHERE length(s) = 400) GROUP BY 1), "
+    "o AS (SELECT we - pos AS position, count(*) AS observed FROM contexts x JOIN w ON x.chrom = w.chrom AND x.pos - 1 < w.we AND w.ws < x.pos WHERE base = 'G' GROUP BY 1), "
+    "v AS (SELECT position, observed / CAST(g AS DOUBLE) AS norm FROM o JOIN c USING (position) WHERE g > 0), m AS (SELECT position, g / CAST(sum(g) OVER () AS DOUBLE) AS model FROM c) "
+    "SELECT position, round(norm, 9) AS norm, round(norm_2, 9) AS norm_2, round(model, 9) AS model FROM (SELECT position, norm, norm / sum(norm) OVER () AS norm_2 FROM v) JOIN m USING (position)",
+)
+def linker_model(spark, d):
+    rows = profiles.of_study(contexts.annotate(tables.sites(spark, d), tables.genome(spark, d), (3,)), "G")
+    around = wide(spark, d)
+    pairs_ = intervals.overlap_join(intervals.site_intervals(rows), around.select("id", "chrom", "start", "end"))
+    comp = profiles.composition(profiles.window_sequences(around, tables.genome(spark, d), 400))
+    enriched = profiles.per_base_enrichment(profiles.observed(pairs_, F.col("r_end") - F.col("pos")), comp, "G")
+    out = profiles.with_model(enriched, profiles.random_model(comp, "G"))
+    return out.select("position", *[r9(c).alias(c) for c in ("norm", "norm_2", "model")])
+
+
+@query("motif_sites", ", m AS (SELECT site_id, seq[pos - 10:pos + 10] AS mer FROM sites JOIN genome USING (chrom) WHERE pos > 10) SELECT site_id, mer FROM m WHERE length(mer) = 21 AND (mer[11:12] = 'GA' OR mer[10:11] = 'GA')")
+def motif_sites(spark, d):
+    rows = contexts.with_sequence(tables.sites(spark, d).where("pos > 10"), tables.genome(spark, d), F.col("pos") - 10, 21, "mer").where(F.length("mer") == 21)
+    return profiles.of_study(rows, "GA").select("site_id", "mer")
+
+
+@query("restricted_cosine", _LANG + ", k AS (SELECT context FROM s WHERE lang = 'fr' AND t >= 0), x AS (SELECT coalesce(a.t, 0) AS p, coalesce(b.t, 0) AS q FROM (SELECT * FROM s WHERE lang = 'en' AND context IN (FROM k)) a FULL JOIN (SELECT * FROM s WHERE lang = 'de' AND context IN (FROM k)) b USING (context)) SELECT round(sum(p * q) / (sqrt(sum(p * p)) * sqrt(sum(q * q))), 9) AS cosine FROM x")
+def restricted_cosine(spark, d):
+    sig = by_language(spark, d)
+    keys = statistics.with_background(sig.where("lang = 'fr'"), "total_norm")
+    one, two = (statistics.restricted(sig.where(F.col("lang") == x), keys) for x in ("en", "de"))
+    return statistics.cosine(one, two).withColumn("cosine", r9("cosine"))
+
+
+@query("strand_transcription", _TRACK + ", w AS (SELECT state, seq[\"start\":\"end\" + 1] AS s FROM st JOIN genome USING (chrom) WHERE \"start\" <= length(seq)), b AS (SELECT state, s[i:i + 2] AS context, count(*) AS ref FROM (SELECT state, s, unnest(range(1, length(s) - 1)) AS i FROM w) GROUP BY 1, 2), o AS (SELECT st.state, c3 AS context, count(*) AS n FROM contexts s JOIN st ON s.chrom = st.chrom AND s.pos - 1 < st.\"end\" AND st.\"start\" < s.pos WHERE c3 <> '-' AND s.strand = '+' GROUP BY 1, 2), v AS (SELECT o.state, o.context, coalesce(n / CAST(ref AS DOUBLE), 0) AS v FROM o LEFT JOIN b USING (state, context)) SELECT state, context, round(v / sum(v) OVER (PARTITION BY state), 9) AS total_norm FROM v")
+def strand_transcription(spark, d):
+    track = tables.regions(spark, d).where("center > 20").select("chrom", (F.col("center") - 10).alias("start"), (F.col("center") + 10).alias("end"), (F.col("id") % 3 - 1).cast("double").alias("occupancy"))
+    return pipelines.transcription_signature(structures.on_strand(tables.sites(spark, d), "plus"), track, tables.genome(spark, d)).withColumn("total_norm", r9("total_norm"))
+
+
+@query("recentred_profile", ", w AS (SELECT id, chrom, center - 500 AS ws, center + 501 AS we FROM regions WHERE center - 500 > 0) SELECT pos - ws - 501 AS position, count(*) AS observed FROM sites s JOIN w ON s.chrom = w.chrom AND s.pos - 1 < w.we AND w.ws < s.pos GROUP BY 1")
+def recentred_profile(spark, d):
+    return profiles.recentred(profiles.observed(pairs(spark, d, 500, 501), F.col("pos") - F.col("r_start")), 501)
+
+
+@query(
+    "coverage_signal",
+    _WIDE + ', n AS (SELECT *, lead("start") OVER p AS ns, lag("end") OVER p AS pe FROM w WINDOW p AS (PARTITION BY chrom ORDER BY id)), f AS (SELECT * FROM n WHERE id < (SELECT max(id) FROM w)), '
+    'x AS (SELECT unnest(range(0, center + 74 - ns)) AS "offset" FROM f WHERE center + 74 > ns UNION ALL SELECT unnest(range(400 - pe + center - 73, 400)) FROM f WHERE center - 73 <= pe), c AS (SELECT "offset", count(*) AS n FROM x GROUP BY 1) '
+    'SELECT i AS "offset", coalesce(n / CAST((SELECT count(*) FROM w) AS DOUBLE), 1.0) AS signal FROM range(400) t(i) LEFT JOIN c ON "offset" = i',
+)
+def coverage_signal(spark, d):
+    return intervals.coverage_signal(wide(spark, d), order="id")
+
+
+@query(
+    "read_bases",
+    _READS + ", p AS (SELECT chrom, CASE WHEN flag & 16 = 16 THEN CASE WHEN e <> 60 THEN e + 1 END ELSE CASE WHEN s <> 0 THEN s - 1 END END AS pos, CASE WHEN flag & 16 = 16 THEN '-' ELSE '+' END AS strand FROM r WHERE flag & 64 = 64 AND flag & 256 = 0), "
+    "g AS (SELECT doc_id AS chrom, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAN') AS seq FROM documents), "
+    "b AS (SELECT strand, CASE WHEN pos >= 1 AND length(seq[pos:pos]) = 1 THEN seq[pos:pos] ELSE 'N' END AS base FROM p LEFT JOIN g USING (chrom) WHERE pos IS NOT NULL) "
+    "SELECT strand, CASE WHEN strand = '-' THEN translate(base, 'ACGT', 'TGCA') ELSE base END AS base, count(*) AS n FROM b GROUP BY 1, 2",
+)
+def read_bases(spark, d):
+    a = _alignments(spark, d)
+    flags = a.select("chrom", "start", "end", reads.has("flag", reads.REVERSE).alias("is_reverse"), reads.has("flag", reads.FIRST).alias("is_read1"), reads.has("flag", reads.SECONDARY).alias("is_secondary"), F.lit(60).cast("long").alias("chrom_len"))
+    return pipelines.read_bases(readers.read_sites(flags), tables.genome(spark, d)).groupBy("strand", "base").agg(F.count(F.lit(1)).alias("n"))
