@@ -109,12 +109,16 @@ def savgol(signal: DataFrame, window: int, order: int = 3, by: list[str] | None
     keys = by or []
     half = window // 2
     w = _over(keys).orderBy("i")
-    values = F.collect_list("x").over(w.rowsBetween(-half, half))
-    first, last = F.collect_list("x").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.count(F.lit(1)).over(_over(keys))
-    rows = signal.withColumn("_v", values).withColumn("_all", first).withColumn("_n", last).withColumn("_r", F.row_number().over(w) - 1).where(F.col("_n") >= window)
+    values, last = F.collect_list("x").over(w.rowsBetween(-half, half)), F.count(F.lit(1)).over(_over(keys))
+    rows = signal.withColumn("_v", values).withColumn("_n", last).withColumn("_r", F.row_number().over(w) - 1).where(F.col("_n") >= window)
+    # The values of the first and the last window of each signal: window of them each, whatever its length.
+    end = lambda inside: F.transform(F.array_sort(F.collect_list(F.when(inside, F.struct("i", "x")))), lambda s: s["x"])
+    edge = (F.col("_r") < window) | (F.col("_r") >= F.col("_n") - window)
+    ends = rows.where(edge).groupBy(*keys).agg(end(F.col("_r") < window).alias("_first"), end(F.col("_r") >= F.col("_n") - window).alias("_last"))
+    rows = rows.join(ends, keys) if keys else rows.crossJoin(F.broadcast(ends))  # one row without keys
     weights = F.array(*[F.array(*[F.lit(x) for x in savgol_weights(window, order, at)]) for at in range(window)])
     place = F.when(F.col("_r") < half, F.col("_r")).when(F.col("_r") >= F.col("_n") - half, F.col("_r") - F.col("_n") + window).otherwise(half)
-    part = F.when(F.col("_r") < half, F.slice("_all", 1, window)).when(F.col("_r") >= F.col("_n") - half, F.slice("_all", -window, window)).otherwise(F.col("_v"))
+    part = F.when(F.col("_r") < half, F.col("_first")).when(F.col("_r") >= F.col("_n") - half, F.col("_last")).otherwise(F.col("_v"))
     dot = F.aggregate(F.zip_with(part, F.element_at(weights, (place + 1).cast("int")), lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
     return rows.select(*keys, "i", dot.alias("x"))
 

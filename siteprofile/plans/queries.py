@@ -420,6 +420,7 @@ def detrend(spark, d):
 
 @query("spectrum", _POWER + " SELECT j, round(period, 6) AS period, round(power, 6) AS power FROM spec")
 def spectrum(spark, d):
+    """Over the first 400 hours, as a profile's spectrum is taken over part of its positions; smoothing and detrending use all of them."""
     return spectral.spectrum(tables.hourly(spark, d), 0, 400, 5, 50).select("j", r9("period", 6).alias("period"), r9("power", 6).alias("power"))
 
 
@@ -428,6 +429,7 @@ _SNR = ", pk AS (SELECT arg_max(period, power) AS peak FROM spec), fg AS (SELECT
 
 @query("signal_to_noise", _POWER + _SNR)
 def signal_to_noise(spark, d):
+    """Of the same spectrum over 400 hours."""
     return spectral.signal_to_noise(spectral.spectrum(tables.hourly(spark, d), 0, 400, 5, 50)).select(r9("snr", 5).alias("snr"), r9("peak", 6).alias("peak"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import intervals
+
 
 def context_counts(sites: DataFrame, context: str, time: str, lateness: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """(window, context, n) of a stream of sites with an event time; rows later than lateness are dropped by the watermark, which also bounds the state."""
@@ -12,6 +14,7 @@ def context_counts(sites: DataFrame, context: str, time: str, lateness: str = "1
 
 
 def position_counts(sites: DataFrame, regions: DataFrame, time: str, lateness: str = "1 hour", window: str = "1 hour") -> DataFrame:
-    """(window, position, observed) of a stream of sites around the fixed windows regions (id, chrom, start, end)."""
-    joined = sites.withWatermark(time, lateness).join(regions.select(F.col("chrom").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), (F.col("chrom") == F.col("r_chrom")) & (F.col("pos") > F.col("r_start")) & (F.col("pos") <= F.col("r_end")))
+    """(window, position, observed) of a stream of sites around the fixed windows regions (id, chrom, start, end), which each batch meets by chromosome and bin."""
+    stream = intervals.site_intervals(sites.withWatermark(time, lateness))
+    joined = intervals.overlap_join(stream, regions.select("chrom", "start", "end"))
     return joined.groupBy(F.window(time, window), (F.col("pos") - F.col("r_start")).alias("position")).agg(F.count(F.lit(1)).alias("observed"))

@@ -64,3 +64,16 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("counts").collect()) == [1, 1, 2]
+
+
+def test_streamed_positions(spark, tmp_path):
+    from siteprofile.streaming import profiles
+
+    rows = [("c", p, "2024-01-01 01:10:00") for p in (10, 11, 1_100, 5_000)] + [("d", 10, "2024-01-01 01:10:00")]
+    spark.createDataFrame(rows, "chrom string, pos long, ts string").selectExpr("chrom", "pos", "cast(ts as timestamp) ts").write.parquet(str(tmp_path / "in"))
+    regions = spark.createDataFrame([(1, "c", 5, 1_200), (2, "c", 8, 12)], "id int, chrom string, start long, end long")
+    stream = spark.readStream.schema("chrom string, pos long, ts timestamp").parquet(str(tmp_path / "in"))
+    q = profiles.position_counts(stream, regions, "ts").writeStream.outputMode("complete").format("memory").queryName("positions").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.position, r.observed) for r in spark.table("positions").collect()} == {(5, 1), (6, 1), (1_095, 1), (2, 1), (3, 1)}
