@@ -17,7 +17,6 @@ FORMATTED = "conv_id long, seq long, message long, role string, formatted string
 
 _CONTROL = re.compile(r"\\|#{3,}|</turn>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^:\\]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:

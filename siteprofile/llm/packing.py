@@ -21,6 +21,8 @@ REMEMBERED = 450_000
 #: Texts with other characters are left to the tokenizer: for these its lower case, white space and character classes agree with Python's.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u017f]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
+#: What a tokenizer has to agree on before it is used word by word: cases, contractions, digits, marks, lines, joined and doubled white space.
+_PROBE = ("Don't stop, we'RE  here\n\tat 10.5% (or 3)!", "a_b-c--d \u00e9\u00dc\u0131'S x1y22 ...\"q\"", "\n\n one\r\ntwo\u00b0 #tag@home http://a.b/c?d=e&f", "supercalifragilistic ZZZZ \u017f\u0131 'll' 'tis")
 #: Parts the ids of texts and words in a row; no four bytes of 32-bit ids look like it, whatever the alignment.
 _BREAK = b"\xff\xff\xff\xff"
 
@@ -49,7 +51,8 @@ class WordEncoder:
     Such a tokenizer never joins what white space parts, so the ids of a text are those of its words in a row, and the ids
     of a word those of its pieces (letters, single digits, other characters). Each is encoded once while it is remembered;
     new pieces are encoded together, parted by spaces. A text with characters outside _PLAIN, or with what could be a
-    special token, is encoded as a whole.
+    special token, is encoded as a whole. So is every text if the file's tokenizer is of another kind: if it differs on a
+    probe, or parts words otherwise.
     """
 
     def __init__(self, path: str):
@@ -61,6 +64,11 @@ class WordEncoder:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bare.model._resize_cache(0)
         self.words, self.pieces = Memory("\0"), Memory("\n")
+        self.by_word = True
+        try:
+            self.by_word = self(list(_PROBE)) == [self.whole(t) for t in _PROBE]
+        except Exception:  # the pieces of another kind of tokenizer do not fit together
+            self.by_word = False
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,7 +85,7 @@ class WordEncoder:
         self.words.now.update(zip(new, self.pieces.join(cut), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        plain = [self.by_word and bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
         flat = " \0 ".join(t for t, p in zip(texts, plain, strict=True) if p).split()
         new = self.words.missing(set(flat))
         if new:
