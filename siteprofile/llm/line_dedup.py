@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, bind, components, materialize, small
+from .common import bind, components, materialize, small
 
 #: Lines link if their edit similarity is at least SIMILARITY and, where the caller asks for SimHashes, these differ in at most MAX_BITS of 64 bits.
 MAX_BITS, SIMILARITY = 3, 0.8
@@ -19,6 +19,8 @@ LEAST_WORDS = 5
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Words are ranked by counts of hash buckets in one of SAMPLE lines. The ranks decide how many candidates there are, not which pairs are found.
 BUCKETS, SAMPLE = 1 << 16, 8
+#: Places of lines, of 20 bytes each, that are broadcast to where the documents are: 10 MB. Beyond, the documents are dealt to them.
+PLACES = 500_000
 #: A line in HOT places or more is compared once.
 HOT = 16
 #: Lines from here on have a parity of 256 bits, shorter ones of 128.
@@ -79,7 +81,7 @@ def verified(pairs: DataFrame, lines: DataFrame, docs: DataFrame) -> DataFrame:
     places = lines.join(small(ends), "line", "left_semi").groupBy("line").agg(F.min(F.struct("id", "rid", "pos")).alias("p"))
     places = materialize(places.select(F.col("p.rid").alias("rid"), F.col("p.pos").alias("pos"), "line"), "places")
     wanted = places.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("pos", "line")).alias("_want"))
-    few = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # of places, so the arrays are bounded too
+    few = places.limit(PLACES + 1).count() <= PLACES  # of places, so the arrays are bounded too
     rows = _documents(docs).join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "_rid").select("_want", F.split("_text", "\n", -1).alias("_lines"))
     letters = rows.select(F.explode(F.transform("_want", lambda w: F.struct(w["line"].alias("line"), word_letters(normal(F.get(F.col("_lines"), w["pos"]))).alias("t")))).alias("e"))
     letters = materialize(letters.select("e.*").dropDuplicates(["line"]), "letters")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, count_words, materialize, number_rows, small
+from .common import count_words, materialize, number_rows, small
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -66,8 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3.0, seed: int = 42) ->
     taken = plan(docs, weights, most, seed, keep=["doc_id"]).groupBy("_id", "_tie").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = materialize(taken.where("_copies > 0").select(F.struct("_id", "_tie").alias("_key"), "_copies", "_rows"), "taken")
     rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").alias("_id"), F.xxhash64(F.struct("*")).alias("_tie")).alias("_key"))
-    few = taken.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(taken) if few else taken.hint("shuffle_hash"), "_key")
+    found = rows.join(taken.hint("shuffle_hash"), "_key")
     alone = found.where("_rows = 1").select("row", "_copies")
     if taken.where("_rows > 1").limit(1).count():
         alone = alone.unionByName(found.where("_rows > 1").groupBy("_key").agg(F.first("row").alias("row"), F.first("_copies").alias("_copies")).drop("_key"))

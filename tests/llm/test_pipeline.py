@@ -56,3 +56,11 @@ def test_stages(spark, folder):
     assert sum(r.length for r in out[4]) == sum(n * (1 + len(encode.encode(t, add_special_tokens=False).ids)) for (_, t, _), n in copies.items())
     total = corpus_pipeline.run(spark, folder)
     assert sum(r.length for r in total.collect()) == sum(r.length for r in out[4])
+
+
+def test_stages_of_an_empty_table(spark, no_docs, folder):
+    plain = no_docs.select("doc_id", "text", "lang", "source", "n_chars", "_salt")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, plain, folder)
+        assert out.count() == 0
+        assert name == "packing" or out.columns == plain.columns

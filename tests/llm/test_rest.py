@@ -230,3 +230,19 @@ def expected_lines(texts):
             if min(len(set(v)), len(set(w))) >= 5 and (sims[i] != sims[j]).sum() <= 3 and distance(v, w) <= int(max(len(v), len(w)) * 0.2 + 1e-9):
                 up[root(a)] = root(norm[j])
     return {x: root(x) for x in norm}
+
+
+def test_chat_long_text_and_clashing_columns(spark):
+    long = "</turn> ### x " * 20_000
+    rows = [(1, 0, "user", long, 7, "m", 3), (1, 1, "assistant", long + "end", 8, "n", 4)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int, message string, formatted int")
+    out = chat.read_back(chat.format_events(chat.events_of(table))).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars, r.loss_sha256) for r in out] == [(1, 2, len(long) + 3, hashlib.sha256((long + "end").encode()).hexdigest())]
+
+
+def test_line_of_many_words(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 8)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, "  ".join(words).upper()), (3, " ".join(words[:99] + ["new"])), (4, " ".join(reversed(words)))]
+    out = {r.row.doc_id: r.n_removed for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1], out[2], out[4]) == (0, 1, 0) and out[3] in (0, 1)
