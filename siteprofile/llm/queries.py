@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, line_dedup, mixing, packing, pii, quality, sharding, suffix_dedup, topk
+from . import chat, classifier, clustering, codes, jaccard, line_dedup, mixing, packing, pii, quality, sharding, suffix_dedup, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_events(chat.events_of(table.unionByName(more))))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")
+
+
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = classifier.score(docs, model, keep=["doc_id"]).withColumn("held_out", classifier.remainder(F.col("row.doc_id")) == 1)
+    return scored.select("row.doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id", "label"])
+    return codes.report(done).select("row.vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -81,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_chat": op10_chat,
+        "op11_clustering": op11_clustering,
+        "op12_classifier": op12_classifier,
+        "op13_codes": op13_codes,
     }
 
 
@@ -145,6 +164,60 @@ FROM e GROUP BY 1
 """
 
 
+_WHOLE = "list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) = 64"
+
+
+def _lloyd(start: str, rounds: int) -> str:
+    """Rounds of exact Lloyd iterations over x (r, p, q) from c0 (p, c, q): the last assignment is in a, the last table in c, with the round's number."""
+    sql = f"{start.strip()},\nn AS MATERIALIZED (SELECT *, list_inner_product(q, q) AS w FROM x)"
+    for i in range(rounds + 1):
+        sql += f""",
+m{i} AS (SELECT r, p, c, CAST(n.w - 2 * list_inner_product(n.q, t.q) + list_inner_product(t.q, t.q) AS BIGINT) AS d FROM n JOIN c{i} t USING (p)),
+a{i} AS MATERIALIZED (SELECT r, p, CAST(min(d * 1024 + c) % 1024 AS INTEGER) AS c, min(d) AS d FROM m{i} GROUP BY r, p)"""
+        if i < rounds:
+            sql += f""",
+s{i} AS (SELECT p, c, j, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS s, count(*) AS n FROM (SELECT n.p, a.c, unnest(n.q) AS v, generate_subscripts(n.q, 1) AS j FROM n JOIN a{i} a USING (r, p)) GROUP BY ALL),
+u{i} AS (SELECT p, c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS q FROM s{i} GROUP BY p, c),
+c{i + 1} AS MATERIALIZED (SELECT t.p, t.c, coalesce(u.q, t.q) AS q FROM c{i} t LEFT JOIN u{i} u USING (p, c))"""
+    return sql
+
+
+_CLUSTERING_START = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_WHOLE}),
+x AS (SELECT r, 0 AS p, q FROM v),
+c0 AS MATERIALIZED (SELECT 0 AS p, CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 8))
+"""
+
+_CLUSTERING = f"""
+{_lloyd(_CLUSTERING_START, 10)}
+SELECT vec_id, a10.c AS "cluster", a10.d AS distance, CAST(sum(d) OVER (PARTITION BY a10.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c10.q, lambda y: CAST(y AS BIGINT)), ',')) AS centroid_sha256
+FROM v JOIN a10 USING (r) JOIN c10 ON c10.c = a10.c
+"""
+
+_CODES_START = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, {_WHOLE}),
+x AS (SELECT r, p, q[p * 16 + 1:p * 16 + 16] AS q FROM v, (SELECT unnest([0, 1, 2, 3]) AS p)),
+c0 AS MATERIALIZED (SELECT p, c, q[p * 16 + 1:p * 16 + 16] AS q
+  FROM (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS c, q FROM v ORDER BY vec_id LIMIT 256), (SELECT unnest([0, 1, 2, 3]) AS p))
+"""
+
+_CODES = f"""
+{_lloyd(_CODES_START, 4)},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(q, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, c)) AS h FROM c4),
+e AS (SELECT r, string_agg(lpad(lower(to_hex(c)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN e USING (r), h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """What SQL can express: the others need byte windows, tokenizers, SimHash groups or places of matches, and have brute-force tests."""
-    return {"op1_mixing": _MIXING, "op5_quality": _QUALITY, "op6_top_k": _TOP_K, "op9_ngram_jaccard": _JACCARD, "op10_chat": _CHAT}
+    """What SQL can express: the others need byte windows, tokenizers, SimHash groups, places of matches or a compressor, and have brute-force tests."""
+    return {
+        "op1_mixing": _MIXING,
+        "op5_quality": _QUALITY,
+        "op6_top_k": _TOP_K,
+        "op9_ngram_jaccard": _JACCARD,
+        "op10_chat": _CHAT,
+        "op11_clustering": _CLUSTERING,
+        "op13_codes": _CODES,
+    }
