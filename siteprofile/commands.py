@@ -152,7 +152,7 @@ def _bases(spark, a, left: int, right: int, from_right: bool) -> None:
     middle = a.study[len(a.study) // 2]
     genome = readers.fasta(spark, a.genome)
     around = intervals.windows(regions, F.col("center"), left, right).select("id", "chrom", "start", "end")
-    pairs = intervals.overlap_join(intervals.site_intervals(profiles.of_study(sites, a.study)), around)
+    pairs = intervals.overlap_join(intervals.site_intervals(profiles.of_study(sites, a.study)), around, left_longest=1)
     comp = profiles.composition(profiles.window_sequences(around, genome, left + right))
     position = F.col("r_end") - F.col("pos") if from_right else F.col("pos") - F.col("r_start")
     enriched = profiles.per_base_enrichment(profiles.observed(pairs, position), comp, middle)

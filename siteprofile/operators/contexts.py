@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
+from . import ordered
 
 #: Bases of a chunk of the genome, and of the overlap on both sides. Where a fixed, short length is read, chunks are of SHORT bases and overlap by that length.
 CHUNK, HALO, SHORT = 16_384, 1_100, 1_024
@@ -85,22 +86,22 @@ def kmer_counts(seqs: DataFrame, k: int, by: list[str] | None = None, seq: str =
 
 
 def genome_kmer_counts(genome: DataFrame, k: int, span_chromosomes: bool = False) -> DataFrame:
-    """(kmer, n) over the genome. Chromosomes are counted in chunks. span_chromosomes: as if they were joined in the order of chrom, so k-mers run over their ends too."""
-    chunk = CHUNK
-    parts = chunked(genome, chunk, 0).select("chrom", "chunk", "part", "len")
-    bodies = kmer_counts(parts, k, seq="part")
-    # What runs over the end of a chunk, or of a chromosome: the last bases before it with the first behind it.
-    edge = parts.select("chrom", "chunk", "len", F.right("part", F.lit(k - 1)).alias("tail"), F.left("part", F.lit(k - 1)).alias("head"))
-    within = Window.partitionBy("chrom").orderBy("chunk")
-    across = Window.orderBy("chrom", "chunk")  # k - 1 bases of each chunk
-    w = across if span_chromosomes else within
-    # A k-mer over the edge starts in this tail; as many heads follow as may be short.
-    after = F.left(F.concat(*[F.coalesce(F.lead("head", i).over(w), F.lit("")) for i in range(1, k)]), F.lit(k - 1))
-    seam = edge.withColumn("seq", F.concat("tail", after)).withColumn("_t", F.length("tail"))
-    # Seams are a few bases long.
-    starts = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(1), F.least(F.col("_t"), F.length("seq") - k + 1)), lambda i: F.substring("seq", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    seams = seam.select(F.explode(starts).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    return bodies.unionByName(seams).groupBy("kmer").agg(F.sum("n").alias("n"))
+    """(kmer, n) over the genome, counted in chunks that reach k - 1 bases over their ends.
+
+    span_chromosomes: as if the chromosomes were joined in the order of chrom, so k-mers run over their ends too. Only what
+    stands at the ends of chromosomes, 2 (k - 1) bases each, is put in order for that, over many tasks.
+    """
+    parts = chunked(genome, CHUNK, k - 1).select("part", (F.col("chunk") * CHUNK + 1 - F.col("first")).cast("int").alias("_before"))
+    counts = kmer_counts(parts.select(F.expr("substring(part, _before + 1)").alias("seq")), k)
+    if not span_chromosomes or k < 2:
+        return counts
+    ends = genome.where(F.length("seq") > 0).select("chrom", F.left("seq", F.lit(k - 1)).alias("head"), F.right("seq", F.lit(k - 1)).alias("tail"))
+    seams = ordered.text_after(ends, "chrom", "head", k - 1)
+    # A k-mer over an end starts in the tail, and needs k bases from there.
+    seams = seams.select(F.concat("tail", "after").alias("seq"), F.length("tail").alias("t"))
+    starts = F.transform(F.sequence(F.lit(1), F.least(F.col("t"), F.length("seq") - k + 1)), lambda i: F.substring("seq", i, F.lit(k)))
+    over = seams.where(F.length("seq") >= k).select(F.explode(starts).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(over).groupBy("kmer").agg(F.sum("n").alias("n"))
 
 
 def base_composition(seqs: DataFrame, by: list[str] | None = None, seq: str = "seq") -> DataFrame:

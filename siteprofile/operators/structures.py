@@ -31,7 +31,7 @@ def region_signatures(sites: DataFrame, genome: DataFrame, regions: DataFrame, k
     and one scan of the genome.
     """
     annotated = contexts.annotate(sites, genome, (k,))
-    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("region_set", "chrom", "start", "end"))
+    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("region_set", "chrom", "start", "end"), left_longest=1)
     observed = contexts.context_counts(pairs, f"context_{k}", ["region_set"]).where("context <> '-'")
     background = region_backgrounds(regions, genome, k).withColumnsRenamed({"kmer": "context", "n": "ref"})
     norm = observed.join(background, ["region_set", "context"], "left").withColumn("ref_norm", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)))
@@ -49,7 +49,8 @@ def similarities(signatures: DataFrame, whole: DataFrame) -> DataFrame:
 
 def observed_expected(sites: DataFrame, genome: DataFrame, regions: DataFrame, whole: DataFrame, k: int = 3) -> DataFrame:
     """(region_set, observed, expected, g, p_value): sites in each set against what the whole genome's signature expects of its k-mers, each product rounded to 2 places and the sum to whole numbers."""
-    observed = intervals.overlap_join(intervals.site_intervals(sites), regions.select("region_set", "chrom", "start", "end")).groupBy("region_set").agg(F.count(F.lit(1)).alias("observed"))
+    met = intervals.overlap_join(intervals.site_intervals(sites), regions.select("region_set", "chrom", "start", "end"), left_longest=1)
+    observed = met.groupBy("region_set").agg(F.count(F.lit(1)).alias("observed"))
     counts = region_backgrounds(regions, genome, k)
     each = counts.join(whole.select(F.col("context").alias("kmer"), "ref_norm"), "kmer").select("region_set", F.bround(F.col("ref_norm") * F.col("n"), 2).alias("e"))
     expected = each.groupBy("region_set").agg(F.bround(F.sum("e"), 0).alias("expected"))

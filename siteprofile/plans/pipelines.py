@@ -26,7 +26,8 @@ def enrichment(sites: DataFrame, genome: DataFrame, p_value: float = 0.05, bases
 def region_pairs(sites: DataFrame, regions: DataFrame, left: int = 73, right: int = 74, least_start: int = 1) -> DataFrame:
     """Sites with the windows around the regions' centres that they lie in."""
     windows = intervals.windows(regions, F.col("center"), left, right, least_start)
-    return intervals.overlap_join(intervals.site_intervals(sites), windows.select("id", "chrom", "start", "end", "class", "center"))
+    windows = windows.select("id", "chrom", "start", "end", "class", "center")
+    return intervals.overlap_join(intervals.site_intervals(sites), windows, left_longest=1, right_longest=left + right)
 
 
 def nucleosome_profile(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, left: int = 73, right: int = 74, offset: int = 0) -> DataFrame:
@@ -52,7 +53,7 @@ def randomised_peak(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig
 def region_comparison(sites: DataFrame, genome: DataFrame, regions: DataFrame, whole: DataFrame, k: int = 3) -> DataFrame:
     """(class, cosine): for each class of regions the similarity of its signature (sites in it over its own k-mers) to that of the whole genome."""
     annotated = contexts.annotate(sites, genome, (k,))
-    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("id", "chrom", "start", "end", "class"))
+    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("id", "chrom", "start", "end", "class"), left_longest=1)
     seqs = contexts.with_sequence(regions, genome, F.col("start"), F.col("end") - F.col("start"), "seq")
     background = contexts.kmer_counts(seqs, k, ["class"])
     observed = contexts.context_counts(pairs, f"context_{k}", ["class"]).where("context <> '-'")
@@ -67,7 +68,7 @@ def transcript_profile(sites: DataFrame, transcripts: DataFrame, genome: DataFra
     """rel_pos, count, norm_count, normalized of the sites around transcript starts (site tss) or ends (tts) over the base's count there. transcripts has id, chrom, tss, start, end, strand (1 or -1)."""
     anchor = F.col("tss") if site == "tss" else F.when(F.col("strand") == 1, F.col("end")).otherwise(F.col("start"))
     windows = intervals.windows(transcripts.withColumn("class", F.lit(site)), anchor, half, half, 0).select("id", "chrom", "center", "start", "end")
-    pairs = intervals.overlap_join(intervals.site_intervals(sites), windows)
+    pairs = intervals.overlap_join(intervals.site_intervals(sites), windows, left_longest=1, right_longest=2 * half)
     comp = profiles.composition(profiles.window_sequences(windows, genome, 2 * half))
     background = comp.where(F.col("kmer") == base).select((F.col("offset") - (half - 1)).alias("rel_pos"), F.col("n").alias("norm_count"))
     return profiles.anchored(pairs, F.col("center"), background)
@@ -87,7 +88,7 @@ def transcription_signature(sites: DataFrame, track: DataFrame, genome: DataFram
     half = k // 2
     seqs = contexts.with_sequence(states, genome, F.col("start") - half + 1, F.col("end") - F.col("start") + 2 * half, "seq")
     background = contexts.kmer_counts(seqs, k, ["state"]).withColumnsRenamed({"kmer": "context", "n": "ref"})
-    pairs = intervals.overlap_join(intervals.site_intervals(contexts.annotate(sites, genome, (k,))), states.select("chrom", "start", "end", "state"))
+    pairs = intervals.overlap_join(intervals.site_intervals(contexts.annotate(sites, genome, (k,))), states.select("chrom", "start", "end", "state"), left_longest=1)
     observed = contexts.context_counts(pairs, f"context_{k}", ["state"]).where("context <> '-'")
     norm = observed.join(background, ["state", "context"], "left").select("state", "context", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)).alias("v"))
     total = norm.groupBy("state").agg(F.sum("v").alias("_t"))

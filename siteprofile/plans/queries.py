@@ -130,14 +130,14 @@ def overlap_join(spark, d):
 
 @query("overlap_left", " SELECT site_id, count(n.id) AS n FROM sites s LEFT JOIN nuc n ON s.chrom = n.chrom AND s.pos - 1 < n.\"end\" AND n.\"start\" < s.pos GROUP BY 1")
 def overlap_left(spark, d):
-    joined = intervals.overlap_join(intervals.site_intervals(tables.sites(spark, d)), nucleosomes(spark, d).select("id", "chrom", "start", "end"), how="left")
+    joined = intervals.overlap_join(intervals.site_intervals(tables.sites(spark, d)), nucleosomes(spark, d).select("id", "chrom", "start", "end"), how="left", left_longest=1, right_longest=147)
     return joined.groupBy("site_id").agg(F.count_if(F.col("overlap") > 0).alias("n"))
 
 
 @query("overlap_intervals", " SELECT a.id AS a, b.id AS b, least(a.\"end\", b.\"end\") - greatest(a.\"start\", b.\"start\") AS overlap FROM nuc a JOIN nuc b ON a.chrom = b.chrom AND a.id < b.id AND a.\"start\" < b.\"end\" AND b.\"start\" < a.\"end\"")
 def overlap_intervals(spark, d):
     n = nucleosomes(spark, d).select("id", "chrom", "start", "end")
-    joined = intervals.overlap_join(n.withColumnRenamed("id", "a"), n.withColumnRenamed("id", "b"), bin_size=256, broadcast=False)
+    joined = intervals.overlap_join(n.withColumnRenamed("id", "a"), n.withColumnRenamed("id", "b"), bin_size=256, broadcast=False, left_longest=147, right_longest=147)
     return joined.where("a < b").select("a", "b", "overlap")
 
 
@@ -147,7 +147,7 @@ _PARTS = ", p AS (SELECT chrom, lang, 1 AS \"start\", 301 AS \"end\", 'end' AS p
 @query("telomere_partition", _PARTS + " SELECT part, count(*) AS n FROM sites s JOIN p ON s.chrom = p.chrom AND s.pos - 1 < p.\"end\" AND p.\"start\" < s.pos GROUP BY 1")
 def telomere_partition(spark, d):
     parts = intervals.chromosome_ends(tables.sizes(spark, d), 300)
-    return intervals.overlap_join(intervals.site_intervals(tables.sites(spark, d)), parts).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return intervals.overlap_join(intervals.site_intervals(tables.sites(spark, d)), parts, left_longest=1).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -343,7 +343,7 @@ _WIDE = ", w AS (SELECT id, chrom, center, center - 200 AS \"start\", center + 2
 
 @query("clean_overlaps", _WIDE + ", n AS (SELECT *, lead(\"start\") OVER p AS ns, lag(\"end\") OVER p AS pe FROM w WINDOW p AS (PARTITION BY chrom ORDER BY \"start\", id)) SELECT id, CASE WHEN pe >= \"start\" THEN \"start\" + (pe - \"start\") // 2 ELSE \"start\" END AS \"start\", CASE WHEN \"end\" >= ns THEN \"end\" - (\"end\" - ns) // 2 ELSE \"end\" END AS \"end\" FROM n")
 def clean_overlaps(spark, d):
-    return intervals.clean_overlaps(wide(spark, d).withColumn("row", F.struct("start", "id"))).select("id", "start", "end")
+    return intervals.clean_overlaps(wide(spark, d), ["start", "id"]).select("id", "start", "end")
 
 
 @query("neighbour_signal", _WIDE + ", n AS (SELECT *, lead(\"start\") OVER p AS ns, lag(\"end\") OVER p AS pe FROM w WINDOW p AS (PARTITION BY chrom ORDER BY id)), f AS (SELECT * FROM n WHERE id < (SELECT max(id) FROM w)), x AS (SELECT unnest(range(0, center + 74 - ns)) AS \"offset\" FROM f WHERE center + 74 > ns UNION ALL SELECT unnest(range(400 - pe + center - 73, 400)) FROM f WHERE center - 73 <= pe) SELECT \"offset\", count(*) AS n FROM x GROUP BY 1")
@@ -607,7 +607,7 @@ def structure_observed(spark, d):
 def linker_model(spark, d):
     rows = profiles.of_study(contexts.annotate(tables.sites(spark, d), tables.genome(spark, d), (3,)), "G")
     around = wide(spark, d)
-    pairs_ = intervals.overlap_join(intervals.site_intervals(rows), around.select("id", "chrom", "start", "end"))
+    pairs_ = intervals.overlap_join(intervals.site_intervals(rows), around.select("id", "chrom", "start", "end"), left_longest=1)
     comp = profiles.composition(profiles.window_sequences(around, tables.genome(spark, d), 400))
     enriched = profiles.per_base_enrichment(profiles.observed(pairs_, F.col("r_end") - F.col("pos")), comp, "G")
     out = profiles.with_model(enriched, profiles.random_model(comp, "G"))

@@ -16,5 +16,5 @@ def context_counts(sites: DataFrame, context: str, time: str, lateness: str = "1
 def position_counts(sites: DataFrame, regions: DataFrame, time: str, lateness: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """(window, position, observed) of a stream of sites around the fixed windows regions (id, chrom, start, end), which each batch meets by chromosome and bin."""
     stream = intervals.site_intervals(sites.withWatermark(time, lateness))
-    joined = intervals.overlap_join(stream, regions.select("chrom", "start", "end"))
+    joined = intervals.overlap_join(stream, regions.select("chrom", "start", "end"), left_longest=1)
     return joined.groupBy(F.window(time, window), (F.col("pos") - F.col("r_start")).alias("position")).agg(F.count(F.lit(1)).alias("observed"))
