@@ -18,20 +18,52 @@ def smooth3(signal: DataFrame, by: list[str] | None = None) -> DataFrame:
     return signal.select(*keys, "i", F.avg("x").over(w.rowsBetween(0, 2)).alias("x"), F.count(F.lit(1)).over(w.rowsBetween(0, 2)).alias("_c")).where("_c = 3").drop("_c")
 
 
-def detrend(signal: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The signal less its least-squares parabola, from the sums of one aggregation. The abscissa is centred first, which makes the normal equations of a regular grid well conditioned."""
+#: The fit's bounds on the slope and the curvature, in the abscissa as it is.
+STEEPEST = 10.0
+
+
+def bounded(m: Column, n: Column, s2: Column, s3: Column, s4: Column, t0: Column, t1: Column, t2: Column, most: float = STEEPEST) -> Column:
+    """Struct a1, a2: slope and curvature, both between -most and most, of the least-squares parabola, from sums about the mean abscissa m.
+
+    The constant is free, so this is a quadratic form in two unknowns over a square. Its least value is that of the whole
+    plane, of one of the four sides or of a corner; of those inside the square the best is taken.
+    """
+    mean = s2 / n
+    s11, s12, s22 = s2, s3 + 2 * m * s2, s4 + 4 * m * s3 + 4 * m * m * s2 - s2 * mean
+    r1, r2 = t1, t2 + 2 * m * t1 - t0 * mean
+    cost = lambda a, b: s11 * a * a + 2 * s12 * a * b + s22 * b * b - 2 * r1 * a - 2 * r2 * b
+    ends = [F.lit(-most), F.lit(most)]
+    found = [(a, F.try_divide(r2 - s12 * a, s22)) for a in ends] + [(F.try_divide(r1 - s12 * b, s11), b) for b in ends] + [(a, b) for a in ends for b in ends]
+    each = [F.when((F.abs(a) <= most) & (F.abs(b) <= most), F.struct(cost(a, b).alias("cost"), a.alias("a1"), b.alias("a2"))) for a, b in found]
+    return F.array_min(F.array_compact(F.array(*each)))
+
+
+def detrend(signal: DataFrame, by: list[str] | None = None, most: float = STEEPEST) -> DataFrame:
+    """The signal less its least-squares parabola a0 + a1 i + a2 i^2 with a1 and a2 between -most and most, from the sums of one aggregation.
+
+    The abscissa is centred first, which makes the normal equations of a regular grid well conditioned. Where the free
+    parabola is outside the bounds, the best one inside is taken.
+    """
     keys = by or []
     mid = signal.groupBy(*keys).agg(F.avg("i").alias("_m"))
     join = lambda a, b: a.join(b, keys) if keys else a.crossJoin(F.broadcast(b))  # noqa: E731  one row, or one per signal of any number
     z = join(signal, mid).withColumn("_z", F.col("i") - F.col("_m"))
     powers = [F.sum(F.col("_z") ** k).alias(f"_s{k}") for k in range(5)] + [F.sum(F.col("x") * F.col("_z") ** k).alias(f"_t{k}") for k in range(3)]
-    m = z.groupBy(*keys).agg(*powers)
+    m = z.groupBy(*keys).agg(F.first("_m").alias("_m"), *powers)
     s0, s1, s2, s3, s4, t0, t1, t2 = (F.col(c) for c in ("_s0", "_s1", "_s2", "_s3", "_s4", "_t0", "_t1", "_t2"))
     det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
     a0 = (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det
     a1 = (s0 * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - t1 * s2)) / det
     a2 = (s0 * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det
-    fit = m.where(F.abs(det) > 0).select(*keys, a0.alias("_a0"), a1.alias("_a1"), a2.alias("_a2"))
+    free = m.where(F.abs(det) > 0).select("*", a0.alias("_a0"), a1.alias("_a1"), a2.alias("_a2"))
+    steep = (F.abs(F.col("_a1") - 2 * F.col("_a2") * F.col("_m")) > most) | (F.abs("_a2") > most)
+    edge = free.withColumn("_e", F.when(steep, bounded(F.col("_m"), s0, s2, s3, s4, t0, t1, t2, most)))
+    fit = edge.select(
+        *keys,
+        F.when(steep, t0 / s0 - F.col("_e.a2") * s2 / s0).otherwise(F.col("_a0")).alias("_a0"),
+        F.when(steep, F.col("_e.a1") + 2 * F.col("_e.a2") * F.col("_m")).otherwise(F.col("_a1")).alias("_a1"),
+        F.when(steep, F.col("_e.a2")).otherwise(F.col("_a2")).alias("_a2"),
+    )
     return join(z, fit).select(*keys, "i", (F.col("x") - F.col("_a0") - F.col("_a1") * F.col("_z") - F.col("_a2") * F.col("_z") ** 2).alias("x"))
 
 
@@ -80,17 +112,53 @@ def signal_to_noise(spec: DataFrame, by: list[str] | None = None, centre: float
     return found.select(*keys, F.try_divide(take("power"), F.col("_noise")).alias("snr"), take("period").alias("peak"))
 
 
-def ewma(signal: DataFrame, beta: float = 0.8, by: list[str] | None = None) -> DataFrame:
-    """Exponentially weighted mean: v starts at x0 * beta, and each value gives v = beta * v + (1 - beta) * x. Signals are profiles of some hundred positions, folded as an array."""
-    keys = by or []
-    array = signal.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_s"))
-    start = F.struct((F.col("_s")[0]["x"] * beta).alias("v"), F.array().cast("array<struct<i:bigint,x:double>>").alias("out"))
+#: Places of a block of a scan.
+SCAN = 256
+
+
+def affine_scan(maps: DataFrame, keys: list[str], levels: int, block: int = SCAN) -> DataFrame:
+    """(keys..., i, before, upto): the maps v -> a v + b of a signal, composed in the order of i, before each place and up to it.
+
+    maps has keys, i, a and b. A block of places is folded at a time; the whole maps of the blocks are scanned in the same
+    way, levels deep, and what comes before a block is put in front of its own. At the lowest level a key is one block.
+    """
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    then = lambda first, a, b: F.struct((first["a"] * a).alias("a"), (first["b"] * a + b).alias("b"))
+    blocked = maps.withColumn("_b", F.floor(F.col("i") / block) if levels else F.lit(0))
+    rows = blocked.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "a", "b"))).alias("_s"))
+    kind = "struct<a:double,b:double>"
+    start = F.struct(one.alias("at"), F.array().cast(f"array<struct<i:bigint,before:{kind},upto:{kind}>>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        v = state["v"] * beta + s["x"] * (1 - beta)
-        return F.struct(v.alias("v"), F.concat(state["out"], F.array(F.struct(s["i"].cast("long").alias("i"), v.alias("x")))).alias("out"))
+        upto = then(state["at"], s["a"], s["b"])
+        return F.struct(upto.alias("at"), F.concat(state["out"], F.array(F.struct(s["i"].alias("i"), state["at"].alias("before"), upto.alias("upto")))).alias("out"))
+
+    folded = rows.select(*keys, "_b", F.aggregate("_s", start, step, lambda s: s["out"]).alias("out"))
+    if not levels:
+        return folded.select(*keys, F.explode("out").alias("e")).select(*keys, "e.i", "e.before", "e.upto")
+    whole = folded.select(*keys, F.col("_b").alias("i"), F.element_at("out", -1)["upto"].alias("w")).select(*keys, "i", "w.a", "w.b")
+    ahead = affine_scan(whole, keys, levels - 1, block).select(*keys, F.col("i").alias("_b"), F.col("before").alias("_f"))
+    near = folded.join(ahead, [*keys, "_b"]).select(*keys, "_f", F.explode("out").alias("e"))
+    joined = lambda c: then(F.col("_f"), F.col(f"e.{c}.a"), F.col(f"e.{c}.b")).alias(c)
+    return near.select(*keys, "e.i", joined("before"), joined("upto"))
 
-    return array.select(*keys, F.explode(F.aggregate("_s", start, step, lambda s: s["out"])).alias("e")).select(*keys, "e.i", "e.x")
+
+def ewma(signal: DataFrame, beta: float = 0.8, by: list[str] | None = None, block: int = SCAN) -> DataFrame:
+    """Exponentially weighted mean: v starts at x0 * beta, and each value gives v = beta * v + (1 - beta) * x.
+
+    A step is an affine map of v, and the steps are composed by blocks, so a signal of any length is spread over many tasks
+    and each value is handled once a level; the range of i, read first, gives the number of levels.
+    """
+    keys = by or []
+    low, high = signal.agg(F.min("i"), F.max("i")).first()
+    levels, reach = 0, block
+    while low is not None and high - low >= reach:
+        levels, reach = levels + 1, reach * block
+    maps = signal.select(*keys, "i", F.lit(float(beta)).alias("a"), (F.col("x") * (1 - beta)).alias("b"))
+    first = signal.groupBy(*keys).agg((F.min_by("x", "i") * beta).alias("_v"))
+    scanned = affine_scan(maps, keys, levels, block)
+    joined = scanned.join(first, keys) if keys else scanned.crossJoin(F.broadcast(first))  # one row without keys
+    return joined.select(*keys, "i", (F.col("upto.a") * F.col("_v") + F.col("upto.b")).alias("x"))
 
 
 def savgol_weights(window: int, order: int = 3, at: int | None = None) -> list[float]:

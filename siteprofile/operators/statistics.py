@@ -145,6 +145,13 @@ def empirical_p(null: DataFrame, observed: DataFrame, value: str = "snr") -> Dat
     return null.crossJoin(F.broadcast(one)).agg(((F.count_if(F.col(value) > F.col("_o")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))  # one row
 
 
+def cosines(target: np.ndarray, alpha: float, n_draws: int, seed: int, block: int, blocks: int) -> np.ndarray:
+    """Cosines to target of a block's share of the draws."""
+    size = n_draws // blocks + (block < n_draws % blocks)
+    x = np.random.default_rng([seed, block]).dirichlet(np.full(len(target), alpha), size)
+    return x @ target / (np.linalg.norm(x, axis=1) * np.linalg.norm(target))
+
+
 def dirichlet_null(spark: SparkSession, signature: list[float], n_draws: int, alpha: float = 2.0, seed: int = 42, blocks: int = 64) -> DataFrame:
     """(draw, cosine) of n_draws symmetric Dirichlet vectors to a signature of a few dozen channels. Draws follow from seed and block, whatever the number of tasks."""
     target = np.asarray(signature, float)
@@ -152,10 +159,8 @@ def dirichlet_null(spark: SparkSession, signature: list[float], n_draws: int, al
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block in batch["id"]:
-                size = n_draws // blocks + (int(block) < n_draws % blocks)
-                x = np.random.default_rng([seed, int(block)]).dirichlet(np.full(len(target), alpha), size)
-                cos = x @ target / (np.linalg.norm(x, axis=1) * np.linalg.norm(target))
-                yield pd.DataFrame({"draw": np.arange(size) * blocks + int(block), "cosine": cos})
+                cos = cosines(target, alpha, n_draws, seed, int(block), blocks)
+                yield pd.DataFrame({"draw": np.arange(len(cos)) * blocks + int(block), "cosine": cos})
 
     return spark.range(blocks).mapInPandas(draw, "draw long, cosine double")
 
@@ -168,18 +173,77 @@ def null_score(draws: DataFrame, observed: float) -> DataFrame:
 
 def alpha_sweep(spark: SparkSession, signature: list[float], alphas: list[float], n_draws: int, level: float = 0.85, seed: int = 42) -> DataFrame:
     """(alpha, share, mean_cosine): share of draws with at least this similarity, for each alpha."""
-    parts = [dirichlet_null(spark, signature, n_draws, a, seed + i, 4).withColumn("alpha", F.lit(float(a))) for i, a in enumerate(alphas)]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_.groupBy("alpha").agg((F.count_if(F.col("cosine") >= level) / F.count(F.lit(1))).alias("share"), F.avg("cosine").alias("mean_cosine"))
+    target, blocks = np.asarray(signature, float), 4
+    values = F.array(*[F.lit(float(a)) for a in alphas])
+    each = spark.range(len(alphas) * blocks).select(F.floor(F.col("id") / blocks).alias("i"), (F.col("id") % blocks).alias("block"))
+    each = each.select("i", "block", F.element_at(values, (F.col("i") + 1).cast("int")).alias("alpha")).repartition("i", "block")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, block, alpha in batch.itertuples(index=False):
+                cos = cosines(target, alpha, n_draws, seed + int(i), int(block), blocks)
+                yield pd.DataFrame({"alpha": [alpha], "n": [len(cos)], "above": [int((cos >= level).sum())], "total": [float(cos.sum())]})
+
+    sums = each.mapInPandas(draw, "alpha double, n long, above long, total double").groupBy("alpha").agg(F.sum("n").alias("n"), F.sum("above").alias("above"), F.sum("total").alias("total"))
+    return sums.select("alpha", (F.col("above") / F.col("n")).alias("share"), (F.col("total") / F.col("n")).alias("mean_cosine"))
+
+
+#: Equal cells that a range of values is cut into, and so many values at most that are counted one by one.
+CELLS, SINGLE = 4096, 10_000
+
+
+def exact_quantile(rows: DataFrame, value: str, q: float, cells: int = CELLS, single: int = SINGLE) -> float | None:
+    """The quantile of the values, with linear interpolation between neighbours; None if there are none. Nulls and NaN take no part.
+
+    A round counts the values in equal cells between the least and the largest, and keeps the cell that the rank falls in,
+    until that holds few values, which are counted one by one, or one value, however often. So a task holds as many
+    counts as there are cells, and the driver sees these. A round makes the range cells times shorter at least.
+    """
+    x = F.col(value).cast("double")
+    held = rows.select(x.alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    count = held.agg(F.count("x").alias("n"), F.count_if(F.col("x") == -float("inf")).alias("low"), F.count(finite).alias("m"), F.min(finite).alias("a"), F.max(finite).alias("b"))
+    n, before, m, a, b = count.first()
+    if not n:
+        return None
+    place = q * (n - 1)
+    rank = min(int(place), n - 1)
+
+    def value_at(rank: int, before: int, m: int, a: float, b: float) -> float:
+        """The value of a rank, of which m values from a to b, after before others, are left."""
+        while True:
+            if rank < before:
+                return -float("inf")
+            if rank >= before + m:
+                return float("inf")
+            if a == b:
+                return a
+            inside = held.where(F.col("x").between(a, b))
+            if m <= single:
+                for r in sorted(inside.groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()):
+                    before += r.n
+                    if rank < before:
+                        return r.x
+            half = 0.5 if b - a == float("inf") else 1.0
+            cell = F.least(F.floor((F.col("x") * half - a * half) / (b * half - a * half) * cells), F.lit(cells - 1))
+            for r in sorted(inside.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).collect()):
+                if rank < before + r.n:
+                    m, a, b = r.n, r.a, r.b
+                    break
+                before += r.n
+
+    low = value_at(rank, before, m, a, b)
+    if place == rank:
+        return low
+    high = value_at(rank + 1, before, m, a, b)
+    return low if low == high else low + (high - low) * (place - rank)
 
 
 def above_quantile(rows: DataFrame, value: str, q: float = 0.9) -> DataFrame:
-    """The rows above the exact quantile (linear interpolation) of the non-zero values."""
+    """The rows above the exact quantile (linear interpolation) of the non-zero values; none if there are none."""
     some = rows.where(F.col(value) != 0)
-    cut = some.agg(F.percentile(value, q).alias("_q"))
-    return some.crossJoin(F.broadcast(cut)).where(F.col(value) > F.col("_q")).drop("_q")  # one row
+    cut = exact_quantile(some, value, q)
+    return some.where(F.col(value) > F.lit(cut).cast("double"))
 
 
 def replicate_mean(a: DataFrame, b: DataFrame, key: str, means: list[str], texts: list[str] | None = None) -> DataFrame:
