@@ -45,12 +45,8 @@ def _write_enrichment(sites: DataFrame, genome: DataFrame, output: str, method:
 def enrich_detector(spark, a):
     """Exported detector intervals: top sites, p-value, bases, optional false-discovery rate, signatures of 3 and 5 bases."""
     rows = readers.detector(spark.read.options(sep="\t", header=True).csv(a.input))
-    rows = statistics.top_sites(rows.where(~F.col("chrom").isin(*a.excluded)) if a.excluded else rows, a.top).where(F.col("pvalue") < a.p_value)
-    if a.alpha:
-        rows = statistics.benjamini_hochberg(rows).where(F.col("q") <= a.alpha)
     genome = readers.fasta(spark, a.genome)
-    if a.bases:
-        rows = contexts.annotate(rows, genome, (3,)).where(F.col("base").isin(*a.bases)).select(*rows.columns)
+    rows = pipelines.selected(rows, genome, a.p_value, a.bases, a.top, a.alpha, a.excluded)
     folder = sinks.run_folder(a.output, a.p_value, a.top)
     _write_enrichment(rows, genome, folder, a.method)
     sinks.write_tsv(pipelines.pipeline_schema(contexts.annotate(rows, genome)), f"{folder}/damage_pipeline.tsv")

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -92,6 +97,60 @@ def spectrum(signal: DataFrame, low_t: int, high_t: int, low_p: int, high_p: int
     return both.withColumn("_t", total).where("j >= 0").select(*keys, "j", "period", (F.lit(float(high_p - low_p)) * F.col("power") / F.col("_t")).alias("power"))
 
 
+def _smooth_and_detrend(x: np.ndarray, i: np.ndarray, most: float) -> np.ndarray:
+    """smooth3() and detrend() of signals as the rows of a matrix."""
+    x = (x[:, :-2] + x[:, 1:-1] + x[:, 2:]) / 3
+    z = i[:-2].astype(float)
+    m = z.mean()
+    z = z - m
+    basis = np.column_stack([np.ones_like(z), z, z * z])
+    fit = np.linalg.lstsq(basis, x.T, rcond=None)[0]
+    for r in np.flatnonzero((np.abs(fit[1] - 2 * fit[2] * m) > most) | (np.abs(fit[2]) > most)):
+        p = np.column_stack([z, z * z + 2 * m * z])
+        p -= p.mean(0)
+        y = x[r] - x[r].mean()
+        s, t = p.T @ p, p.T @ y
+        sides = [(e, (t[1] - s[0, 1] * e) / s[1, 1]) for e in (-most, most)] + [((t[0] - s[0, 1] * e) / s[0, 0], e) for e in (-most, most)]
+        inside = [a for a in sides if max(map(abs, a)) <= most] + [(e, f) for e in (-most, most) for f in (-most, most)]
+        a1, a2 = min(inside, key=lambda a: s[0, 0] * a[0] ** 2 + 2 * s[0, 1] * a[0] * a[1] + s[1, 1] * a[1] ** 2 - 2 * t[0] * a[0] - 2 * t[1] * a[1])
+        fit[:, r] = x[r].mean() - a2 * (z * z).mean(), a1 + 2 * a2 * m, a2
+    return x - (basis @ fit).T
+
+
+def spectra(signals: DataFrame, low_t: int, high_t: int, low_p: int, high_p: int, by: list[str], n: int = 100) -> DataFrame:
+    """spectrum() of many signals of the same places: (by..., j, period, power).
+
+    A signal's values are gathered to an array, as long as a profile; arrays go in batches through smoothing and detrending
+    and are multiplied with one matrix of cosines and sines. Signals that lack a value, or have other places than most
+    of their batch, go one by one with the places that they have.
+    """
+    grid = np.concatenate([low_p + np.arange(n) * ((high_p - low_p) / (n - 1)), np.arange(low_p, high_p, dtype=float)])
+    rows = signals.where("x IS NOT NULL").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")))).alias("s"))
+    rows = rows.select(*by, F.col("s.i").alias("_i"), F.col("s.x").alias("_x"))
+    kinds = StructType([*rows.select(*by).schema, *StructType.fromDDL("power array<double>")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [tuple(v) for v in batch.column(len(by)).to_pylist()]
+            out: list = [None] * len(places)
+            for own in dict.fromkeys(places):
+                at = [r for r, p in enumerate(places) if p == own]
+                i = np.array(own)
+                if len(i) < 5:
+                    continue
+                flat = _smooth_and_detrend(np.array([batch.column(len(by) + 1)[r].as_py() for r in at], float), i, STEEPEST)
+                i = i[:-2]
+                flat = (flat - flat.mean(1, keepdims=True))[:, (i >= low_t) & (i < high_t)]
+                angle = 2 * np.pi * i[(i >= low_t) & (i < high_t), None] / grid[None, :]
+                power = ((flat @ np.cos(angle)) ** 2 + (flat @ np.sin(angle)) ** 2) / (high_t - low_t)
+                for r, p in zip(at, (high_p - low_p) * power[:, :n] / power[:, n:].sum(1, keepdims=True), strict=True):
+                    out[r] = p
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by)], pa.array(out, pa.list_(pa.float64()))], kinds.names)
+
+    found = rows.mapInArrow(run, kinds).select(*by, F.posexplode("power").alias("j", "power"))
+    return found.select(*by, F.col("j").cast("long").alias("j"), (F.lit(float(low_p)) + F.col("j") * F.lit((high_p - low_p) / (n - 1))).alias("period"), "power")
+
+
 def signal_to_noise(spec: DataFrame, by: list[str] | None = None, centre: float | None = None, half: float = 0.25) -> DataFrame:
     """(by..., snr, peak). The foreground is within half of the peak (the strongest period, or centre), the noise the median of the rest. If the strongest foreground sample is its first or last, the sample closest to the peak is taken."""
     keys = by or []
@@ -163,8 +222,6 @@ def ewma(signal: DataFrame, beta: float = 0.8, by: list[str] | None = None, bloc
 
 def savgol_weights(window: int, order: int = 3, at: int | None = None) -> list[float]:
     """Weights that give the least-squares polynomial of a window at one of its places (the middle by default)."""
-    import numpy as np
-
     half = window // 2
     z = np.arange(-half, half + 1, dtype=float)
     place = float((half if at is None else at) - half)

@@ -6,20 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import contexts, intervals, profiles, spectral, statistics
+from ..storage import checkpoint
 
 #: Chromosomes that an enrichment leaves out.
 EXCLUDED = ("chrXII", "chrMito", "chrM")
 
 
-def enrichment(sites: DataFrame, genome: DataFrame, p_value: float = 0.05, bases: list[str] | None = None, top: int | None = None, alpha: float | None = None, k: int = 3, excluded=()) -> DataFrame:
-    """Signature of the significant sites: top-k, p below the threshold, base, multiple testing, context, background, ratio."""
-    rows = sites.where(~F.col("chrom").cast("string").isin(*excluded)) if excluded else sites
-    rows = statistics.top_sites(rows, top) if top else rows
+def selected(
+    sites: DataFrame, genome: DataFrame, p_value: float = 0.05, bases: list[str] | None = None, top: int | None = None,
+    alpha: float | None = None, excluded=(), ties: tuple[str, ...] = ("chrom", "pos", "strand"),
+) -> DataFrame:
+    """The sites that an enrichment counts, by filters in this order: the top sites, of these those on chromosomes that are
+    not excluded, those with one of the bases, those with a p-value below the threshold, and of what is then left those
+    that multiple testing keeps. So excluded sites use up places of the top, and the correction sees the other bases' sites
+    no more. Without bases no sequence is read. A base that is named twice counts once."""
+    rows = statistics.top_sites(sites, top, ties=ties) if top else sites
+    rows = rows.where(~F.col("chrom").cast("string").isin(*excluded)) if excluded else rows
+    if bases:
+        rows = contexts.annotate(rows, genome, (1,)).where(F.col("base").isin(*bases)).select(*sites.columns)
     rows = rows.where(F.col("pvalue") < p_value)
-    if alpha is not None:
-        rows = statistics.benjamini_hochberg(rows).where(F.col("q") <= alpha)
-    rows = contexts.annotate(rows, genome, (k,))
-    rows = rows.where(F.col("base").isin(*bases)) if bases else rows
+    return statistics.benjamini_hochberg(rows).where(F.col("q") <= alpha) if alpha else rows
+
+
+def enrichment(
+    sites: DataFrame, genome: DataFrame, p_value: float = 0.05, bases: list[str] | None = None, top: int | None = None,
+    alpha: float | None = None, k: int = 3, excluded=(),
+) -> DataFrame:
+    """Signature of the sites that selected() gives: context, background, ratio."""
+    rows = contexts.annotate(selected(sites, genome, p_value, bases, top, alpha, excluded), genome, (k,))
     return contexts.signature(contexts.context_counts(rows, f"context_{k}"), contexts.genome_kmer_counts(genome, k))
 
 
@@ -37,17 +51,28 @@ def nucleosome_profile(sites: DataFrame, regions: DataFrame, genome: DataFrame,
     return profiles.relative_increase(profiles.observed(pairs, F.col("pos") - F.col("r_start")), profiles.expected(probabilities))
 
 
-def randomised_peak(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, n_random: int = 1000, seed: int = 42, centre: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(snr and peak of the observed profile, one row with the empirical p-value of its snr)."""
+def randomised_peak(
+    sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, n_random: int = 1000, seed: int = 42,
+    centre: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(snr and peak of the observed profile, one row with the empirical p-value of its snr).
+
+    The windows' probabilities are written once and read by the null model and the expected counts. A replicate's profile
+    is an array, and its spectrum a product with one matrix of angles.
+    """
     pairs = region_pairs(sites, regions)
-    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, 147, arrays=True).persist()  # read by the null model and, twice, for the expected counts
+    groups = profiles.window_groups(pairs)
+    probabilities = checkpoint(profiles.window_probabilities(groups, genome, sig, 147, arrays=True))
     exp = profiles.expected(probabilities)
-    real = profiles.relative_increase(profiles.densify(profiles.observed(pairs, F.col("pos") - F.col("r_start")), 1, 147, "observed"), exp)
-    spec = lambda signal, by=None: spectral.signal_to_noise(spectral.spectrum(signal, 0, 145, 5, 50, by), by, centre)
-    found = spec(real.select((F.col("position") - 1).alias("i"), F.col("rel_inc").alias("x")))
-    drawn = statistics.multinomial_null(probabilities, n_random, seed).join(exp, "position")
-    null = spec(drawn.select("replicate", (F.col("position") - 1).alias("i"), F.try_divide(F.col("n") - F.col("expected"), F.col("expected")).alias("x")), ["replicate"])
-    return found, statistics.empirical_p(null, found)
+    counts = profiles.densify(profiles.observed(pairs, F.col("pos") - F.col("r_start")), 1, 147, "observed")
+    real = profiles.relative_increase(counts, exp).select(F.lit(-1).cast("long").alias("replicate"), "position", F.col("rel_inc").alias("x"))
+    drawn = statistics.multinomial_null(probabilities, n_random, seed).join(F.broadcast(exp), "position")  # 147 rows
+    null = drawn.select("replicate", "position", F.try_divide(F.col("n") - F.col("expected"), F.col("expected")).alias("x"))
+    signals = real.unionByName(null).select("replicate", (F.col("position") - 1).alias("i"), "x")
+    spectra = spectral.spectra(signals, 0, 145, 5, 50, ["replicate"])
+    peaks = checkpoint(spectral.signal_to_noise(spectra, ["replicate"], centre))  # a row for each replicate
+    found = peaks.where("replicate < 0").drop("replicate")
+    return found, statistics.empirical_p(peaks.where("replicate >= 0"), found)
 
 
 def region_comparison(sites: DataFrame, genome: DataFrame, regions: DataFrame, whole: DataFrame, k: int = 3) -> DataFrame:

@@ -392,6 +392,52 @@ def mean_and_spread(spark, d):
     return statistics.mean_and_spread(tables.sites(spark, d), "strand", "reads").select("strand", r9("mean", 6).alias("mean"), r9("std", 6).alias("std"))
 
 
+#: Chromosomes that the query below leaves out.
+_LEFT_OUT = ("3", "17", "40")
+
+
+@query(
+    "enrichment_filters",
+    """, top AS (SELECT * FROM contexts ORDER BY pvalue, chrom, pos, strand, site_id LIMIT 9000),
+f AS (SELECT * FROM top WHERE CAST(chrom AS VARCHAR) NOT IN ('3', '17', '40') AND base IN ('G', 'A') AND pvalue < 0.03),
+r AS (SELECT *, CAST(count(*) OVER (ORDER BY pvalue) AS DOUBLE) AS rank, count(*) OVER () AS n FROM f),
+q AS (SELECT *, least(1.0, min(pvalue * n / rank) OVER (ORDER BY pvalue DESC)) AS q FROM r)
+SELECT site_id, chrom, pos, strand, round(pvalue, 9) AS pvalue, round(q, 9) AS q FROM q WHERE q <= 0.02""",
+)
+def enrichment_filters(spark, d):
+    """The sites left by top, excluded chromosomes, bases, threshold and multiple testing together, in that order."""
+    ties = ("chrom", "pos", "strand", "site_id")
+    rows = pipelines.selected(tables.sites(spark, d), tables.genome(spark, d), 0.03, ["G", "A"], 9000, 0.02, _LEFT_OUT, ties)
+    return rows.select("site_id", "chrom", "pos", "strand", r9("pvalue").alias("pvalue"), r9("q").alias("q"))
+
+
+@query(
+    "groove_profile",
+    """, o AS (SELECT pos - r_start - 74 AS position, count(*) AS observed FROM pairs GROUP BY 1), k AS (SELECT i, 10.3 * i AS w FROM range(1, 8) t(i)),
+f AS (SELECT position, observed, min(i * 2 + CASE WHEN abs(position) BETWEEN w - 2.575 AND w + 2.575 THEN 0 ELSE 1 END) AS m
+  FROM o LEFT JOIN k ON abs(position) >= w - 2.575 AND abs(position) <= w + 7.725 GROUP BY 1, 2)
+SELECT CASE WHEN m IS NULL THEN 'other' WHEN m % 2 = 0 THEN 'out' ELSE 'in' END AS face, count(*) AS positions, CAST(sum(observed) AS BIGINT) AS observed FROM f GROUP BY 1""",
+)
+def groove_profile(spark, d):
+    """Sites by the face of the helix that their place in the window has."""
+    rows = observed_profile(spark, d).select((F.col("position") - 74).alias("position"), "observed")
+    return rows.groupBy(spectral.groove(F.col("position")).alias("face")).agg(F.count(F.lit(1)).alias("positions"), F.sum("observed").alias("observed"))
+
+
+@query(
+    "zone_profile",
+    """, w AS (SELECT id, chrom, center - 500 AS ws, center + 501 AS we FROM regions WHERE center - 500 > 0),
+o AS (SELECT s.pos - w.ws - 501 AS position, count(*) AS observed FROM sites s JOIN w ON s.chrom = w.chrom AND s.pos - 1 < we AND ws < s.pos GROUP BY 1),
+z AS (SELECT *, CASE WHEN position BETWEEN -127 AND -73 OR position BETWEEN 73 AND 127 THEN 'linker' WHEN position BETWEEN -273 AND 273 THEN 'nucleosome' ELSE 'other' END AS zone FROM o)
+SELECT zone, count(*) AS positions, CAST(sum(observed) AS BIGINT) AS observed FROM z GROUP BY 1""",
+)
+def zone_profile(spark, d):
+    """Sites of the wide windows by nucleosome and linker zones around the centre."""
+    rows = profiles.observed(pairs(spark, d, 500, 501), F.col("pos") - F.col("r_start") - 501)
+    zone = spectral.zone(F.col("position"), [-200.0, 0.0, 200.0]).alias("zone")
+    return rows.groupBy(zone).agg(F.count(F.lit(1)).alias("positions"), F.sum("observed").alias("observed"))
+
+
 @query("significant_sites", " SELECT site_id, chrom, pos, strand, base, c3, c5 FROM contexts WHERE pvalue < 0.05 AND value > 0 AND base IN ('G', 'A') AND c3 NOT LIKE '%N%'")
 def significant_sites(spark, d):
     rows = contexts.annotate(significant(spark, d).where("value > 0"), tables.genome(spark, d)).where(F.col("base").isin("G", "A") & ~F.col("context_3").contains("N"))
