@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import contexts, intervals, profiles, reads, spectral, statistics, structures
+from ..operators import adapters, contexts, intervals, levels, profiles, reads, smoothing, spectral, statistics, structures
 from ..sources import readers
 from . import pipelines, tables
 
@@ -590,6 +590,71 @@ def adapter_filter(spark, d):
     return reads.without_adapter(tables.load(spark, d, "customer"), "xAUTOMOBILE", 9, ("c_mktsegment",)).select("c_custkey")
 
 
+@query(
+    "adapter_names",
+    """WITH n AS (SELECT DISTINCT p_name AS t FROM part), a AS (SELECT 'greet widget' AS a, 12 AS m),
+whole AS (SELECT DISTINCT t FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM n), (SELECT unnest(range(10, 15)) AS l), a WHERE levenshtein(a, substr(t, i, l)) <= 2),
+part_ AS (SELECT DISTINCT t FROM n, (SELECT unnest(range(4, 12)) AS k), (SELECT unnest(range(0, 15)) AS j), a WHERE levenshtein(right(a, k), left(t, j)) <= CAST(floor(0.2 * k) AS INTEGER)),
+o AS (SELECT t FROM n WHERE t NOT IN (SELECT t FROM whole) AND t NOT IN (SELECT t FROM part_))
+SELECT p_partkey FROM part JOIN o ON p_name = t""",
+)
+def adapter_names(spark, d):
+    """Parts whose name has no match of an adapter, with errors, as a whole anywhere or with a suffix at the start."""
+    return adapters.without_adapter(tables.load(spark, d, "part").select("p_partkey", "p_name"), "greet widget", ("p_name",), 0.2, 4).select("p_partkey")
+
+
+@query("adapter_alignment")
+def adapter_alignment(spark, d):
+    """An adapter cut off the whole texts, up to five times, with an error in ten letters; tests compare with alignments by brute force."""
+    rows = tables.load(spark, d, "documents").select("doc_id", "text")
+    cut = adapters.trimmed(rows, "the and of th", ("text",), 0.16, 9)
+    return cut.select("doc_id", F.col("rounds_text").alias("rounds"), F.length("trimmed_text").alias("left"))
+
+
+_TWO_SAMPLE = """WITH r AS (SELECT l_returnflag AS chrom, l_linestatus AS strand, l_suppkey AS pos, l_linenumber % 2 = 1 AS treated, l_quantity AS level FROM lineitem),
+c AS (SELECT chrom, strand, pos, level, CAST(count(*) FILTER (treated) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT treated) AS DOUBLE) AS b FROM r GROUP BY ALL),
+p AS (SELECT *, sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER s AS na, sum(b) OVER s AS nb FROM c
+  WINDOW w AS (PARTITION BY chrom, strand, pos ORDER BY level), s AS (PARTITION BY chrom, strand, pos)),
+t AS (SELECT chrom, strand, pos, max(na) AS n, max(nb) AS m, sum(a * (cb - b) + a * b / 2) AS u, max(abs(ca / na - cb / nb)) AS ks, sum((a + b) ** 3 - (a + b)) AS ties
+  FROM p WHERE na >= 20 AND nb >= 20 GROUP BY ALL),
+z AS (SELECT *, (u - n * m / 2) / sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))) AS z, ks * sqrt(n * m / (n + m)) AS x FROM t),
+k AS (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 51), lambda i: (CASE WHEN i % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * i * i * x * x))))) END AS p_ks FROM z),
+f AS (SELECT chrom, strand, pos + o AS pos, sum(-ln(greatest(p_ks, 2.3e-308))) AS h, count(*) AS nc FROM k, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) GROUP BY ALL)
+SELECT k.chrom, k.strand, k.pos, CAST(n AS BIGINT) AS n_treated, CAST(m AS BIGINT) AS n_control, u, round(z, 9) AS z, round(ks, 9) AS ks, round(p_ks, 9) AS p_ks, nc AS n_combined,
+  round(least(1.0, exp(-h) * list_sum(list_transform(range(0, 5), lambda i: CASE WHEN nc > i THEN h ** i / [1, 1, 2, 6, 24][i + 1] ELSE 0.0 END))), 9) AS p_combined
+FROM k JOIN f ON k.chrom = f.chrom AND k.strand = f.strand AND k.pos = f.pos"""
+
+
+@query("two_sample_sites", _TWO_SAMPLE)
+def two_sample_sites(spark, d):
+    """Two samples of reads at each site: rank sums, distances of their distributions, and these combined over five neighbouring sites."""
+    rows = tables.load(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("chrom"), F.col("l_linestatus").alias("strand"), F.col("l_suppkey").alias("pos"), (F.col("l_linenumber") % 2 == 1).alias("treated"), F.col("l_quantity").alias("level")
+    )
+    tested = levels.fisher(levels.two_sample(rows))
+    return tested.select("chrom", "strand", "pos", "n_treated", "n_control", "u", *[r9(c).alias(c) for c in ("z", "ks", "p_ks")], "n_combined", r9("p_combined").alias("p_combined"))
+
+
+@query("spline_profile")
+def spline_profile(spark, d):
+    """A smoothing spline through the relative increase, its penalty by cross-validation; tests compare with a dense solve."""
+    rows = pipelines.nucleosome_profile(tables.sites(spark, d), tables.regions(spark, d), tables.genome(spark, d), signature3(spark, d))
+    return smoothing.spline(rows.select(F.col("position").alias("i"), F.col("rel_inc").alias("x"))).select("i", r9("x", 6).alias("x"), r9("penalty", 3).alias("penalty"))
+
+
+@query(
+    "value_density",
+    """WITH s AS (SELECT event_type, count(*) AS n, stddev_samp(value) * CAST(count(*) AS DOUBLE) ** -0.2 AS h, min(value) AS lo, max(value) AS hi FROM events WHERE value IS NOT NULL GROUP BY 1),
+g AS (SELECT *, lo - 3 * h AS a, (hi + 3 * h - (lo - 3 * h)) / 199 AS step FROM s), p AS (SELECT *, unnest(range(200)) AS j FROM g)
+SELECT p.event_type, j, round(a + j * step, 6) AS at, round(sum(CASE WHEN abs(a + j * step - value) <= 5 * h THEN exp(-0.5 * power((a + j * step - value) / h, 2)) ELSE 0 END) / (max(n) * max(h) * sqrt(2 * pi())), 9) AS density
+FROM p JOIN events e ON e.event_type = p.event_type AND value IS NOT NULL GROUP BY p.event_type, j, a, step""",
+)
+def value_density(spark, d):
+    """The density of the values of each type of event."""
+    rows = smoothing.density(tables.load(spark, d, "events"), "value", ["event_type"])
+    return rows.select("event_type", "j", r9("at", 6).alias("at"), r9("density").alias("density"))
+
+
 #: Bases of a chromosome's ends in the telomere queries, as in the analyses they repeat.
 END = 30_000
 
