@@ -14,7 +14,13 @@ CHUNK, HALO, SHORT = 16_384, 1_100, 1_024
 
 
 def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: bool = False) -> DataFrame:
-    """genome (chrom, seq) in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk. A chromosome of any length is spread over many rows. binary: part as bytes, in which a place is found at once."""
+    """genome in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk.
+
+    genome has chrom and seq, or, from sources.ranges.fasta(), chrom, at, piece and len. A chromosome of any length is spread
+    over many rows. binary: part as bytes, in which a place is found at once.
+    """
+    if "piece" in genome.columns:
+        return _from_pieces(genome, chunk, halo, binary)
     n = F.length("seq")
     made = genome.where(n > 0).select("chrom", F.col("seq").cast("binary").alias("_b"), n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
     first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(1))
@@ -23,6 +29,21 @@ def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: boo
     return made.select("chrom", "chunk", first.alias("first"), (part if binary else part.cast("string")).alias("part"), "len")
 
 
+def _from_pieces(genome: DataFrame, chunk: int, halo: int, binary: bool) -> DataFrame:
+    """chunked() of pieces: each goes to the chunks that it reaches into, and a chunk joins its few."""
+    last = F.col("at") + F.length("piece") - 1
+    low = F.greatest(F.floor((F.col("at") - 1 - halo) / chunk), F.lit(0))
+    high = F.least(F.floor((last - 1 + halo) / chunk), F.floor((F.col("len") - 1) / chunk))
+    each = genome.where(F.length("piece") > 0).withColumn("chunk", F.explode(F.sequence(low, high)))
+    first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(1))
+    start, stop = F.greatest("at", first), F.least(last, (F.col("chunk") + 1) * chunk + halo)
+    cut = F.substring("piece", (start - F.col("at") + 1).cast("int"), (stop - start + 1).cast("int"))
+    joined = each.where(start <= stop).groupBy("chrom", F.col("chunk").cast("int").alias("chunk"))
+    joined = joined.agg(F.min(first).alias("first"), F.array_sort(F.collect_list(F.struct(start.alias("s"), cut.alias("t")))).alias("_p"), F.first("len").alias("len"))
+    part = F.array_join(F.col("_p.t"), "")
+    return joined.select("chrom", "chunk", "first", (part.cast("binary") if binary else part).alias("part"), "len")
+
+
 def with_sequence(rows: DataFrame, genome: DataFrame, pos, length, name: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     """rows with the bases pos .. pos + length - 1 of their chrom as name, at any length. Bases off the chromosome are missing; a start before the first base, or an unknown chrom, gives an empty string.
 
@@ -95,7 +116,10 @@ def genome_kmer_counts(genome: DataFrame, k: int, span_chromosomes: bool = False
     counts = kmer_counts(parts.select(F.expr("substring(part, _before + 1)").alias("seq")), k)
     if not span_chromosomes or k < 2:
         return counts
-    ends = genome.where(F.length("seq") > 0).select("chrom", F.left("seq", F.lit(k - 1)).alias("head"), F.right("seq", F.lit(k - 1)).alias("tail"))
+    whole = chunked(genome, CHUNK, k - 1)
+    at = {"head": F.when(F.col("chunk") == 0, F.left("part", F.lit(k - 1))), "tail": F.when(F.col("chunk") == F.floor((F.col("len") - 1) / CHUNK), F.right("part", F.lit(k - 1)))}
+    ends = whole.select("chrom", *[c.alias(name) for name, c in at.items()]).where("head IS NOT NULL OR tail IS NOT NULL")
+    ends = ends.groupBy("chrom").agg(F.max("head").alias("head"), F.max("tail").alias("tail"))
     seams = ordered.text_after(ends, "chrom", "head", k - 1)
     # A k-mer over an end starts in the tail, and needs k bases from there.
     seams = seams.select(F.concat("tail", "after").alias("seq"), F.length("tail").alias("t"))
