@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as S
-from .operators import contexts, intervals, profiles, spectral, statistics, structures
+from .operators import adapters, contexts, intervals, levels, profiles, spectral, statistics, structures
 from .plans import pipelines
-from .sources import readers, sinks
+from .sources import readers, sinks, store
 
 COMMANDS: dict[str, tuple[Callable[[SparkSession, argparse.Namespace], None], dict[str, dict]]] = {}
 
@@ -240,6 +240,26 @@ def read_sites(spark, a):
     sinks.write_bed(sites, f"{a.output}/sites.bed")
 
 
+@command("discard-adapters", pairs=str, adapter=str, rate=0.1, least=9)
+def discard_adapters(spark, a):
+    """A table of read pairs (seq1, seq2 and more) without those in which a read has the adapter, with errors."""
+    rows = spark.read.options(sep="\t", header=True).csv(a.pairs)
+    sinks.write_tsv(adapters.without_adapter(rows, a.adapter, ("seq1", "seq2"), a.rate, a.least), f"{a.output}/discarded_misligated.tsv")
+
+
+@command("two-sample", reads=str, least_reads=20, context=2)
+def two_sample(spark, a):
+    """Levels of treated and control reads (chrom, strand, pos, treated, level): tests by site, combined over neighbouring sites."""
+    rows = spark.read.schema("chrom string, strand string, pos long, treated boolean, level double").options(sep="\t", header=True).csv(a.reads)
+    sinks.write_tsv(levels.fisher(levels.two_sample(rows, a.least_reads), context=a.context), f"{a.output}/sites.tsv")
+
+
+@command("store-sites", damage=str, files=0)
+def store_sites(spark, a):
+    """A site table as a sorted store with an index; store.region() opens only the files that a region touches."""
+    store.write(intervals.site_intervals(readers.damage(spark, a.damage)), a.output, files=a.files or None)
+
+
 @command("context-domain", k=3, centre="")
 def context_domain(spark, a):
     """All contexts in the order of centre and flanks."""

@@ -494,6 +494,20 @@ def savgol_interior(spark, d):
     return spectral.savgol(ends, 9).join(inner, "i").select("i", r9("x", 5).alias("x"))
 
 
+_ENDS9 = "[" + ", ".join(f"[{', '.join(f'{w!r}' for w in spectral.savgol_weights(9, 3, at))}]" for at in range(9)) + "]"
+
+
+@query(
+    "savgol",
+    f""", s AS (SELECT i, x, CAST(row_number() OVER (ORDER BY i) AS INTEGER) AS r, CAST(count(*) OVER () AS INTEGER) AS n FROM hourly),
+p AS (SELECT i, r, least(greatest(r, 5), n - 4) AS mid FROM s)
+SELECT p.i, round(sum(s.x * ({_ENDS9})[p.r - mid + 5][s.r - mid + 5]), 5) AS x FROM p JOIN s ON s.r BETWEEN mid - 4 AND mid + 4 GROUP BY p.i""",
+)
+def savgol(spark, d):
+    """The whole signal, both ends by the polynomials of the first and the last window."""
+    return spectral.savgol(tables.hourly(spark, d), 9).select("i", r9("x", 5).alias("x"))
+
+
 @query("groove_phase", "WITH p AS (SELECT CAST(x AS BIGINT) AS position, abs(x) AS a FROM range(-80, 81) t(x)), k AS (SELECT i, 10.3 * i AS w FROM range(1, 8) t(i)), f AS (SELECT position, min(i * 2 + CASE WHEN a BETWEEN w - 2.575 AND w + 2.575 THEN 0 ELSE 1 END) AS m FROM p JOIN k ON a >= w - 2.575 AND a <= w + 7.725 GROUP BY 1) SELECT position, CASE WHEN m IS NULL THEN 'other' WHEN m % 2 = 0 THEN 'out' ELSE 'in' END AS face FROM p LEFT JOIN f USING (position)")
 def groove_phase(spark, d):
     return spark.range(-80, 81).select(F.col("id").alias("position"), spectral.groove(F.col("id")).alias("face"))

@@ -1,14 +1,16 @@
 """Commands from files to files, and the readers and filters that only they use."""
 
 import gzip
+import math
 import random
 
 import pytest
 
 from siteprofile import commands
+from siteprofile.functions.special import chi2_sf
 from siteprofile.operators import reads, statistics, structures
 from siteprofile.plans import pipelines
-from siteprofile.sources import readers
+from siteprofile.sources import readers, store
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +106,66 @@ def test_structures_and_the_rest(spark, data, tmp_path):
     assert table(spark, tmp_path / "s" / "residues.tsv").first().mean == pytest.approx(0.6)
 
 
+def test_commands_of_other_inputs(spark, data, tmp_path):
+    """Strand pairs, replicates, wide windows, randomisation, bases in nucleosomes, older tables, domains, adapters, levels, stores."""
+    run = lambda *words: commands.main([str(w) for w in words], spark)
+    seqs, sites = data["seqs"], data["sites"]
+    comp = str.maketrans("ACGT", "TGCA")
+    (tmp_path / "plus.bed").write_text("".join(f"{c}\t{p - 1}\t{p}\tx\t{i % 11}\n" for i, (c, p, s) in enumerate(sites) if s == "+"))
+    (tmp_path / "minus.bed").write_text("".join(f"{c}\t{p - 1}\t{p}\tx\t{i % 11}\n" for i, (c, p, s) in enumerate(sites) if s == "-"))
+    run("enrich-strands", "--plus", tmp_path / "plus.bed", "--minus", tmp_path / "minus.bed", "--genome", data["genome"], "--quantile", 0.5, "--output", tmp_path / "s")
+    kept = table(spark, tmp_path / "s" / "damage_most_sig_strands.tsv").collect()
+    counts = sorted(i % 11 for i in range(len(sites)) if i % 11)
+    assert len(kept) == sum(v > counts[len(counts) // 2] for v in counts) and {r.strand for r in kept} == {"+", "-"}
+    for r in kept[:20]:
+        q = seqs[r.chrom][r.pos - 2 : r.pos + 1]
+        assert r.context_3 == (q if r.strand == "+" else q.translate(comp)[::-1])
+    for n in (1, 2):
+        (tmp_path / f"r{n}.bed").write_text("".join(f"{c}\t{p - 1}\t{p}\tG\t{s}\n" for c, p, s in sites[: 300 * n]))
+    run("enrich-replicates", "--replicates", tmp_path / "r1.bed", tmp_path / "r2.bed", "--genome", data["genome"], "--output", tmp_path / "r")
+    assert table(spark, tmp_path / "r" / "damage_most_sig_replicates.tsv").count() == len(set(sites[:600]))
+    signature = tmp_path / "r" / "triplet_normalized_replicates.tsv"
+    common = ("--damage", data["damage"], "--nucleosomes", data["nucleosomes"], "--genome", data["genome"])
+    run("zoom-out", *common, "--signature", signature, "--output", tmp_path / "z")
+    wide = table(spark, tmp_path / "z" / "exp_obs_relinc.tsv").collect()
+    assert min(r.Position for r in wide) >= -500 and max(r.Position for r in wide) <= 500 and sum(r.Observed_damage for r in wide) > 0
+    assert table(spark, tmp_path / "z" / "peak_snr.tsv").first().snr > 0
+    run("randomise", *common, "--signature", signature, "--n-random", 30, "--output", tmp_path / "n")
+    peak = table(spark, tmp_path / "n" / "peak_snr_pval_data.tsv").first()
+    assert 5 <= peak.peak <= 50 and 1 / 31 - 1e-9 <= peak["p-value"] <= 1
+    run("nucleosome-bases", *common, "--study", "G", "--output", tmp_path / "b")
+    bases = table(spark, tmp_path / "b" / "enrichment.tsv").collect()
+    assert 0 < len(bases) <= 147 and all(1 <= r.position <= 147 for r in bases)
+    (tmp_path / "new.tsv").write_text("chrom\tpos\tbase\tstrand\tmer\tmin_coverage\tuntreated_freq\ttreated_freq\tvalue\n")
+    run("convert", "--old", data["old"], "--new", tmp_path / "new.tsv", "--output", tmp_path / "v")
+    made = table(spark, tmp_path / "v" / "damage_most_sig.tsv").first()
+    assert (made.chrom, made.pos, made.base, made.mer, made.value) == ("chrI", 5, "G", "-", 0.01)
+    run("context-domain", "--k", 3, "--centre", "G", "--output", tmp_path / "d")
+    domain = [r.context for r in table(spark, tmp_path / "d" / "contexts.tsv").collect()]
+    assert len(domain) == 16 and all(c[1] == "G" for c in domain)
+    (tmp_path / "pairs.tsv").write_text("id\tseq1\tseq2\n1\tGATTACAGCAAAA\tCCCC\n2\tCCCCC\tTTTGATTACGCTT\n3\tAAAAAA\tCCCCCC\n")
+    run("discard-adapters", "--pairs", tmp_path / "pairs.tsv", "--adapter", "GATTACAGC", "--rate", 0.12, "--output", tmp_path / "a")
+    assert [r.id for r in table(spark, tmp_path / "a" / "discarded_misligated.tsv").collect()] == [3]
+    levels = "".join(f"chrI\t+\t{p}\t{str(i % 2 == 0).lower()}\t{i % 7 + (3 if i % 2 else 0)}\n" for p in (5, 6) for i in range(60))
+    (tmp_path / "levels.tsv").write_text("chrom\tstrand\tpos\ttreated\tlevel\n" + levels)
+    run("two-sample", "--reads", tmp_path / "levels.tsv", "--output", tmp_path / "t")
+    tested = table(spark, tmp_path / "t" / "sites.tsv").collect()
+    assert {r.pos for r in tested} == {5, 6} and all(r.p_combined < r.p_ks < 0.05 and r.n_combined == 2 for r in tested)
+    run("store-sites", "--damage", data["damage"], "--files", 5, "--output", tmp_path / "store")
+    near = store.region(spark, str(tmp_path / "store"), "chrI", 1000, 1200)
+    assert near.count() == sum(c == "chrI" and 1000 < p <= 1200 for c, p, _ in sites) and len(near.inputFiles()) < 5
+
+
+def test_known_p_values(spark):
+    """Upper tails of the chi-square distribution with one degree of freedom, from tables."""
+    known = [(0.0, 1.0), (0.455, 0.5), (2.706, 0.1), (3.841, 0.05), (6.635, 0.01), (10.828, 0.001)]
+    rows = spark.createDataFrame([(g,) for g, _ in known], "g double").select("g", chi2_sf("g").alias("p")).collect()
+    assert {r.g: r.p for r in rows} == {g: pytest.approx(p, rel=3e-3) for g, p in known}
+    one = statistics.g_test(spark.createDataFrame([(60, 40.0), (50, 50.0), (0, 10.0)], "observed long, expected double")).collect()
+    assert [r.g for r in one] == pytest.approx([2 * (60 * math.log(1.2) + 40 * math.log(0.8)), 0, 20 * math.log(2)])
+    assert one[0].p_value == pytest.approx(0.0448, abs=5e-4) and one[1].p_value == 1.0
+
+
 def test_small_readers_and_filters(spark, data, tmp_path):
     old = table(spark, data["old"])
     new = pipelines.detector_schema(old, ["chrom", "pos", "base", "strand", "mer", "min_coverage", "untreated_freq", "treated_freq", "value"])
