@@ -46,19 +46,20 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def simhashes(docs: DataFrame) -> DataFrame:
-    """(id, rid, pos, part, line, n_words, sim) for each line with a word: where it stands, the hash of the normalised line, the number of its different words and their SimHash.
+    """(id, rid, pos, part, line, n_words, sim) for each line with a word: where it stands, the hash of the normalised line, the number of its words and their SimHash.
 
     Each word's 64-bit hash is split over 16 counters of four 16-bit lanes, so one aggregation sums the bits of all words of
-    a line; a bit of the SimHash is set if more than half of the words have it. A line of more than CHUNK different words
-    has a row, and a SimHash, for each part of CHUNK.
+    a line; a bit of the SimHash is set if more than half of the words have it, a word that occurs often counting as often.
+    A line of more than CHUNK words has a row, and a SimHash, for each part of CHUNK.
     """
     lines = _documents(docs).select("_id", "_rid", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "_line"))
     norm = lines.select("_id", "_rid", "pos", normal(F.col("_line")).alias("_line")).where(F.length(F.translate("_line", " \t\x0b\x0c\r", "")) > 0)
-    split = norm.select("_id", "_rid", "pos", F.xxhash64("_line").alias("line"), F.posexplode(F.array_distinct(F.split("_line", " "))).alias("_i", "_word"))
-    words = split.select("_id", "_rid", "pos", "line", F.floor(F.col("_i") / CHUNK).cast("int").alias("part"), F.xxhash64("_word").alias("_x"))
+    each = norm.select("_id", "_rid", "pos", F.xxhash64("_line").alias("line"), F.split("_line", " ").alias("_words"))
+    split = each.select("_id", "_rid", "pos", "line", F.size("_words").alias("_len"), F.posexplode("_words").alias("_i", "_word"))
+    words = split.select("_id", "_rid", "pos", "line", "_len", F.floor(F.col("_i") / CHUNK).cast("int").alias("part"), F.xxhash64("_word").alias("_x"))
     lane = F.lit(0x0001000100010001)
     sums = [F.sum(F.shiftrightunsigned("_x", j).bitwiseAND(lane)).alias(f"_s{j}") for j in range(16)]
-    counted = words.groupBy("_id", "_rid", "pos", "line", "part").agg(*sums, F.count(F.lit(1)).alias("_n"))
+    counted = words.groupBy("_id", "_rid", "pos", "line", "part").agg(*sums, F.count(F.lit(1)).alias("_n"), F.first("_len").alias("_len"))
     # In each lane, 2^14 less the least majority is added: bit 14 is then set where the majority is reached.
     majority = F.floor(F.col("_n") / 2) + 1
     counted = counted.withColumn("_add", (F.lit(1 << 14) - majority) * lane)
@@ -66,7 +67,7 @@ def simhashes(docs: DataFrame) -> DataFrame:
     for j in range(16):
         reached = (F.col(f"_s{j}") + F.col("_add")).bitwiseAND(F.lit(0x4000400040004000))
         sim = sim.bitwiseOR(F.shiftrightunsigned(reached, 14 - j) if j < 15 else F.shiftleft(reached, 1))
-    return counted.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", "part", "line", F.col("_n").alias("n_words"), sim.alias("sim"))
+    return counted.select(F.col("_id").alias("id"), F.col("_rid").alias("rid"), "pos", "part", "line", F.col("_len").alias("n_words"), sim.alias("sim"))
 
 
 def block_keys(sim: Column) -> Column:
@@ -225,7 +226,7 @@ def deduplicate(docs: DataFrame, by_simhash: bool = True) -> DataFrame:
 
     Lines that are equal when normalised, and lines linked directly or over others, form a group; of each group the first
     occurrence stays, by doc_id (null first), row hash and place. Lines without a word stay. Two lines of LEAST_WORDS
-    different words or more link if their SimHashes over the different words differ in at most MAX_BITS bits and their edit
+    words or more link if their SimHashes over the words differ in at most MAX_BITS bits and their edit
     similarity, word by word (1 - distance / longer length), is at least SIMILARITY; all such pairs are found. Without
     by_simhash all pairs of that edit similarity are, which on whole tables costs several times as much.
 
