@@ -73,14 +73,6 @@ def test_white_space(spark):
     assert {r.row.doc_id: r.n_removed for r in out} == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
-def test_lines_of_few_different_words(spark):
-    """A line's words count, not its different ones: lines that repeat a word link like others."""
-    base = ["ab"] * 9
-    rows = [(1, " ".join([*base, "cd"])), (2, " ".join([*base, "ef"])), (3, "gh gh gh ij"), (4, "gh gh gh kl")]
-    out = {r.row.doc_id: r.n_removed for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {1: 0, 2: 1, 3: 0, 4: 0}
-
-
 def test_reach_of_simhash(spark):
     """Which of the copies of a line with some words replaced link to it: nearly all of long lines with one new word, few near the least similarity."""
     rng = random.Random(9)
