@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -266,6 +267,38 @@ def context_domain(spark, a):
     sinks.write_tsv(S.contexts(spark, a.k, a.centre or None).orderBy("ordinal"), f"{a.output}/contexts.tsv")
 
 
+def _marker(spark: SparkSession, output: str):
+    """The file that says that a step has ended well, and the file system that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/_done")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@command("steps", file=str, resume=0)
+def steps(spark, a):
+    """Commands one after the other, from a JSON list of objects with name, command, options and on (false: left out).
+
+    A step writes below output/name; {output} in an option stands for output, so that a step reads what another wrote. With
+    resume, steps that ended well before are not run again.
+    """
+    listed = json.loads(spark.read.text(a.file, wholetext=True).first()[0])
+    unknown = {s["command"] for s in listed} - set(COMMANDS)
+    if unknown or len({s["name"] for s in listed}) < len(listed):
+        raise ValueError(f"unknown commands {sorted(unknown)}, or a name that stands twice")
+    for step in listed:
+        output = f"{a.output}/{step['name']}"
+        path, system = _marker(spark, output)
+        if not step.get("on", True) or a.resume and system.exists(path):
+            continue
+        if a.resume and system.exists(path.getParent()):  # what a step left behind that did not end
+            system.delete(path.getParent(), True)
+        words = [step["command"], "--output", output]
+        for key, value in step.get("options", {}).items():
+            each = [str(v).replace("{output}", a.output) for v in (value if isinstance(value, list) else [value])]
+            words += [f"--{key}", *each]
+        main(words, spark)
+        system.create(path).close()
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="siteprofile", description=__doc__)
     each = top.add_subparsers(dest="command", required=True)

@@ -89,9 +89,14 @@ def chunk_counts(seqs: DataFrame, k: int = 3) -> DataFrame:
     return seqs.select(F.explode(S.chunks(F.col("seq"), k)).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def per_base_enrichment(obs: DataFrame, comp: DataFrame, base: str, shift: int = 0) -> DataFrame:
-    """(position, norm, norm_2): observed over the windows' number of the base at position - shift, and its share of the sum."""
-    ref = comp.where(F.col("kmer") == base).select((F.col("offset") + shift).alias("position"), F.col("n").alias("_n"))
+def per_base_enrichment(obs: DataFrame, comp: DataFrame, base: str, shift: int = 0, width: int | None = None) -> DataFrame:
+    """(position, norm, norm_2): observed over the windows' number of the base at position - shift, and its share of the sum.
+
+    width: positions of obs are counted from the right edge of windows of so many bases, and so are those of the base; without
+    it the base's are counted from the left whatever obs does, as the analyses have it.
+    """
+    at = F.col("offset") if width is None else width - 1 - F.col("offset")
+    ref = comp.where(F.col("kmer") == base).select((at + shift).alias("position"), F.col("n").alias("_n"))
     norm = obs.join(ref, "position").select("position", (F.col("observed") / F.col("_n")).alias("norm"))
     return norm.withColumn("norm_2", F.col("norm") / F.sum("norm").over(Window.partitionBy()))  # one row per window position
 

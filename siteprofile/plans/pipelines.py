@@ -44,11 +44,21 @@ def region_pairs(sites: DataFrame, regions: DataFrame, left: int = 73, right: in
     return intervals.overlap_join(intervals.site_intervals(sites), windows, left_longest=1, right_longest=left + right)
 
 
-def nucleosome_profile(sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, left: int = 73, right: int = 74, offset: int = 0) -> DataFrame:
-    """position, observed, expected, rel_inc over the windows; left = 500 and right = 501 zoom out."""
+def nucleosome_profile(
+    sites: DataFrame, regions: DataFrame, genome: DataFrame, sig: DataFrame, left: int = 73, right: int = 74, offset: int = 0,
+    mirror_minus: bool = False,
+) -> DataFrame:
+    """position, observed, expected, rel_inc over the windows; left = 500 and right = 501 zoom out.
+
+    Minus-strand windows are read as their reverse complement, so their expected positions run backwards. mirror_minus: the
+    observed ones do too; else they count from the left on both strands, as the analyses have it.
+    """
     pairs = region_pairs(sites, regions, left, right)
     probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, left + right, 3, offset, arrays=True)
-    return profiles.relative_increase(profiles.observed(pairs, F.col("pos") - F.col("r_start")), profiles.expected(probabilities))
+    position = F.col("pos") - F.col("r_start")
+    if mirror_minus:
+        position = F.when(F.col("strand") == "-", left + right + 1 - position).otherwise(position)
+    return profiles.relative_increase(profiles.observed(pairs, position), profiles.expected(probabilities))
 
 
 def randomised_peak(
@@ -89,12 +99,21 @@ def region_comparison(sites: DataFrame, genome: DataFrame, regions: DataFrame, w
     return sums.crossJoin(length).select("class", F.try_divide("_d", F.col("_v") * F.col("_w")).alias("cosine"))
 
 
-def transcript_profile(sites: DataFrame, transcripts: DataFrame, genome: DataFrame, base: str = "G", half: int = 650, site: str = "tss") -> DataFrame:
-    """rel_pos, count, norm_count, normalized of the sites around transcript starts (site tss) or ends (tts) over the base's count there. transcripts has id, chrom, tss, start, end, strand (1 or -1)."""
+def transcript_profile(
+    sites: DataFrame, transcripts: DataFrame, genome: DataFrame, base: str = "G", half: int = 650, site: str = "tss", stranded: bool = False
+) -> DataFrame:
+    """rel_pos, count, norm_count, normalized of the sites around transcript starts (site tss) or ends (tts) over the base's count there.
+
+    transcripts has id, chrom, tss, start, end, strand (1 or -1). stranded: of transcripts on the minus strand the
+    complement's bases are counted; else those of the plus strand for all, as the analyses have it.
+    """
     anchor = F.col("tss") if site == "tss" else F.when(F.col("strand") == 1, F.col("end")).otherwise(F.col("start"))
-    windows = intervals.windows(transcripts.withColumn("class", F.lit(site)), anchor, half, half, 0).select("id", "chrom", "center", "start", "end")
-    pairs = intervals.overlap_join(intervals.site_intervals(sites), windows, left_longest=1, right_longest=2 * half)
-    comp = profiles.composition(profiles.window_sequences(windows, genome, 2 * half))
+    windows = intervals.windows(transcripts.withColumn("class", F.lit(site)), anchor, half, half, 0).select("id", "chrom", "center", "start", "end", F.col("strand").alias("own_strand"))
+    pairs = intervals.overlap_join(intervals.site_intervals(sites), windows.drop("own_strand"), left_longest=1, right_longest=2 * half)
+    seqs = profiles.window_sequences(windows, genome, 2 * half)
+    if stranded:
+        seqs = seqs.withColumn("seq", F.when(F.col("own_strand") == -1, F.translate("seq", "ACGT", "TGCA")).otherwise(F.col("seq")))
+    comp = profiles.composition(seqs)
     background = comp.where(F.col("kmer") == base).select((F.col("offset") - (half - 1)).alias("rel_pos"), F.col("n").alias("norm_count"))
     return profiles.anchored(pairs, F.col("center"), background)
 

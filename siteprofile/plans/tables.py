@@ -12,10 +12,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table dealt to all cores where its files are read by fewer tasks than there are; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, lang, seq: the letters of each whole text, as bases."""
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), LETTERS, TO)
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), "lang", seq.alias("seq"))
+    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]+", "")), LETTERS, TO)
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("chrom"), "lang", seq.alias("seq"))
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

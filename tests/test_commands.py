@@ -1,6 +1,7 @@
 """Commands from files to files, and the readers and filters that only they use."""
 
 import gzip
+import json
 import math
 import random
 
@@ -156,6 +157,33 @@ def test_commands_of_other_inputs(spark, data, tmp_path):
     assert near.count() == sum(c == "chrI" and 1000 < p <= 1200 for c, p, _ in sites) and len(near.inputFiles()) < 5
 
 
+def test_steps_with_switches_and_resume(spark, data, tmp_path):
+    listed = [
+        {"name": "sig", "command": "enrich-caller", "options": {"input": data["caller"], "genome": data["genome"], "bases": ["A", "C", "G", "T"]}},
+        {"name": "off", "command": "residues", "on": False, "options": {"table": "nowhere"}},
+        {"name": "same", "command": "compare", "options": {"left": "{output}/sig/triplet_normalized_caller.tsv", "right": "{output}/sig/triplet_normalized_caller.tsv"}},
+    ]
+    plan, out = tmp_path / "steps.json", tmp_path / "run"
+
+    def run(*more):
+        plan.write_text(json.dumps(listed))
+        commands.main(["steps", "--file", str(plan), "--output", str(out), *more], spark)
+
+    broken = listed.pop()
+    listed.append({"name": "bad", "command": "residues", "options": {"table": "nowhere"}})
+    with pytest.raises(Exception, match="nowhere"):
+        run()
+    assert (out / "sig" / "_done").exists() and not (out / "off").exists() and not (out / "bad" / "_done").exists()
+    before = (out / "sig" / "_done").stat().st_mtime_ns
+    listed[-1] = broken
+    run("--resume", "1")
+    assert (out / "sig" / "_done").stat().st_mtime_ns == before
+    assert abs(table(spark, out / "same" / "cosine.tsv").first().cosine - 1) < 1e-9
+    listed.append({"name": "same", "command": "compare"})
+    with pytest.raises(ValueError):
+        run("--resume", "1")
+
+
 def test_known_p_values(spark):
     """Upper tails of the chi-square distribution with one degree of freedom, from tables."""
     known = [(0.0, 1.0), (0.455, 0.5), (2.706, 0.1), (3.841, 0.05), (6.635, 0.01), (10.828, 0.001)]

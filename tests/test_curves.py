@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siteprofile.operators import adapters, levels, smoothing, spectral
+from siteprofile.operators import adapters, levels, profiles, smoothing, spectral
 from siteprofile.plans import pipelines
 
 READS = "chrom string, strand string, pos long, treated boolean, level double"
@@ -186,6 +186,35 @@ def test_spectra_are_spectrum_by_a_product(spark):
         assert got[key] == pytest.approx(want[key], rel=1e-6, abs=1e-6), key
 
 
+def test_flags_of_strands(spark):
+    """Minus-strand sites mirrored in a profile, complemented backgrounds of transcripts, positions counted from the right."""
+    genome = spark.createDataFrame([("c", "GGGGGACGTT" * 40)], "chrom string, seq string")
+    sites = spark.createDataFrame([("c", 160, "+"), ("c", 160, "-"), ("c", 175, "-")], "chrom string, pos long, strand string")
+    regions = spark.createDataFrame([(1, "c", 150, "x")], "id long, chrom string, center long, class string")
+    contexts_ = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT"]
+    sig = spark.createDataFrame([(c, 1.0, 1 / 64) for c in contexts_], "context string, ref_norm double, total_norm double")
+    seen = {}
+    for mirror in (False, True):
+        rows = pipelines.nucleosome_profile(sites, regions, genome, sig, mirror_minus=mirror).collect()
+        seen[mirror] = {r.position: r.observed for r in rows}
+    assert seen[False] == {83: 2, 98: 1} and seen[True] == {83: 1, 148 - 83: 1, 148 - 98: 1}
+    transcripts = spark.createDataFrame([(1, "c", 150, 150, 190, 1), (2, "c", 250, 210, 250, -1)], "id long, chrom string, tss long, start long, end long, strand int")
+    counts = {}
+    for stranded in (False, True):
+        rows = pipelines.transcript_profile(sites, transcripts, genome, "G", 20, stranded=stranded).collect()
+        counts[stranded] = {r.rel_pos: r.norm_count for r in rows}
+    seq = "GGGGGACGTT" * 40
+    for rel, n in counts[False].items():
+        assert n == sum(seq[c + rel - 2] == "G" for c in (150, 250))  # windows are read one base before, as the analyses have it
+    for rel, n in counts[True].items():
+        assert n == (seq[148 + rel] == "G") + (seq[248 + rel] == "C")
+    obs = spark.createDataFrame([(p, 10) for p in range(4)], "position long, observed long")
+    comp = spark.createDataFrame([(o, "G", o + 1) for o in range(4)], "offset long, kmer string, n long")
+    plain = {r.position: r.norm for r in profiles.per_base_enrichment(obs, comp, "G").collect()}
+    right = {r.position: r.norm for r in profiles.per_base_enrichment(obs, comp, "G", width=4).collect()}
+    assert plain == {p: 10 / (p + 1) for p in range(4)} and right == {p: 10 / (4 - p) for p in range(4)}
+
+
 def test_selected_filters_in_order(spark):
     """The top comes first, then chromosomes and bases, then the threshold, and the correction sees what is left."""
     genome = spark.createDataFrame([("a", "GATC" * 20), ("b", "GATC" * 20)], "chrom string, seq string")
