@@ -15,22 +15,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that stand in an earlier one; those that lose their last word go. Null texts stay."""
+    """The documents without lines that stand in an earlier one; those that lose their last word go. Null texts stay; long texts and lines are read whole; an empty table gives none; columns of any name are kept."""
     return line_dedup.rewrite(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the smallest doc_id; rows with null doc_id stay."""
+    """One document of each near-duplicate group, the smallest doc_id; rows with null doc_id stay. Null and empty texts link with nothing; long texts are read whole; an empty table gives none; columns of any name are kept."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: rows as often as they are taken, with their columns. Null source: a source of its own."""
+    """The mix of sources: rows as often as they are taken, with their columns. Null source: a source of its own. Null and empty texts have size 0; long texts count whole; an empty table gives none; columns of any name are kept."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end token alone."""
+    """The pieces of all documents in sequences of 4096 tokens; a null or empty text is its end token alone. Long texts go over as many sequences as they need; an empty table gives none."""
     return packing.pack(docs, tokenizer_path())
 
 

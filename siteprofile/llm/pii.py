@@ -113,7 +113,8 @@ def discover(found: DataFrame) -> DataFrame:
     their contexts: a pattern's confidence in a kind is the sum of the scores of its instances of the kind over the number
     of all its instances plus 2. Patterns with MIN_SEEDS such instances and a confidence of CONFIDENCE discover the
     candidates of their type (names for e-mail, numbers for the others); a discovered instance has its best pattern's
-    confidence as score and is known in the next round, at all its places. It ends when a round discovers nothing new.
+    confidence as score and is known in the next round, at all its places. It ends when a round discovers nothing new,
+    after ROUNDS rounds at the latest.
     """
     near = found.where("kind is not null")
     seeds = contexts(near.where(~F.col("kind").isin(*CANDIDATES))).select("pattern", "kind", F.col("match").alias("instance")).distinct()

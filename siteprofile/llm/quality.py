@@ -84,8 +84,8 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     lines); its clean documents stay. keep: the columns of the input to carry (all, if None); counts are written once and
     both the host totals and the verdicts read them.
 
-    Null text: no words, so it fails. Null host: a host of its own. Repeated rows are judged one by one. Empty table: no
-    rows. Clashing columns stay apart, inside row.
+    Null text: no words, so it fails. Null host: a host of its own. Repeated rows are judged one by one, very long texts
+    whole. Empty table: no rows. Clashing columns stay apart, inside row.
     """
     counts = features(docs)
     if keep is not None:

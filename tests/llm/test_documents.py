@@ -1,5 +1,6 @@
 """Mixing, sharding, quality, packing and the Jaccard join against brute force."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -48,6 +49,32 @@ def test_mixing(spark, docs, no_docs):
     assert mixing.plan(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(("n", "tolerance"), [(8, 0.001), (3, 0.2), (5, 0.01)])
+def test_sharding_against_sorting(spark, n, tolerance):
+    """Shards are cuts of the sorted rows, each where the bytes before it are nearest to its share or within the tolerance; slots number a shard's rows."""
+
+    rng = random.Random(n)
+    texts = ["", None, "é" * 40_000, *("x" * rng.choice([0, 3, 50, 2_000]) for _ in range(900))]
+    ids = rng.sample(range(-(10**12), 10**12), len(texts))
+    got = {r.row.doc_id: r for r in sharding.shard(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5), n, tolerance).collect()}
+    ordered = sorted(zip(ids, texts, strict=True))
+    sizes = [len((t or "").encode()) + 1 for _, t in ordered]
+    total, slack = sum(sizes), max(1, int(tolerance * sum(sizes) / n))
+    before = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    shards = [got[i].shard for i, _ in ordered]
+    assert shards == sorted(shards) and set(shards) <= set(range(n))
+    for k in range(1, n):
+        cut = next((i for i, s in enumerate(shards) if s >= k), len(shards))
+        target = round(total * k / n)
+        nearest = min(abs(b - target) for b in before)
+        assert abs(before[cut] - target) <= max(slack, nearest)
+    seen: dict[int, int] = {}
+    for (i, text), size in zip(ordered, sizes, strict=True):
+        r = got[i]
+        assert (r["size"], r.text_crc32, r.slot) == (size, zlib.crc32((text or "").encode()), seen.get(r.shard, 0))
+        seen[r.shard] = r.slot + 1
+
+
 def test_sharding(spark, docs, no_docs, tmp_path):
     rows = docs.collect()
     for n, data in ((8, docs), (3, docs), (2, docs.union(docs.where("doc_id = 10")))):
