@@ -30,8 +30,11 @@ CHUNK = 16_000
 
 
 def normal(line: Column) -> Column:
-    """A line in lower case, its words parted by one space each."""
-    plain = F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))
+    """A line in lower case, its words parted by one space each. Letters are looked at one by one only where a search finds other white space than spaces."""
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(line, F.lit(c))
+    plain = F.trim(F.when(other, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line))
     return F.lower(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
@@ -53,7 +56,9 @@ def simhashes(docs: DataFrame) -> DataFrame:
     has a row, and a SimHash, for each part of CHUNK.
     """
     lines = _documents(docs).select("_id", "_rid", F.posexplode(F.split("_text", "\n", -1)).alias("pos", "_line"))
-    norm = lines.select("_id", "_rid", "pos", normal(F.col("_line")).alias("_line")).where(F.length(F.translate("_line", " \t\x0b\x0c\r", "")) > 0)
+    # Asked of the line as it is, else Spark would normalise it once for the filter and once more for its words.
+    worded = lines.where(F.ltrim("_line", F.lit(" \t\x0b\x0c\r")) != "")
+    norm = worded.select("_id", "_rid", "pos", normal(F.col("_line")).alias("_line"))
     split = norm.select("_id", "_rid", "pos", F.xxhash64("_line").alias("line"), F.posexplode(F.array_distinct(F.split("_line", " "))).alias("_i", "_word"))
     words = split.select("_id", "_rid", "pos", "line", F.floor(F.col("_i") / CHUNK).cast("int").alias("part"), F.xxhash64("_word").alias("_x"))
     lane = F.lit(0x0001000100010001)
