@@ -175,12 +175,20 @@ def coverage_signal(wide: DataFrame, width: int = 400, order: str = "row") -> Da
 def islands(values: DataFrame, part: list[str], value: str, block: int = ordered.BLOCK) -> DataFrame:
     """Runs of consecutive whole numbers in each part: first, last, n. Values that repeat count once.
 
-    Runs are found inside blocks of the number, so a part of any length is spread over many tasks. Of each block only a run
-    at its first and one at its last number can go on in the next; these, two a block, are joined by a window over the part.
+    Runs are found inside blocks of the number, so a part of any length is spread over many tasks. Each block is sorted once and
+    read in that order by windows that look one row back or ahead, so a task holds what its sort does and no table of runs. Of
+    each block only a run at its first and one at its last number can go on in the next; these, two a block, are joined by a
+    window over the part.
     """
-    rank = F.row_number().over(Window.partitionBy(*part, "_block").orderBy(value))
-    grouped = values.select(*part, value).distinct().withColumn("_block", F.floor(F.col(value) / block)).withColumn("_g", F.col(value) - rank)
-    runs = grouped.groupBy(*part, "_block", "_g").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*part, "_block").orderBy(value)
+    near = lambda f: f(value).over(inside)
+    blocked = values.select(*part, value).where(F.col(value).isNotNull()).withColumn("_block", F.floor(F.col(value) / block))
+    once = blocked.withColumn("_before", near(F.lag)).where(F.col("_before").isNull() | (F.col("_before") != F.col(value)))
+    marked = once.withColumn("_after", near(F.lead))
+    marked = marked.withColumn("_first", F.coalesce(F.col("_before") != F.col(value) - 1, F.lit(True))).withColumn("_last", F.coalesce(F.col("_after") != F.col(value) + 1, F.lit(True)))
+    bounds = marked.where(F.col("_first") | F.col("_last"))
+    runs = bounds.withColumn("last", F.when(F.col("_last"), F.col(value)).otherwise(near(F.lead))).where("_first").withColumnRenamed(value, "first")
+    runs = runs.select(*part, "_block", "first", "last", (F.col("last") - F.col("first") + 1).cast("long").alias("n"))
     low = F.col("_block") * block
     at_end = (F.col("first") == low) | (F.col("last") == low + block - 1)
     w = Window.partitionBy(*part).orderBy("first")
