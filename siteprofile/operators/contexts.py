@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions import arrays
 from ..functions import sequence as S
 from . import ordered
 
@@ -100,10 +106,50 @@ def annotate(sites: DataFrame, genome: DataFrame, lengths=(3, 5)) -> DataFrame:
     return rows.drop("_w")
 
 
+#: Different k-mers that a task holds before it passes on their counts.
+HELD = 200_000
+
+
+def _labels(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, list[tuple]]:
+    """A number for each row, by its first n columns, and what the numbers stand for."""
+    number = np.zeros(batch.num_rows, "i8")
+    for column in batch.columns[:n]:
+        coded = column.dictionary_encode("encode")
+        number = np.unique(number * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, first = np.unique(number, return_index=True)
+    return number, [tuple(column[int(r)].as_py() for column in batch.columns[:n]) for r in first]
+
+
 def kmer_counts(seqs: DataFrame, k: int, by: list[str] | None = None, seq: str = "seq") -> DataFrame:
-    """(by..., kmer, n) over all sequences, step 1; k-mers do not span rows."""
+    """(by..., kmer, n) over all sequences of ASCII letters, step 1; k-mers do not span rows. Each task counts its k-mers by number, in the bytes of a batch; only the counts are shuffled."""
     keys = by or []
-    return seqs.select(*keys, F.explode(S.kmers(F.col(seq), k)).alias("kmer")).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    rows = seqs.select(*keys, F.col(seq).cast("binary").alias("_seq"))
+    kinds = StructType([*rows.select(*keys).schema, StructField("kmer", StringType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, int] = {}
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*((*key, n) for key, n in held.items()), strict=True)) or [()] * len(kinds.names)
+            types = [*(f.type for f in given.schema.remove(len(keys))), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], kinds.names)
+
+        given = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = batch
+            number, values = _labels(batch, len(keys))
+            for label, kmer, n in zip(*arrays.kmer_table(batch.column(len(keys)), k, number), strict=True):
+                key = (*values[label], kmer)
+                held[key] = held.get(key, 0) + int(n)
+            if len(held) > HELD:
+                yield told()
+                held.clear()
+        if held:
+            yield told()
+
+    return rows.mapInArrow(run, kinds).groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
 def genome_kmer_counts(genome: DataFrame, k: int, span_chromosomes: bool = False) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from ..functions import arrays
 from ..functions import sequence as S
-from .contexts import with_sequence
+from .contexts import HELD, with_sequence
 
 
 def observed(pairs: DataFrame, position: Column) -> DataFrame:
@@ -20,16 +26,47 @@ def window_groups(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id", "strand").agg(F.first("chrom").alias("chrom"), F.min("r_start").alias("win_start"), F.count(F.lit(1)).alias("n"))
 
 
-#: Letters that a context may have where a signature is looked up: their places are the digits of its number.
+#: Letters that a context may have where a signature is looked up: their places are the digits of its number. All others are one more digit.
 LETTERS = "ACGTN"
+DIGIT = np.full(256, len(LETTERS), "i8")
+DIGIT[[ord(x) for x in LETTERS]] = range(len(LETTERS))
+
+
+def signature_tables(sig: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The total_norm of each context of k LETTERS by its number, and that of its reverse complement; 0 where it has none. The driver reads 5^k rows at most."""
+    rows = sig.where((F.length("context") == k) & F.col("context").rlike(f"^[{LETTERS}]*$")).select("context", F.col("total_norm").cast("double").alias("p")).collect()
+    base = len(LETTERS) + 1
+    plus, minus = np.zeros(base**k), np.zeros(base**k)
+    number = lambda text: sum(int(DIGIT[ord(x)]) * base**i for i, x in enumerate(reversed(text)))
+    for context, p in rows:
+        plus[number(context)] = p or 0.0
+        minus[number(context.translate(str.maketrans("ACGT", "TGCA"))[::-1])] = p or 0.0
+    return plus, minus
+
 
+#: Places of windows that are looked up at a time.
+PLACES = 1 << 18
 
-def signature_table(sig: DataFrame, k: int) -> DataFrame:
-    """One row: table, the total_norm of each context of k LETTERS by its number in base 10 (ACGTN as digits 0 to 4), null where it has none."""
-    digits = F.translate("context", LETTERS, "01234")
-    rows = sig.where((F.length("context") == k) & F.col("context").rlike(f"^[{LETTERS}]*$")).select(digits.cast("int").alias("i"), F.col("total_norm").alias("p"))
-    by = rows.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias("m"))  # 5^k entries at most
-    return by.select(F.transform(F.sequence(F.lit(0), F.lit(int("4" * k))), lambda i: F.try_element_at("m", i)).alias("table"))
+
+def shares(seq: pa.Array, minus: np.ndarray, width: int, k: int, tables: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, values, sums) for some windows at a time: the values of their places by the signature, as read on the strand, and their sums."""
+    data, at = arrays.letters(seq)
+    digits = DIGIT[data].reshape(-1, width + k - 1)
+    step = max(PLACES // width, 1)
+    for low in range(0, len(at) - 1, step):
+        d = digits[low : low + step]
+        code = np.zeros((len(d), width), "i8")
+        for j in range(k):
+            code = code * (len(LETTERS) + 1) + d[:, j : j + width]
+        back = minus[low : low + step]
+        values = np.where(back[:, None], tables[1][code][:, ::-1], tables[0][code]) if back.any() else tables[0][code]
+        yield slice(low, low + len(d)), values, values.sum(1)
+
+
+def sequenced(groups: DataFrame, genome: DataFrame, width: int, k: int = 3, offset: int = 0) -> DataFrame:
+    """(id, strand, n, _seq, _minus) of the groups whose window is inside its chromosome, with the width + k - 1 bases from win_start - k // 2 + offset."""
+    rows = with_sequence(groups, genome, F.col("win_start") - k // 2 + offset, width + k - 1, "_seq").where(F.length("_seq") == width + k - 1)
+    return rows.select("id", "strand", "n", F.col("_seq").cast("binary").alias("_seq"), F.coalesce(F.col("strand") == "-", F.lit(False)).alias("_minus"))
 
 
 def window_probabilities(groups: DataFrame, genome: DataFrame, sig: DataFrame, width: int, k: int = 3, offset: int = 0, arrays: bool = False) -> DataFrame:
@@ -37,20 +74,47 @@ def window_probabilities(groups: DataFrame, genome: DataFrame, sig: DataFrame, w
 
     The sequence read is width + k - 1 bases from win_start - k // 2 + offset; offset 1 centres context j on the base that
     observed position j counts, offset 0 one base before. Minus-strand groups read the reverse complement. Windows that run
-    off their chromosome, and those where no context has a probability, are left out. The contexts of a window are looked up
-    in its row, so positions are not shuffled.
+    off their chromosome, and those where no context has a probability, are left out. The contexts of a batch of windows are
+    looked up at once, so positions are not shuffled.
     """
-    rows = with_sequence(groups, genome, F.col("win_start") - k // 2 + offset, width + k - 1, "_seq")
-    rows = rows.where(F.length("_seq") == width + k - 1).withColumn("_seq", F.when(F.col("strand") == "-", S.reverse_complement(F.col("_seq"))).otherwise(F.col("_seq")))
-    rows = rows.crossJoin(F.broadcast(signature_table(sig, k)))  # one row
-    share = lambda x: F.coalesce(F.get(F.col("table"), x.try_cast("int")), F.lit(0.0))  # noqa: E731  letters beyond LETTERS have none
-    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  else Spark would put the sum into each element
-    sums = lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    normal = lambda p: once(sums(p), lambda t: F.when(t > 0, F.transform(p, lambda x: x / t)))
-    found = rows.select("id", "strand", "n", once(F.transform(S.kmers(F.translate("_seq", LETTERS, "01234"), k), share), normal).alias("ps"))
+    found = probabilities_of(sequenced(groups, genome, width, k, offset), sig, width, k)
     return found if arrays else found.select("id", "strand", "n", F.posexplode("ps").alias("_i", "p")).select("id", "strand", "n", (F.col("_i") + 1).cast("long").alias("position"), "p")
 
 
+def probabilities_of(rows: DataFrame, sig: DataFrame, width: int, k: int = 3) -> DataFrame:
+    """window_probabilities(arrays=True) of sequenced() groups."""
+    tables = signature_tables(sig, k)
+    kinds = StructType([*rows.select("id", "strand", "n").schema, StructField("ps", ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, values, sums in shares(batch.column(3), batch.column(4).to_numpy(zero_copy_only=False), width, k, tables):
+                none = sums <= 0
+                flat = values / np.where(none, 1.0, sums)[:, None]
+                ps = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="i4") * width), pa.array(flat.ravel()), mask=pa.array(none))
+                yield pa.RecordBatch.from_arrays([*(c[some] for c in batch.columns[:3]), ps], kinds.names)
+
+    return rows.mapInArrow(run, kinds)
+
+
+def expected_of(rows: DataFrame, sig: DataFrame, width: int, k: int = 3) -> DataFrame:
+    """expected() of sequenced() groups: each task sums the sites of its windows by position as it looks them up."""
+    tables = signature_tables(sig, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_ = np.zeros(width), False
+        for batch in batches:
+            n = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            for some, values, sums in shares(batch.column(3), batch.column(4).to_numpy(zero_copy_only=False), width, k, tables):
+                good = sums > 0
+                any_ = any_ or bool(good.any())
+                total += np.where(good, n[some] / np.where(good, sums, 1.0), 0.0) @ values
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, width + 1)), pa.array(total)], ["position", "expected"])
+
+    return rows.mapInArrow(run, "position long, expected double").groupBy("position").agg(F.sum("expected").alias("expected"))
+
+
 def expected(probabilities: DataFrame) -> DataFrame:
     """(position, expected): the sites of each group spread by its probabilities, by position or as arrays, and summed."""
     if "ps" in probabilities.columns:
@@ -74,8 +138,23 @@ def window_sequences(windows: DataFrame, genome: DataFrame, width: int) -> DataF
 
 
 def composition(seqs: DataFrame, k: int = 1) -> DataFrame:
-    """(offset, kmer, n): what stands at each offset (from 0) of equally long sequences."""
-    return seqs.select(F.posexplode(S.kmers(F.col("seq"), k)).alias("offset", "kmer")).groupBy(F.col("offset").cast("long").alias("offset"), "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(offset, kmer, n): what stands at each offset (from 0) of equally long sequences of ASCII letters, counted in the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], int] = {}
+        for batch in batches:
+            for offset, kmer, n in zip(*arrays.kmer_table(batch.column(0), k), strict=True):
+                held[int(offset), kmer] = held.get((int(offset), kmer), 0) + int(n)
+            if len(held) > HELD:
+                yield told(held)
+                held = {}
+        yield told(held)
+
+    def told(held: dict[tuple[int, str], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o for o, _ in held], pa.int64()), pa.array([m for _, m in held], pa.string()), pa.array(held.values(), pa.int64())], ["offset", "kmer", "n"])
+
+    counts = seqs.select(F.col("seq").cast("binary")).mapInArrow(run, "offset long, kmer string, n long")
+    return counts.groupBy("offset", "kmer").agg(F.sum("n").alias("n"))
 
 
 def pair_composition(seqs: DataFrame) -> DataFrame:

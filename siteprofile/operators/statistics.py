@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,8 +75,8 @@ def difference(a: DataFrame, b: DataFrame, key: str = "context", value: str = "t
     return both.withColumn("diff", F.col("norm_a") - F.col("norm_b"))
 
 
-#: Places drawn one by one up to so many sites of a group, and numbers that are drawn before they are counted.
-FEW_SITES, DRAWN = 100, 4_000_000
+#: Places drawn one by one up to so many sites of a group, numbers that are drawn before they are counted, and cells that guide a draw to its place.
+FEW_SITES, DRAWN, GUIDES = 800, 1 << 16, 256
 
 
 def restricted(sig: DataFrame, other: DataFrame, key: str = "context") -> DataFrame:
@@ -87,12 +89,57 @@ def with_background(sig: DataFrame, background: str) -> DataFrame:
     return sig.where(F.col(background) >= 0)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Random bits from counters, in place (the mixing of SplitMix64)."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def few_draws(seeds: np.ndarray, n: np.ndarray, p: np.ndarray, n_random: int, total: np.ndarray) -> None:
+    """Adds to total (replicates x places) a place for each site of each group (rows of p, n sites each) and replicate.
+
+    A site draws a number of 32 bits a replicate from its group's seed and its own number. The upper bits lead to a cell of
+    the distribution function, from whose first place the search goes on; a place without a share is never met.
+    """
+    width, half = p.shape[1], (n_random + 1) // 2
+    upto = p.cumsum(1)
+    ends = np.minimum(upto / upto[:, -1:] * 2.0**32, 2.0**32 - 1).astype("u4")
+    last = width - 1 - (p[:, ::-1] > 0).argmax(1)  # of the places with a share
+    ends[np.arange(width) >= last[:, None]] = 2**32 - 1
+    cell = (ends.astype("i8") + (2**32 // GUIDES - 1)) // (2**32 // GUIDES)  # the first cell that starts at an end or beyond
+    filled = np.bincount((cell + np.arange(len(p))[:, None] * (GUIDES + 1)).ravel(), minlength=len(p) * (GUIDES + 1))
+    guide = np.minimum(filled.reshape(-1, GUIDES + 1)[:, :GUIDES].cumsum(1), last[:, None]).astype("i4")
+    flat, guide = ends.ravel(), (guide + (np.arange(len(p)) * width)[:, None]).ravel().astype("i8")
+    group = np.repeat(np.arange(len(p)), n)
+    number = np.arange(len(group)) - np.repeat(n.cumsum() - n, n)
+    stride = np.uint64(0x9E3779B97F4A7C15)
+    start = seeds.astype("u8")[group] + number.astype("u8") * np.uint64(half) * stride
+    row = np.arange(half, dtype="u8") * stride
+    place = np.arange(2 * half) * width
+    rows_a_time = max(DRAWN // (2 * half), 1)
+    for low in range(0, len(group), rows_a_time):
+        some = slice(low, low + rows_a_time)
+        u = mixed(start[some, None] + row).view("u4")[:, :n_random]
+        at = guide.take((u >> np.uint32(32 - GUIDES.bit_length() + 1)) + (group[some] * GUIDES)[:, None]).ravel()
+        u = np.minimum(u, np.uint32(2**32 - 2)).ravel()
+        at += u >= flat.take(at)
+        moved = np.flatnonzero(u >= flat.take(at))
+        while len(moved):
+            at[moved] += 1
+            moved = moved[u[moved] >= flat[at[moved]]]
+        at = at.reshape(-1, n_random) + (place[:n_random] - (group[some] * width)[:, None])
+        total += np.bincount(at.ravel(), minlength=total.size).reshape(total.shape)
+
+
 def multinomial_null(probabilities: DataFrame, n_random: int, seed: int = 42) -> DataFrame:
     """(replicate, position, n): per replicate the sites of each group are dealt anew over its positions, and summed over the groups.
 
     probabilities has id, strand, n and either position and p, or ps with the shares of positions 1, 2, ... Each task draws
-    all replicates of its groups and sums them before anything is shuffled: the few sites of most groups place by place, more
-    as counts of a multinomial law. A group's draws follow from seed, id and strand alone.
+    all replicates of its groups and sums them before anything is shuffled: the few sites of most groups place by place, many
+    groups at once, more as counts of a multinomial law. A group's draws follow from seed, id and strand alone.
     """
     s = F.pmod(F.xxhash64(F.lit(seed), "id", "strand"), F.lit(1 << 62)).alias("s")
     if "ps" in probabilities.columns:
@@ -100,43 +147,42 @@ def multinomial_null(probabilities: DataFrame, n_random: int, seed: int = 42) ->
     else:
         groups = probabilities.groupBy("id", "strand").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("position", "p"))).alias("ps"))
         groups = groups.select("n", s, F.transform("ps", lambda x: x["position"].cast("bigint")).alias("position"), F.transform("ps", lambda x: x["p"]).alias("p"))
+    groups = groups.where("p IS NOT NULL AND n > 0").select(F.col("n").cast("long").alias("n"), "s", "position", F.col("p").cast("array<double>").alias("p"))
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, ...], np.ndarray] = {}  # groups of the same positions are summed as one table
-        places: dict[tuple[int, ...], list[np.ndarray]] = {}
-        row, held = np.arange(n_random), 0
-
-        def count() -> None:
-            for where, some in places.items():
-                total[where] += np.bincount(np.concatenate(some), minlength=total[where].size).reshape(n_random, -1)
-            places.clear()
-
         for batch in batches:
-            for n, s, position, p in batch.itertuples(index=False):
-                if p is None:
-                    continue
-                rng, p, n = np.random.default_rng(int(s)), np.asarray(p, float), int(n)
-                where = tuple(position) if position is not None else (len(p),)
-                if where not in total:
-                    total[where] = np.zeros((n_random, len(p)), "i8")
-                if n > FEW_SITES:
-                    total[where] += rng.multinomial(n, p / p.sum(), size=n_random)
-                    continue
-                sums = p.cumsum()
-                at = np.minimum(np.searchsorted(sums, rng.random((n_random, n)) * sums[-1], side="right"), len(p) - 1)
-                places.setdefault(where, []).append((at + row[:, None] * len(p)).ravel())
-                held += n_random * n
-                if held > DRAWN:
-                    count()
-                    held = 0
-        count()
+            n, seeds = (batch.column(c).to_numpy() for c in (0, 1))
+            sizes = pc.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], sizes.cumsum()])
+            values = batch.column(3).flatten().to_numpy()
+            if batch.column(2).null_count == len(n):
+                kinds = {(int(width),): np.flatnonzero(sizes == width) for width in np.unique(sizes)}
+            else:
+                names: dict[tuple[int, ...], list[int]] = {}
+                for r, where in enumerate(batch.column(2).to_pylist()):
+                    names.setdefault(tuple(where), []).append(r)
+                kinds = {where: np.array(rows) for where, rows in names.items()}
+            for where, rows in kinds.items():
+                width = int(sizes[rows[0]])
+                if width and where not in total:
+                    total[where] = np.zeros((n_random, width), "i8")
+                many = n[rows] > FEW_SITES
+                for r in rows[many] if width else ():
+                    p = values[first[r] : first[r] + width]
+                    total[where] += np.random.default_rng(int(seeds[r])).multinomial(n[r], p / p.sum(), size=n_random)
+                few = rows[~many]
+                for low in range(0, len(few) if width else 0, 128):
+                    some = few[low : low + 128]
+                    few_draws(seeds[some], n[some], values[first[some][:, None] + np.arange(width)], n_random, total[where])
         for where, counts in total.items():
-            names = np.arange(1, where[0] + 1) if counts.shape[1] != len(where) else np.array(where)
+            names_ = np.arange(1, where[0] + 1) if counts.shape[1] != len(where) else np.array(where)
             for low in range(0, n_random, 100):
                 some = counts[low : low + 100]
-                yield pd.DataFrame({"replicate": np.repeat(row[low : low + 100], some.shape[1]), "position": np.tile(names, len(some)), "n": some.ravel()})
+                columns = np.repeat(np.arange(low, low + len(some)), some.shape[1]), np.tile(names_, len(some)), some.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["replicate", "position", "n"])
 
-    return groups.mapInPandas(draw, "replicate long, position long, n long").groupBy("replicate", "position").agg(F.sum("n").alias("n"))
+    return groups.mapInArrow(draw, "replicate long, position long, n long").groupBy("replicate", "position").agg(F.sum("n").alias("n"))
 
 
 def empirical_p(null: DataFrame, observed: DataFrame, value: str = "snr") -> DataFrame:

@@ -54,11 +54,11 @@ def nucleosome_profile(
     observed ones do too; else they count from the left on both strands, as the analyses have it.
     """
     pairs = region_pairs(sites, regions, left, right)
-    probabilities = profiles.window_probabilities(profiles.window_groups(pairs), genome, sig, left + right, 3, offset, arrays=True)
+    windows = profiles.sequenced(profiles.window_groups(pairs), genome, left + right, 3, offset)
     position = F.col("pos") - F.col("r_start")
     if mirror_minus:
         position = F.when(F.col("strand") == "-", left + right + 1 - position).otherwise(position)
-    return profiles.relative_increase(profiles.observed(pairs, position), profiles.expected(probabilities))
+    return profiles.relative_increase(profiles.observed(pairs, position), profiles.expected_of(windows, sig, left + right))
 
 
 def randomised_peak(
@@ -67,16 +67,17 @@ def randomised_peak(
 ) -> tuple[DataFrame, DataFrame]:
     """(snr and peak of the observed profile, one row with the empirical p-value of its snr).
 
-    The windows' probabilities are written once and read by the null model and the expected counts. A replicate's profile
-    is an array, and its spectrum a product with one matrix of angles.
+    The windows' sequences are written once and read by the null model and the expected counts; so are the draws' counts, a row
+    for each replicate and position. A replicate's profile is an array, and its spectrum a product with one matrix of angles.
     """
     pairs = region_pairs(sites, regions)
     groups = profiles.window_groups(pairs)
-    probabilities = checkpoint(profiles.window_probabilities(groups, genome, sig, 147, arrays=True))
-    exp = profiles.expected(probabilities)
+    windows = checkpoint(profiles.sequenced(groups, genome, 147))
+    sig = checkpoint(sig)  # 5^3 rows at most
+    exp = checkpoint(profiles.expected_of(windows, sig, 147))
     counts = profiles.densify(profiles.observed(pairs, F.col("pos") - F.col("r_start")), 1, 147, "observed")
     real = profiles.relative_increase(counts, exp).select(F.lit(-1).cast("long").alias("replicate"), "position", F.col("rel_inc").alias("x"))
-    drawn = statistics.multinomial_null(probabilities, n_random, seed).join(F.broadcast(exp), "position")  # 147 rows
+    drawn = checkpoint(statistics.multinomial_null(profiles.probabilities_of(windows, sig, 147), n_random, seed)).join(F.broadcast(exp), "position")  # 147 rows
     null = drawn.select("replicate", "position", F.try_divide(F.col("n") - F.col("expected"), F.col("expected")).alias("x"))
     signals = real.unionByName(null).select("replicate", (F.col("position") - 1).alias("i"), "x")
     spectra = spectral.spectra(signals, 0, 145, 5, 50, ["replicate"])

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import letters
+
 LETTERS, TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ACGTACGTACGTACGTACGTACGTAN"
+#: The base that each byte of a text becomes; 0 for what is no letter.
+BASE = np.zeros(256, "u1")
+BASE[[ord(x) for x in LETTERS + LETTERS.lower()]] = [ord(x) for x in TO + TO]
+#: Bytes of whole texts that are sent to Python at a time.
+BATCH_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +30,39 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spread(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), "lang", "text"))
+
+
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chrom, lang, seq: the letters of each whole text, as bases."""
-    seq = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]+", "")), LETTERS, TO)
-    return spread(load(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("chrom"), "lang", seq.alias("seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = letters(batch.column(2))
+            bases = BASE[data]
+            is_letter = bases > 0
+            before = np.concatenate([[0], np.cumsum(is_letter)])[at]
+            seq = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(before.astype("i8")), pa.py_buffer(bases[is_letter]))
+            seq = pc.if_else(batch.column(2).is_valid(), seq, None).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), seq], ["chrom", "lang", "seq"])
+
+    rows = _texts(spark, sf_dir)
+    return rows.mapInArrow(run, rows.withColumnRenamed("text", "seq").schema)
 
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long")
-    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chrom"), "lang", text.alias("len")).where("len > 0")
+    """chrom, lang, len of the chromosomes that have a base."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = letters(batch.column(2))
+            before = np.concatenate([[0], np.cumsum(BASE[data] > 0)])[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(before))], ["chrom", "lang", "len"])
+
+    rows = _texts(spark, sf_dir)
+    return rows.mapInArrow(run, rows.select("chrom", "lang", F.lit(0).cast("long").alias("len")).schema).where("len > 0")
 
 
 def _on_chromosomes(rows: DataFrame, spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
