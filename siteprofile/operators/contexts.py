@@ -19,8 +19,8 @@ from . import ordered
 CHUNK, HALO, SHORT = 16_384, 1_100, 1_024
 
 
-def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: bool = False) -> DataFrame:
-    """genome in rows chrom, chunk, first, part, len: part starts at position first (1-based) and reaches halo bases over both ends of its chunk.
+def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """genome in rows chrom, chunk, first, part, len, and its columns keep: part starts at position first (1-based) and reaches halo bases over both ends of its chunk.
 
     genome has chrom and seq, or, from sources.ranges.fasta(), chrom, at, piece and len. A chromosome of any length is spread
     over many rows. binary: part as bytes, in which a place is found at once.
@@ -28,11 +28,11 @@ def chunked(genome: DataFrame, chunk: int = CHUNK, halo: int = HALO, binary: boo
     if "piece" in genome.columns:
         return _from_pieces(genome, chunk, halo, binary)
     n = F.length("seq")
-    made = genome.where(n > 0).select("chrom", F.col("seq").cast("binary").alias("_b"), n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
+    made = genome.where(n > 0).select("chrom", *keep, F.col("seq").cast("binary").alias("_b"), n.cast("long").alias("len"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk"))
     first = F.greatest(F.col("chunk") * chunk + 1 - halo, F.lit(1))
     last = F.least((F.col("chunk") + 1) * chunk + halo, F.col("len"))
     part = F.substring("_b", first.cast("int"), (last - first + 1).cast("int"))
-    return made.select("chrom", "chunk", first.alias("first"), (part if binary else part.cast("string")).alias("part"), "len")
+    return made.select("chrom", "chunk", *keep, first.alias("first"), (part if binary else part.cast("string")).alias("part"), "len")
 
 
 def _from_pieces(genome: DataFrame, chunk: int, halo: int, binary: bool) -> DataFrame:

@@ -122,8 +122,10 @@ def expected(probabilities: DataFrame) -> DataFrame:
     return probabilities.groupBy("position").agg(F.sum(F.col("p") * F.col("n")).alias("expected"))
 
 
-def relative_increase(obs: DataFrame, exp: DataFrame) -> DataFrame:
-    return obs.join(exp, "position").withColumn("rel_inc", F.try_divide(F.col("observed") - F.col("expected"), F.col("expected")))
+def relative_increase(obs: DataFrame, exp: DataFrame | None = None) -> DataFrame:
+    """obs with rel_inc: what is observed beyond the expected, over that; expected comes from exp by position where it is not in obs."""
+    both = obs if exp is None else obs.join(exp, "position")
+    return both.withColumn("rel_inc", F.try_divide(F.col("observed") - F.col("expected"), F.col("expected")))
 
 
 def densify(profile: DataFrame, low: int, high: int, value: str, position: str = "position") -> DataFrame:

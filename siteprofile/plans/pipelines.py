@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contexts, intervals, profiles, spectral, statistics
+from ..operators import contexts, intervals, profiles, spectral, statistics, tracks
 from ..storage import checkpoint
 
 #: Chromosomes that an enrichment leaves out.
@@ -53,12 +53,9 @@ def nucleosome_profile(
     Minus-strand windows are read as their reverse complement, so their expected positions run backwards. mirror_minus: the
     observed ones do too; else they count from the left on both strands, as the analyses have it.
     """
-    pairs = region_pairs(sites, regions, left, right)
-    windows = profiles.sequenced(profiles.window_groups(pairs), genome, left + right, 3, offset)
-    position = F.col("pos") - F.col("r_start")
-    if mirror_minus:
-        position = F.when(F.col("strand") == "-", left + right + 1 - position).otherwise(position)
-    return profiles.relative_increase(profiles.observed(pairs, position), profiles.expected_of(windows, sig, left + right))
+    windows = intervals.windows(regions, F.col("center"), left, right)
+    counts = tracks.profile_in(sites, windows, genome, sig, left + right, 3, offset, mirror_minus).where("expected IS NOT NULL")
+    return profiles.relative_increase(counts)
 
 
 def randomised_peak(
