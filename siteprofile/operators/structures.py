@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import contexts, intervals, statistics
+from . import contexts, intervals, statistics, tracks
 
 
 def clipped(regions: DataFrame) -> DataFrame:
@@ -20,8 +20,7 @@ def region_backgrounds(regions: DataFrame, genome: DataFrame, k: int) -> DataFra
     first = F.when(centred, F.col("start") + 1 - k // 2).otherwise(F.col("start"))
     length = F.col("end") - F.col("start") + F.when(centred, 2 * (k // 2)).otherwise(0)
     rows = regions.select("region_set", "chrom", first.alias("_from"), length.alias("_length"))
-    seqs = contexts.with_sequence(rows, genome, F.col("_from"), F.col("_length"), "seq")
-    return contexts.kmer_counts(seqs, k, ["region_set"])
+    return tracks.kmers_in(rows, genome, F.col("_from"), F.col("_length"), k, ["region_set"])
 
 
 def region_signatures(sites: DataFrame, genome: DataFrame, regions: DataFrame, k: int = 3) -> DataFrame:
@@ -30,9 +29,7 @@ def region_signatures(sites: DataFrame, genome: DataFrame, regions: DataFrame, k
     A site counts once for each region that it lies in. All sets go through one annotation of the sites, one overlap join
     and one scan of the genome.
     """
-    annotated = contexts.annotate(sites, genome, (k,))
-    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("region_set", "chrom", "start", "end"), left_longest=1)
-    observed = contexts.context_counts(pairs, f"context_{k}", ["region_set"]).where("context <> '-'")
+    observed = tracks.contexts_in(sites, regions, genome, k, ["region_set"])
     background = region_backgrounds(regions, genome, k).withColumnsRenamed({"kmer": "context", "n": "ref"})
     norm = observed.join(background, ["region_set", "context"], "left").withColumn("ref_norm", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)))
     total = norm.groupBy("region_set").agg(F.sum("ref_norm").alias("_t"))
@@ -61,8 +58,7 @@ def structure_similarity(sites: DataFrame, genome: DataFrame, regions: DataFrame
     """(region_set, context, cosine): similarity of each set to the whole genome by Triplet and by Pentamer."""
     parts = []
     for name, k in (("Triplet", 3), ("Pentamer", 5)):
-        annotated = contexts.annotate(sites, genome, (k,))
-        whole = contexts.signature(contexts.context_counts(annotated, f"context_{k}"), contexts.genome_kmer_counts(genome, k))
+        whole = contexts.signature(tracks.contexts_of(sites, genome, k), contexts.genome_kmer_counts(genome, k))
         parts.append(similarities(region_signatures(sites, genome, regions, k), whole).select("region_set", F.lit(name).alias("context"), "cosine"))
     return parts[0].unionByName(parts[1])
 
