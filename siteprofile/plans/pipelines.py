@@ -85,11 +85,8 @@ def randomised_peak(
 
 def region_comparison(sites: DataFrame, genome: DataFrame, regions: DataFrame, whole: DataFrame, k: int = 3) -> DataFrame:
     """(class, cosine): for each class of regions the similarity of its signature (sites in it over its own k-mers) to that of the whole genome."""
-    annotated = contexts.annotate(sites, genome, (k,))
-    pairs = intervals.overlap_join(intervals.site_intervals(annotated), regions.select("id", "chrom", "start", "end", "class"), left_longest=1)
-    seqs = contexts.with_sequence(regions, genome, F.col("start"), F.col("end") - F.col("start"), "seq")
-    background = contexts.kmer_counts(seqs, k, ["class"])
-    observed = contexts.context_counts(pairs, f"context_{k}", ["class"]).where("context <> '-'")
+    background = tracks.kmers_in(regions, genome, F.col("start"), F.col("end") - F.col("start"), k, ["class"])
+    observed = tracks.contexts_in(sites, regions, genome, k, ["class"])
     norm = observed.join(background.withColumnsRenamed({"kmer": "context", "n": "ref"}), ["class", "context"], "left").select("class", "context", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)).alias("v"))
     both = norm.join(whole.select("context", F.col("total_norm").alias("w")), "context", "left")
     length = F.broadcast(whole.agg(F.sqrt(F.sum(F.col("total_norm") ** 2)).alias("_w")))  # one row
