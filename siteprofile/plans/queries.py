@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import adapters, contexts, intervals, levels, profiles, reads, smoothing, spectral, statistics, structures
+from ..operators import adapters, contexts, intervals, levels, profiles, reads, smoothing, spectral, statistics, structures, tracks
 from ..sources import readers
 from . import pipelines, tables
 
@@ -730,11 +730,10 @@ def structure_observed(spark, d):
     "SELECT position, round(norm, 9) AS norm, round(norm_2, 9) AS norm_2, round(model, 9) AS model FROM (SELECT position, norm, norm / sum(norm) OVER () AS norm_2 FROM v) JOIN m USING (position)",
 )
 def linker_model(spark, d):
-    rows = profiles.of_study(contexts.annotate(tables.sites(spark, d), tables.genome(spark, d), (3,)), "G")
-    around = wide(spark, d)
-    pairs_ = intervals.overlap_join(intervals.site_intervals(rows), around.select("id", "chrom", "start", "end"), left_longest=1)
-    comp = profiles.composition(profiles.window_sequences(around, tables.genome(spark, d), 400))
-    enriched = profiles.per_base_enrichment(profiles.observed(pairs_, F.col("r_end") - F.col("pos")), comp, "G")
+    around, genome = wide(spark, d), tables.genome(spark, d)
+    comp = tracks.composition_in(around, genome, 400)
+    observed = tracks.observed_in(tables.sites(spark, d), around, 400, genome, "G").withColumn("position", 400 - F.col("position"))
+    enriched = profiles.per_base_enrichment(observed, comp, "G")
     out = profiles.with_model(enriched, profiles.random_model(comp, "G"))
     return out.select("position", *[r9(c).alias(c) for c in ("norm", "norm_2", "model")])
 
