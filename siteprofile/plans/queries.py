@@ -360,8 +360,8 @@ _LANG = ", o AS (SELECT lang, c3 AS context, count(*) AS o FROM contexts JOIN (S
 
 
 def by_language(spark, d):
-    rows = contexts.annotate(tables.sites(spark, d), tables.genome(spark, d), (3,)).join(tables.sizes(spark, d).select("chrom", "lang"), "chrom")
-    return contexts.signature(contexts.context_counts(rows, "context_3", ["lang"]), contexts.genome_kmer_counts(tables.genome(spark, d), 3), ["lang"])
+    genome = tables.genome(spark, d)
+    return contexts.signature(tracks.contexts_of(tables.sites(spark, d), genome, 3, ["lang"]), contexts.genome_kmer_counts(genome, 3), ["lang"])
 
 
 @query("cosine_matrix", _LANG + " SELECT a.lang AS \"left\", b.lang AS \"right\", round(sum(a.t * b.t) / (SELECT sqrt(sum(t * t)) FROM s WHERE lang = a.lang) / (SELECT sqrt(sum(t * t)) FROM s WHERE lang = b.lang), 9) AS cosine FROM s a JOIN s b USING (context) GROUP BY 1, 2")
