@@ -125,10 +125,9 @@ def transcription_signature(sites: DataFrame, track: DataFrame, genome: DataFram
     """(state, context, total_norm): signatures of the sites in transcribed and silent intervals over the k-mers centred there."""
     states = transcription_states(track, both_strands)
     half = k // 2
-    seqs = contexts.with_sequence(states, genome, F.col("start") - half + 1, F.col("end") - F.col("start") + 2 * half, "seq")
-    background = contexts.kmer_counts(seqs, k, ["state"]).withColumnsRenamed({"kmer": "context", "n": "ref"})
-    pairs = intervals.overlap_join(intervals.site_intervals(contexts.annotate(sites, genome, (k,))), states.select("chrom", "start", "end", "state"), left_longest=1)
-    observed = contexts.context_counts(pairs, f"context_{k}", ["state"]).where("context <> '-'")
+    counts = tracks.kmers_in(states, genome, F.col("start") - half + 1, F.col("end") - F.col("start") + 2 * half, k, ["state"])
+    background = counts.withColumnsRenamed({"kmer": "context", "n": "ref"})
+    observed = tracks.contexts_in(sites, states, genome, k, ["state"])
     norm = observed.join(background, ["state", "context"], "left").select("state", "context", F.coalesce(F.try_divide("n", "ref"), F.lit(0.0)).alias("v"))
     total = norm.groupBy("state").agg(F.sum("v").alias("_t"))
     return norm.join(total, "state").select("state", "context", F.try_divide("v", "_t").alias("total_norm"))
