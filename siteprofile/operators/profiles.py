@@ -188,9 +188,8 @@ def random_model(comp: DataFrame, base: str) -> DataFrame:
     return rows.select("position", (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("model"))
 
 
-def anchored(pairs: DataFrame, anchor: Column, background: DataFrame) -> DataFrame:
-    """(rel_pos, count, norm_count, normalized) of sites around an anchor, full join with the background; normalized is null where the background is 0."""
-    counts = pairs.groupBy((F.col("pos") - anchor).cast("long").alias("rel_pos")).agg(F.count(F.lit(1)).alias("count"))
+def anchored(counts: DataFrame, background: DataFrame) -> DataFrame:
+    """(rel_pos, count, norm_count, normalized) of sites counted around anchors, full join with the background; normalized is null where the background is 0."""
     joined = counts.join(background, "rel_pos", "full").na.fill(0, ["count", "norm_count"])
     return joined.select("rel_pos", "count", "norm_count", F.try_divide("count", "norm_count").alias("normalized"))
 

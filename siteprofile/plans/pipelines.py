@@ -104,13 +104,13 @@ def transcript_profile(
     """
     anchor = F.col("tss") if site == "tss" else F.when(F.col("strand") == 1, F.col("end")).otherwise(F.col("start"))
     windows = intervals.windows(transcripts.withColumn("class", F.lit(site)), anchor, half, half, 0).select("id", "chrom", "center", "start", "end", F.col("strand").alias("own_strand"))
-    pairs = intervals.overlap_join(intervals.site_intervals(sites), windows.drop("own_strand"), left_longest=1, right_longest=2 * half)
-    seqs = profiles.window_sequences(windows, genome, 2 * half)
+    back = F.coalesce(F.col("own_strand") == -1, F.lit(False)) if stranded else F.lit(False)
+    comp = tracks.composition_in(windows.where(~back), genome, 2 * half)
     if stranded:
-        seqs = seqs.withColumn("seq", F.when(F.col("own_strand") == -1, F.translate("seq", "ACGT", "TGCA")).otherwise(F.col("seq")))
-    comp = profiles.composition(seqs)
-    background = comp.where(F.col("kmer") == base).select((F.col("offset") - (half - 1)).alias("rel_pos"), F.col("n").alias("norm_count"))
-    return profiles.anchored(pairs, F.col("center"), background)
+        comp = comp.unionByName(tracks.composition_in(windows.where(back), genome, 2 * half).withColumn("kmer", F.translate("kmer", "ACGT", "TGCA")))
+    background = comp.where(F.col("kmer") == base).groupBy((F.col("offset") - (half - 1)).alias("rel_pos")).agg(F.sum("n").alias("norm_count"))
+    counts = tracks.observed_in(sites, windows, 2 * half).select((F.col("position") - half).alias("rel_pos"), F.col("observed").alias("count"))
+    return profiles.anchored(counts, background)
 
 
 def transcription_states(track: DataFrame, both_strands: bool = False, shift: int = 1) -> DataFrame:
