@@ -33,8 +33,8 @@ def enrichment(
     alpha: float | None = None, k: int = 3, excluded=(),
 ) -> DataFrame:
     """Signature of the sites that selected() gives: context, background, ratio."""
-    rows = contexts.annotate(selected(sites, genome, p_value, bases, top, alpha, excluded), genome, (k,))
-    return contexts.signature(contexts.context_counts(rows, f"context_{k}"), contexts.genome_kmer_counts(genome, k))
+    rows = selected(sites, genome, p_value, bases, top, alpha, excluded)
+    return contexts.signature(tracks.contexts_of(rows, genome, k), contexts.genome_kmer_counts(genome, k))
 
 
 def region_pairs(sites: DataFrame, regions: DataFrame, left: int = 73, right: int = 74, least_start: int = 1) -> DataFrame:
