@@ -65,8 +65,7 @@ def kmer_background_joined(spark, d):
 
 @query("kmer_background_segment", ", seqs AS (SELECT class, seq[\"start\":\"end\" - 1] AS s FROM nuc JOIN genome USING (chrom)) SELECT class, s[i:i + 4] AS kmer, count(*) AS n FROM (SELECT class, s, unnest(range(1, length(s) - 3)) AS i FROM seqs) GROUP BY 1, 2")
 def kmer_background_segment(spark, d):
-    seqs = contexts.with_sequence(nucleosomes(spark, d), tables.genome(spark, d), F.col("start"), F.col("end") - F.col("start"), "seq")
-    return contexts.kmer_counts(seqs, 5, ["class"])
+    return tracks.kmers_in(nucleosomes(spark, d), tables.genome(spark, d), F.col("start"), F.col("end") - F.col("start"), 5, ["class"])
 
 
 @query("base_composition", ", c AS (SELECT lang, b AS base, count(*) AS n FROM (SELECT lang, unnest(string_split(seq, '')) AS b FROM genome) WHERE b <> '' GROUP BY 1, 2) SELECT lang, base, round_even(n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE), 4) AS share FROM c")
