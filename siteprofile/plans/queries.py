@@ -162,9 +162,10 @@ def region_comparison(spark, d):
     ", seqs AS (SELECT seq[\"start\":\"end\" - 1] AS s FROM nuc JOIN genome USING (chrom)), c AS (SELECT s[i:i + 2] AS context, count(*) AS c FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM seqs) GROUP BY 1), e AS (SELECT round_even(sum(round_even(ref_norm * coalesce(c, 0), 2)), 0) AS expected FROM sig3 LEFT JOIN c USING (context)), o AS (SELECT count(*) AS observed FROM pairs WHERE pvalue < 0.05) SELECT observed, expected, round(2 * (observed * ln(2.0 * observed / (observed + expected)) + expected * ln(2.0 * expected / (observed + expected))), 6) AS g FROM o, e",
 )
 def expected_observed_g(spark, d):
-    seqs = contexts.with_sequence(nucleosomes(spark, d), tables.genome(spark, d), F.col("start"), F.col("end") - F.col("start"), "seq")
-    expected = contexts.expected_total(signature3(spark, d), contexts.kmer_counts(seqs, 3))
-    observed = pairs(spark, d).where("pvalue < 0.05").agg(F.count(F.lit(1)).alias("observed"))
+    counts = tracks.kmers_in(nucleosomes(spark, d), tables.genome(spark, d), F.col("start"), F.col("end") - F.col("start"), 3)
+    expected = contexts.expected_total(signature3(spark, d), counts)
+    met = tracks.observed_in(significant(spark, d), nucleosomes(spark, d), 147)
+    observed = met.agg(F.coalesce(F.sum("observed"), F.lit(0)).alias("observed"))
     return statistics.g_test(observed.crossJoin(expected)).select("observed", "expected", r9("g", 6).alias("g"))  # one row each
 
 
