@@ -329,9 +329,7 @@ def open_closed_signature(spark, d):
 
 @query("padded_kmers", ", w AS (SELECT class, CASE WHEN \"start\" > 1 THEN seq[\"start\" - 1:\"end\" + 2] ELSE '' END AS s FROM nuc JOIN genome USING (chrom)) SELECT class, s[i:i + 4] AS kmer, count(*) AS n FROM (SELECT class, s, unnest(range(1, length(s) - 3)) AS i FROM w) GROUP BY 1, 2")
 def padded_kmers(spark, d):
-    n = nucleosomes(spark, d)
-    seqs = contexts.with_sequence(n, tables.genome(spark, d), F.col("start") - 1, F.col("end") - F.col("start") + 4, "seq")
-    return contexts.kmer_counts(seqs, 5, ["class"])
+    return tracks.kmers_in(nucleosomes(spark, d), tables.genome(spark, d), F.col("start") - 1, F.col("end") - F.col("start") + 4, 5, ["class"])
 
 
 def wide(spark, d):
