@@ -26,8 +26,7 @@ def region_backgrounds(regions: DataFrame, genome: DataFrame, k: int) -> DataFra
 def region_signatures(sites: DataFrame, genome: DataFrame, regions: DataFrame, k: int = 3) -> DataFrame:
     """(region_set, context, n, ref, ref_norm, total_norm): contexts of the sites in each set of regions over the k-mers of these.
 
-    A site counts once for each region that it lies in. All sets go through one annotation of the sites, one overlap join
-    and one scan of the genome.
+    A site counts once for each region that it lies in. All sets are counted together in the genome's chunks.
     """
     observed = tracks.contexts_in(sites, regions, genome, k, ["region_set"])
     background = region_backgrounds(regions, genome, k).withColumnsRenamed({"kmer": "context", "n": "ref"})

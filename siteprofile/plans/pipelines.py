@@ -51,7 +51,8 @@ def nucleosome_profile(
     """position, observed, expected, rel_inc over the windows; left = 500 and right = 501 zoom out.
 
     Minus-strand windows are read as their reverse complement, so their expected positions run backwards. mirror_minus: the
-    observed ones do too; else they count from the left on both strands, as the analyses have it.
+    observed ones do too; else they count from the left on both strands, as the analyses have it. Each region is a window of
+    its own, and both counts come from one pass over the genome's chunks, without a row for each site in a window.
     """
     windows = intervals.windows(regions, F.col("center"), left, right)
     counts = tracks.profile_in(sites, windows, genome, sig, left + right, 3, offset, mirror_minus).where("expected IS NOT NULL")
