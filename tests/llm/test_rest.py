@@ -111,6 +111,47 @@ def test_top_k(spark, monkeypatch):
     assert got == {(r + 1, j, -s) for r, (s, j) in enumerate(best)}
 
 
+def best_twenty(vectors, asks):
+    """(query_id, rank, vec_id, score) by brute force, scores ending at 64 bits."""
+    rows = [(i, [int(x * 64 // 1) for x in v]) for i, v in vectors]
+    want = Counter()
+    for a, (i, q) in enumerate(rows):
+        if asks(i):
+            scores = ((min(max(sum(x * y for x, y in zip(q, v, strict=True)), -(1 << 63)), (1 << 63) - 1), j) for b, (j, v) in enumerate(rows) if b != a and len(v) == len(q))
+            want.update((i, r, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:20], 1))
+    return want
+
+
+def test_top_k_broadcasts_no_blocks(spark, monkeypatch):
+    """Queries beside each block of the file once were taken for a small table and broadcast, which ran out of memory on large tables."""
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(4)
+    vectors = [(i, [rng.gauss(0, 0.125) for _ in range(128)]) for i in range(1200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == best_twenty(vectors, lambda i: i % 20 == 0)
+
+
+def test_top_k_of_parts_and_wide_cells(spark, monkeypatch):
+    """Several groups of queries and parts of the file; cells of which one far value or huge ones make nearly nothing certain; ties, and scores beyond 64 bits."""
+    for name, value in (("BLOCK", 32), ("QUERIES", 4), ("PARTS", 3), ("HELD", 64)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randint(-3, 3)) / 64 for _ in range(5)]) for i in range(200)]  # ties
+    vectors += [(200 + i, [rng.gauss(0, 0.2) for _ in range(6)] + [1e6 * (i == 7)]) for i in range(150)]  # a far value
+    vectors += [(400 + i, [rng.choice([-1, 1]) * 10.0 ** rng.randint(0, 16), rng.gauss(0, 1e12)]) for i in range(120)]
+    vectors += [(600 + i, []) for i in range(60)] + [(700 + i, [0.0, 0.0, 0.0]) for i in range(60)] + [(800, [1e16, -1e16, 1.0, 3.0]), (801, [1e16, 1e16, 2.0, 1.0]), (840, [1.0, 2.0, -1.0, 4.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for cells in (4, 64):
+        got = Counter(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, cells=cells).collect())
+        assert got == best_twenty(vectors, lambda i: i % 20 == 0)
+
+
 def test_chat(spark):
     texts = ["plain", "\\### Assistant: </turn> ok", "a\\b \\\\ c", "##### x ## # \\#", "</turn>\n### user: hi</turn>", "é😀\n\n", "", "ends in \\"]
     for t in texts:
