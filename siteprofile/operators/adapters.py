adapter_names: reads are aligned with the adapter in arrays, suffix matches too

Symptom: the task that holds most rows of part takes far longer than the median task, and longer still when a frequent name is matched by a suffix of the adapter.
Evidence: event log, local[6], part 60 times sf0.1 (1.2 million rows): longest task 31.4 s, median 4.8 s; with a matched name on a fifth of the rows 43.1 s and 5.5 s. A row took some 30 us, as edits ran along short rows of an array, short texts were padded to the longest of their batch, and each suffix match was aligned again in plain Python.
Fix: the edits of one prefix lie side by side for all texts of a batch, texts leave the sweep when they end, and texts matched by the same suffix get their ends from one sweep. Batches have 2,048 texts (4,096 before).
Effect, together with 1 more commit on this code: at 1 GB of input CPU 151 -> 181 s, shuffle 0.00 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.01 -> 0.01 GB, longest task 35 -> 7 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 471 -> 282 s, shuffle 0.00 -> 0.10 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 51 -> 16 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 188 -> 171 s, shuffle 0.00 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.01 -> 0.01 GB, longest task 50 -> 8 s, most memory of a task 0 -> 0 MB.

@@ -12,36 +12,52 @@ from pyspark.sql.types import StructType
 
 #: Letters of a text that are aligned at a time; long texts are cut, with an overlap that no match is longer than.
 WINDOW = 1024
+#: Texts, or pieces of them, that are aligned at a time.
+ROWS = 2048
 
 
-def _codes(texts: Sequence[str], length: int) -> np.ndarray:
-    """The texts' code points in rows, filled up with 0."""
-    out = np.zeros((len(texts), length), "u4")
-    for r, t in enumerate(texts):
-        out[r, : len(t)] = np.frombuffer(t[:length].encode("utf-32-le", "surrogatepass"), "u4")
-    return out
-
+def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' code points one after another, where each text starts in them, and its length."""
+    length = np.array([len(t) for t in texts], "i8")
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "u4"), np.cumsum(length) - length, length
 
-def _sweep(codes: np.ndarray, adapter: np.ndarray) -> Iterator[np.ndarray]:
-    """After each letter: the fewest edits of each prefix of the adapter against a part of the text that ends there."""
-    m = len(adapter)
-    at = np.arange(m + 1)
-    d = np.broadcast_to(at, (len(codes), m + 1)).astype("i4")
-    for j in range(codes.shape[1]):
-        base = np.zeros_like(d)
-        np.minimum(d[:, :-1] + (codes[:, j, None] != adapter), d[:, 1:] + 1, out=base[:, 1:])
-        d = np.minimum.accumulate(base - at, axis=1) + at
-        yield d
 
+def _sweep(texts: Sequence[str], adapter: str, anchored: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """Before the first and after each letter of the texts, which come in the order of their lengths: the first text that has the letter, and
+    the fewest edits of each prefix of the adapter (a row) against a part of each text (a column) that ends there, if anchored the text so far.
 
-def _first_end(text: str, suffix: str) -> int:
-    """The fewest letters of the text that the suffix aligns to with the fewest edits."""
-    row = list(range(len(text) + 1))
-    for i, c in enumerate(suffix, 1):
-        above, row = row, [i]
-        for j, t in enumerate(text, 1):
-            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (c != t)))
-    return row.index(min(row))
+    Texts that have ended keep the edits of their last letter.
+    """
+    codes, start, length = _codes(texts)
+    own = _codes([adapter])[0][:, None]
+    d = np.repeat(np.arange(len(own) + 1, dtype="i4")[:, None], len(texts), axis=1)
+    yield 0, d
+    for j in range(length[-1]):
+        first = int(np.searchsorted(length, j, "right"))
+        above = d[:, first:]
+        edits = above + 1
+        if not anchored:
+            edits[0] = 0
+        np.minimum(edits[1:], above[:-1] + (codes[start[first:] + j] != own), out=edits[1:])
+        for i in range(1, len(edits)):
+            np.minimum(edits[i], edits[i - 1] + 1, out=edits[i])
+        d[:, first:] = edits
+        yield first, d
+
+
+def _first_end(texts: Sequence[str], suffix: str) -> list[int]:
+    """The fewest letters of each text that the suffix aligns to with the fewest edits; texts come in the order of their lengths."""
+    k = len(suffix)
+    best, end = np.full(len(texts), k + 1), np.zeros(len(texts), "i8")
+    for j, (first, d) in enumerate(_sweep(texts, suffix, anchored=True)):
+        _keep_better(best[first:], end[first:], d[k, first:], j)
+    return end.tolist()
+
+
+def _keep_better(best: np.ndarray, end: np.ndarray, edits: np.ndarray, j: int) -> None:
+    """Where edits are fewer than best, they are the best, and the match ends after j letters."""
+    end[edits < best] = j
+    np.minimum(best, edits, out=best)
 
 
 def match_ends(texts: Sequence[str], adapter: str, rate: float = 0.1, least: int = 9) -> list[int]:
@@ -51,36 +67,37 @@ def match_ends(texts: Sequence[str], adapter: str, rate: float = 0.1, least: int
     replaced, left out and added letters, at most rate times the letters of the adapter that are aligned. A whole one comes
     before a suffix, a longer suffix before a shorter one, fewer edits before more, and then the match that ends first.
     """
-    own = np.array([ord(c) for c in adapter], "u4")
-    m, most = len(own), int(rate * len(own))
+    m, most = len(adapter), int(rate * len(adapter))
     overlap = m + most
     pieces = [(r, low, t[low : low + WINDOW + overlap]) for r, t in enumerate(texts) for low in range(0, max(len(t), 1), WINDOW)]
+    pieces.sort(key=lambda p: len(p[2]))
     found: list[tuple[int, int] | None] = [None] * len(texts)
-    order = sorted(range(len(pieces)), key=lambda p: len(pieces[p][2]))
-    for begin in range(0, len(order), 4096):
-        some = [pieces[p] for p in order[begin : begin + 4096]]
+    for begin in range(0, len(pieces), ROWS):
+        some = pieces[begin : begin + ROWS]
         best, end = np.full(len(some), most + 1), np.full(len(some), -1)
-        for j, d in enumerate(_sweep(_codes([p[2] for p in some], max(len(p[2]) for p in some)), own), 1):
-            better = d[:, m] < best
-            best[better], end[better] = d[better, m], j
-        for (r, low, _), e, at in zip(some, best.tolist(), end.tolist(), strict=True):
-            if at >= 0 and (found[r] is None or (e, low + at) < found[r]):
-                found[r] = (e, low + at)
+        for j, (first, d) in enumerate(_sweep([p[2] for p in some], adapter)):
+            if j:
+                _keep_better(best[first:], end[first:], d[m, first:], j)
+        for p in np.flatnonzero(end >= 0).tolist():
+            r, low, _ = some[p]
+            match = (int(best[p]), low + int(end[p]))
+            if found[r] is None or match < found[r]:
+                found[r] = match
     out = [-1 if f is None else f[1] for f in found]
-    rest = [r for r, f in enumerate(found) if f is None]
-    if rest and m > least:
-        heads = [texts[r][:overlap][::-1] for r in rest]  # backwards, a suffix ends where the text starts
-        codes = _codes(heads, overlap)
-        shift = np.array([overlap - len(h) for h in heads])
-        codes = np.stack([np.concatenate([np.zeros(s, "u4"), c[: overlap - s]]) for s, c in zip(shift, codes, strict=True)])
+    rest = sorted((r for r, f in enumerate(found) if f is None), key=lambda r: len(texts[r])) if m > least else []
+    for begin in range(0, len(rest), ROWS):
+        some = rest[begin : begin + ROWS]
+        heads = [texts[r][:overlap] for r in some]
         d = None
-        for d in _sweep(codes, own[::-1]):  # noqa: B007  the last one, at the text's start
+        for _, d in _sweep([h[::-1] for h in heads], adapter[::-1]):  # noqa: B007  backwards, a suffix ends where the text starts
             pass
-        for r, edits in zip(rest, d.tolist(), strict=True):
-            for k in range(m - 1, least - 1, -1):
-                if edits[k] <= int(rate * k):
-                    out[r] = _first_end(texts[r][:overlap], adapter[m - k :])
-                    break
+        longest = np.full(len(some), -1)
+        for k in range(least, m):
+            longest[d[k] <= int(rate * k)] = k
+        for k in np.unique(longest[longest >= 0]).tolist():
+            at = np.flatnonzero(longest == k).tolist()
+            for p, e in zip(at, _first_end([heads[p] for p in at], adapter[m - k :]), strict=True):
+                out[some[p]] = e
     return out
 
 

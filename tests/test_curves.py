@@ -123,6 +123,35 @@ def test_long_text_is_aligned_whole():
     assert adapters.match_ends([text, "ab"], "GATTACAGC", 0.12, 9) == [80_010, -1]
 
 
+def test_suffixes_of_a_batch_are_aligned_together(monkeypatch):
+    """A text that many rows have, and that a suffix matches, is not aligned row by row."""
+    calls, real = [], adapters._first_end
+    monkeypatch.setattr(adapters, "_first_end", lambda *a: calls.append(a) or real(*a))
+    adapter, rng = "GATTACAGC", random.Random(3)
+    texts = ["ACAGC" + "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30))) for _ in range(400)] + ["TACAXGCTTT"] * 400
+    rng.shuffle(texts)
+    want = {t: plain_end(t, adapter, 0.2, 4) for t in set(texts)}
+    assert adapters.match_ends(texts, adapter, 0.2, 4) == [want[t] for t in texts]
+    assert want["TACAXGCTTT"] == 7 and 0 < len(calls) <= len(adapter)
+
+
+@pytest.mark.parametrize("rows", [2, 2048])
+def test_adapters_of_odd_rows(spark, monkeypatch, rows):
+    """Nulls, empty, equal and long texts, letters beyond the first plane, ids that come twice or are null, an adapter as long as least."""
+    monkeypatch.setattr(adapters, "WINDOW", 64)
+    monkeypatch.setattr(adapters, "ROWS", rows, raising=False)
+    adapter, rate, least = "GATTACAGC", 0.25, 4
+    texts = ["", None, "", "G", "GATT", "AGC", "CAGC", adapter, adapter, "\0GATTACAGC", "é😀" + adapter + "😀", "A" * 150 + adapter + "T" * 150, None, "CAGCCAGCCAGC"]
+    reads = [(i // 2 if i % 5 else None, t) for i, t in enumerate(texts)] * 2
+    table = spark.createDataFrame(reads, "id long, t string").coalesce(1)
+    match = lambda t, n: t is not None and plain_end(t, adapter, rate, n) >= 0
+    for n in (least, len(adapter)):
+        kept = [tuple(r) for r in adapters.without_adapter(table, adapter, ("t",), rate, n).collect()]
+        assert sorted(kept, key=repr) == sorted((r for r in reads if not match(r[1], n)), key=repr)
+    assert adapters.without_adapter(table.limit(0), adapter, ("t",)).collect() == []
+    assert adapters.match_ends([], adapter) == [] and adapters.match_ends([""], adapter) == [-1]
+
+
 @pytest.mark.parametrize("penalty", [None, 3.0])
 def test_spline_against_dense_solve(spark, penalty):
     rng = np.random.default_rng(4)
