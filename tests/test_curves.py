@@ -152,6 +152,32 @@ def test_adapters_of_odd_rows(spark, monkeypatch, rows):
     assert adapters.match_ends([], adapter) == [] and adapters.match_ends([""], adapter) == [-1]
 
 
+def test_reads_of_one_split_are_aligned_in_many_tasks(spark, tmp_path):
+    """One row group with a key and a text that a fifth of the rows have, columns of any name and kind: no task gets most of the rows, none is lost."""
+    hot = F.col("id") % 5 == 0
+    rows = spark.range(0, 8000, 1, 1).select(
+        F.when(~hot, F.col("id")).alias("the id"), F.when(hot, "TTTTT").otherwise(F.concat(F.lit("CCC"), F.col("id"))).alias("t"), F.create_map(F.lit("a"), "id").alias("m"), F.array("id").alias("l")
+    )
+    rows.write.parquet(f"{tmp_path}/reads.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = adapters.without_adapter(spark.read.parquet(f"{tmp_path}/reads.parquet"), "GATTACAGC", ("t",), 0.12, 5)
+        sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+        assert sorted(tuple(r) for r in kept.select(F.element_at("m", "a"), "t", F.col("l")[0], F.col("the id").isNull()).collect()) == [
+            (i, "CCC" + str(i) if i % 5 else "TTTTT", i, i % 5 == 0) for i in range(8000)
+        ]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 8000 and max(sizes) < 1.3 * min(sizes)
+
+
+def test_equal_reads_are_all_kept(spark):
+    reads = [(1, "TTTTT")] * 50 + [(None, None)] * 3 + [(2, "")] * 2 + [(3, "GATTACAGC")]
+    table = spark.createDataFrame(reads, "id long, t string")
+    kept = [tuple(r) for r in adapters.without_adapter(table, "GATTACAGC", ("t",)).collect()]
+    assert sorted(kept, key=repr) == sorted(reads[:-1], key=repr)
+
+
 @pytest.mark.parametrize("penalty", [None, 3.0])
 def test_spline_against_dense_solve(spark, penalty):
     rng = np.random.default_rng(4)
